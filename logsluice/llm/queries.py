@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, pii, topk, warc
 from .common import table
 
 
@@ -25,9 +25,45 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op4_find_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries():
-    return {"op5_exact_dedup": op5_exact_dedup, "op8_mix_sources": op8_mix_sources}
+    return {
+        "op1_warc": op1_warc,
+        "op3_top_k": op3_top_k,
+        "op4_find_pii": op4_find_pii,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op8_mix_sources": op8_mix_sources,
+    }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op3_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
