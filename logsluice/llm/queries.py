@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, topk, warc
+from . import exact_dedup, mixing, pii, topk, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op1_warc(spark, sf_dir):
     return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op3_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -58,6 +63,7 @@ def op4_find_pii(spark, sf_dir):
 def queries():
     return {
         "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
         "op3_top_k": op3_top_k,
         "op4_find_pii": op4_find_pii,
         "op5_exact_dedup": op5_exact_dedup,

@@ -31,6 +31,7 @@ from .files import Written, open_input
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
+TASK_BYTES = 64 << 20
 LEVEL = 3
 
 # Fixed values of the seekable format: magic numbers of a skippable frame and of its footer.
@@ -211,7 +212,9 @@ def read_archive(index: DataFrame) -> DataFrame:
                     rows.append(found)
                 yield _records(rows)
 
-    return index.select("bundle", "frame").distinct().mapInArrow(run, RECORD)
+    # the rows to deal out are tiny but each stands for a frame: their number of tasks follows the records' bytes
+    tasks = max(8, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    return index.select("bundle", "frame").distinct().repartition(tasks, "bundle", "frame").mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
