@@ -52,7 +52,7 @@ _WILD = "*#"
 _VOWELS = "aeiou"
 #: Channel costs in nats: reading a sign as a letter, a wild sign as a vowel, dropping a sign within or at the edge of
 #: a word, dropping a gap between spelled letters or reading it as a space, shortening a run of letters.
-SIGN, WILD, DROP, EDGE, GAP, WORD_GAP, RUN = 1.0, 3.0, 8.0, 2.0, 0.2, 3.0, 0.5
+SIGN, WILD, DROP, EDGE, GAP, WORD_GAP, RUN = 1.0, 3.0, 14.0, 2.0, 0.2, 3.0, 0.5
 
 _SIGNS = re.compile(r"[0-9@$!|+€(*#]+(?=[^\W\d_])|[0-9@$]+")
 _TRIPLES = tuple(c * 3 for c in _LETTERS)
@@ -288,8 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
             if other is None or (not names[i].endswith("$"), len(names[i]), names[i]) > (not names[other].endswith("$"), len(names[other]), names[other]):
                 by_texts[key_] = i
     chosen, explained = {}, set()
-    for ds, i in sorted(by_texts.items(), key=lambda x: (-len(x[0]), names[x[1]])):
-        if independent(list(ds)):
+    # features that clean texts have too come last, and only for texts that nothing else explains
+    for ds, i in sorted(by_texts.items(), key=lambda x: (in_clean[x[1]] > 0, -len(x[0]), names[x[1]])):
+        if independent([d for d in ds if not in_clean[i] or d not in explained]):
             chosen[names[i]] = float(chance[i])
             explained.update(ds)
     rest_t, rest_c = scale_t * (toxic - len(explained)), scale_c * clean
