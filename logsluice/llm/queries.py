@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, topk, toxicity, warc
+from . import exact_dedup, mixing, pii, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -60,6 +60,13 @@ def op4_find_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_files.token_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {
         "op1_warc": op1_warc,
@@ -68,6 +75,7 @@ def queries():
         "op4_find_pii": op4_find_pii,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_mix_sources": op8_mix_sources,
+        "op9_token_files": op9_token_files,
     }
 
 
