@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, token_files, topk, toxicity, warc
+from . import exact_dedup, lattice, mixing, pii, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -67,6 +67,13 @@ def op9_token_files(spark, sf_dir):
     return token_files.token_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lattice_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lattice.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def queries():
     return {
         "op1_warc": op1_warc,
@@ -76,6 +83,7 @@ def queries():
         "op5_exact_dedup": op5_exact_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_token_files": op9_token_files,
+        "op10_lattice_pieces": op10_lattice_pieces,
     }
 
 

@@ -37,8 +37,8 @@ from .files import Written, open_input
 END_ID = 2
 BLOCK = 1 << 16
 FILE_IDS = 1 << 25
-TASK_BYTES = 16 << 20
-CACHE = 1_200_000
+TASK_BYTES = 6 << 20
+CACHE = 700_000
 SLICE = 4 << 20
 _MAGIC = b"TOKPLN01"
 #: Letters, then ASCII punctuation but apostrophes: two words for the tokenizer.
