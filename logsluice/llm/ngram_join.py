@@ -6,11 +6,12 @@ Sets are cut at pivots of the global n-gram order (the order of 64-bit hashes) i
 2. A pair that links shares at least 75 % of either set. Each fragment tells which n-grams at least two classes have; a class
    whose fragments' counts sum up to less than 75 % of its set has no partner and goes. A task sends an n-gram that
    several of its own classes have only once, so a frequent n-gram costs one entry a task.
-3. The classes left are linked in stars around the least class that shares a min-hash with them; a pair's overlap is
-   counted fragment by fragment and the partial counts are summed. Verified links give components.
-4. Step 2 again, now for n-grams that at least two components have. The few classes left are joined by prefix
-   filter over the order by frequency, and only pairs across components are verified. So every link between two components
-   is found, while the pairs within one need not be counted.
+3. The classes left are linked in stars around the most central class that shares a min-hash with them (the one whose
+   min-hashes most others have); a pair's overlap is counted fragment by fragment and the partial counts are summed. Verified
+   links give components.
+4. Step 2 again, now for n-grams that at least two components have. The classes left are joined by prefix filter over the order
+   by frequency, with bounds on the overlap by length, position and parity bitmaps in the join itself, and only pairs across
+   components are verified. So every link between two components is found, while the pairs within one need not be counted.
 
 Words are runs of anything but space and TAB to CR, with A-Z in lower case; fewer than n words are one n-gram.
 
@@ -33,12 +34,14 @@ from .components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 #: n-grams that a packing task holds at once, and bytes of text cut into n-grams at once.
-HELD = 3_000_000
-SLICE = 4 << 20
+HELD = 1_500_000
+SLICE = 2 << 20
 CUTS = 4  # fragments in which a pair's overlap is counted
-MIN_HASHES = 6
+#: Min-hashes that tell how central a class is, and those of them whose buckets make stars, in so many parts each.
+MIN_HASHES, STARS, PARTS = 16, 6, 4
+WORDS_OF_BITS = 8  # 64-bit words of a set's parity bitmap
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -195,7 +198,7 @@ def _share(frags: int):
     return run
 
 
-FOUND = "doc_id long, n long, key long, label long, cuts array<array<long>>, mins array<long>"
+FOUND = "doc_id long, n long, key long, label long, cuts array<array<long>>, mins array<long>, bits array<long>"
 _LISTS = pa.list_(pa.list_(pa.int64()))
 
 
@@ -226,6 +229,9 @@ def _collect(table: pa.Table) -> pa.Table:
     seeds = np.arange(1, MIN_HASHES + 1, dtype=_U) * _P
     least = np.array([np.minimum.reduceat(mixed(hashes + s), starts) if m else np.empty(0, _U) for s in seeds]).T
     mins = pa.ListArray.from_arrays(pa.array(np.arange(0, m * MIN_HASHES + 1, MIN_HASHES, dtype=np.int32)), pa.array(np.ascontiguousarray(least).view(np.int64).ravel()))
+    parity = np.zeros((m, WORDS_OF_BITS), _U)
+    np.bitwise_xor.at(parity, (nth, ((hashes >> _U(26)) % _U(WORDS_OF_BITS)).astype(np.int64)), _U(1) << ((hashes >> _U(20)) & _U(63)))
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, m * WORDS_OF_BITS + 1, WORDS_OF_BITS, dtype=np.int32)), pa.array(parity.view(np.int64).ravel()))
     docs = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["ns"], np.uint32), np.frombuffer(r["labels"], np.int64), r["kind"] == UNNAMED) for r in rows if r["kind"] in (DOCS, UNNAMED)]
     d = sum(len(x[1]) for x in docs)
     ids = pa.concat_arrays([pa.nulls(m, pa.int64()), *(pa.nulls(len(n), pa.int64()) if u else pa.array(i) for i, n, _, u in docs)])
@@ -234,8 +240,8 @@ def _collect(table: pa.Table) -> pa.Table:
     label = pa.concat_arrays([pa.array(label_of.view(np.int64)), pa.nulls(d, pa.int64())])
     nothing = lambda kind: pa.nulls(d, kind)
     return pa.Table.from_arrays(
-        [ids, pa.array(n), pa.array(key), label, pa.concat_arrays([cuts, nothing(_LISTS)]), pa.concat_arrays([mins, nothing(pa.list_(pa.int64()))])],
-        names=["doc_id", "n", "key", "label", "cuts", "mins"],
+        [ids, pa.array(n), pa.array(key), label, pa.concat_arrays([cuts, nothing(_LISTS)]), *(pa.concat_arrays([x, nothing(pa.list_(pa.int64()))]) for x in (mins, bits))],
+        names=["doc_id", "n", "key", "label", "cuts", "mins", "bits"],
     )
 
 
@@ -300,41 +306,55 @@ def _long_enough(a: str, b: str):
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, na, b, nb): those that link. Overlaps are counted fragment by fragment and summed."""
-    cut = classes.select(F.col("key"), F.posexplode("cuts").alias("f", "hs")).where(F.size("hs") > 0)
-    left = cut.select(F.col("key").alias("a"), "f", F.col("hs").alias("ha"))
-    right = cut.select(F.col("key").alias("b"), "f", F.col("hs").alias("hb"))
-    partial = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
-    whole = partial.groupBy("a", "na", "b", "nb").agg(F.sum("o").alias("o"))
+    """Of pairs (a, na, b, nb): those that link. The overlap is counted fragment by fragment and summed."""
+    left = classes.select(F.col("key").alias("a"), F.col("cuts").alias("ca"))
+    right = classes.select(F.col("key").alias("b"), F.col("cuts").alias("cb"))
+    partial = F.zip_with("ca", "cb", lambda x, y: F.size(F.array_intersect(x, y)))
+    whole = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("o"))
     return whole.where(DENOMINATOR * F.col("o") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of each class with the least class of its min-hash bucket: first within one of 16 parts of the bucket, then
-    the parts' least with the bucket's."""
-    one = F.struct("key", "n")
-    rows = classes.select("key", "n", F.posexplode("mins").alias("k", "m")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(16)))
-    local = rows.groupBy("k", "m", "part").agg(F.min(one).alias("l"), F.count("*").alias("c"))
-    whole = local.groupBy("k", "m").agg(F.min("l").alias("g"), F.sum("c").alias("c")).where("c > 1")
-    to_local = rows.withColumn("p", F.bitwise_not("part")).join(local.where("c > 1").select("k", "m", F.bitwise_not("part").alias("p"), "l"), ["k", "m", "p"])
-    to_local = to_local.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("l.key").alias("b"), F.col("l.n").alias("nb"))
-    to_whole = local.join(whole.select("k", "m", "g"), ["k", "m"]).select(F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("g.key").alias("b"), F.col("g.n").alias("nb"))
-    return to_local.unionByName(to_whole).where(F.col("a") != F.col("b")).where(_long_enough("na", "nb")).distinct()
+    """Pairs of each class with the most central class of its min-hash buckets, and of its part of these."""
+    rows = classes.select("key", "n", F.posexplode("mins").alias("k", "m"))
+    sizes = rows.groupBy("k", "m").agg(F.count("*").alias("c")).where("c > 1").select("k", F.bitwise_not("m").alias("w"), "c")
+    shared = rows.withColumn("w", F.bitwise_not("m")).join(sizes, ["k", "w"])
+    score = shared.groupBy("key").agg(F.sum("c").alias("score"))
+    rows = rows.where(F.col("k") < STARS).join(score, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    rows = materialize(rows, "ngram-stars")
+    local = rows.groupBy("k", "m", "part").agg(F.max(F.struct("score", "key", "n")).alias("l"))
+    whole = local.groupBy("k", "m").agg(F.max("l").alias("g"))
+    leaders = local.join(whole, ["k", "m"]).select("k", F.bitwise_not("m").alias("w"), "part", F.array("l", "g").alias("to"))
+    found = rows.withColumn("w", F.bitwise_not("m")).join(leaders, ["k", "w", "part"]).select("key", "n", F.explode("to").alias("to"))
+    found = found.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("to.key").alias("b"), F.col("to.n").alias("nb"))
+    return found.where(F.col("a") != F.col("b")).where(_long_enough("na", "nb")).distinct()
 
 
 def _cross_pairs(classes: DataFrame) -> DataFrame:
-    """Candidate pairs of classes with different labels: those that share an n-gram of both prefixes in the order by
-    frequency. A class of n n-grams, m of them shared with other labels, has the m - ceil(0.75 n) + 1 rarest of these in its prefix."""
-    grams = classes.select("key", "n", "label", F.explode(F.flatten("cuts")).alias("h"))
+    """Candidate pairs of classes with different labels.
+
+    classes hold only n-grams that several labels have. Sets link when the overlap o reaches 3/7 (na + nb), so the first
+    n-gram that they share, in the order by frequency with unshared ones first, has at least o from it on in either set:
+    that bounds its place in the longer set (o is 3/4 of it or more), in the shorter (6/7 or more), and what can follow. The
+    parity bitmaps of two sets differ in no more places than the sets do."""
+    grams = classes.select("key", F.explode(F.flatten("cuts")).alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("c")).select(F.bitwise_not("h").alias("w"), "c")
-    ranked = grams.withColumn("w", F.bitwise_not("h")).join(often, "w").groupBy("key", "n", "label").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("g"))
-    need = F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)
-    posts = materialize(ranked.select("key", "n", "label", F.explode(F.slice("g", 1, F.greatest(F.size("g") - need + 1, F.lit(0)).cast("int"))).alias("g")).select("key", "n", "label", F.col("g.h").alias("h")), "ngram-prefixes")
-    groups = posts.groupBy("h", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("label", "other")
-    reach = posts.join(groups, "h").where((F.col("label") < F.col("other")) & (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("n")) & (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("low")))
-    left = reach.select(F.col("key").alias("a"), F.col("n").alias("na"), "h", "other")
-    right = posts.select(F.col("key").alias("b"), F.col("n").alias("nb"), "h", F.col("label").alias("other"))
-    return left.join(right, ["h", "other"]).where(_long_enough("na", "nb")).select("a", "na", "b", "nb").distinct()
+    ranked = grams.withColumn("w", F.bitwise_not("h")).join(often, "w").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("g"))
+    n, m = F.col("n"), F.size("g")
+    rows = ranked.join(classes.select("key", "n", "label", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS_OF_BITS)]), "key")
+    first = F.slice("g", 1, F.greatest(m - F.ceil(n * 3 / 4) + 1, F.lit(0)).cast("int"))
+    bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
+    posts = rows.select("key", "n", "label", m.alias("m"), (m - F.ceil(n * 6 / 7) + 1).alias("short"), *bits, F.posexplode(first).alias("pos", "g"))
+    posts = materialize(posts.select("key", "n", "label", "m", (F.col("pos") < F.col("short")).alias("short"), "pos", *bits, F.col("g.h").alias("h")), "ngram-prefixes")
+    x, y = posts.alias("x"), posts.alias("y")
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in bits)
+    fits = F.expr(
+        "x.h = y.h AND x.label < y.label AND 4 * x.n >= 3 * y.n AND 4 * y.n >= 3 * x.n "
+        "AND ((x.n <= y.n AND x.short) OR (y.n <= x.n AND y.short)) "
+        "AND 7 * least(x.m - x.pos, y.m - y.pos) >= 3 * (x.n + y.n) "
+        f"AND 7 * (x.m + y.m - ({differ})) >= 6 * (x.n + y.n)"
+    )
+    return x.join(y, fits).select(F.col("x.key").alias("a"), F.col("x.n").alias("na"), F.col("y.key").alias("b"), F.col("y.n").alias("nb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -350,7 +370,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     near = components(links)
     labelled = classes.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "label"))
     apart = _with_partners(labelled.select("key", "n", "label", "cuts").mapInArrow(_pack_classes(frags), PACKED), frags)
-    apart = materialize(apart.where("cuts IS NOT NULL").select("key", "n", "label", "cuts"), "ngram-apart")
+    apart = materialize(apart.where("cuts IS NOT NULL").select("key", "n", "label", "cuts", "bits"), "ngram-apart")
     if not apart.isEmpty():
         more = materialize(verified(_cross_pairs(apart), classes), "ngram-links")
         if not more.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pii, token_files, topk, toxicity, warc
+from . import exact_dedup, lattice, mixing, ngram_join, pii, substring_dedup, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -86,6 +90,7 @@ def queries():
         "op4_find_pii": op4_find_pii,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_join": op6_ngram_join,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_token_files": op9_token_files,
         "op10_lattice_pieces": op10_lattice_pieces,
