@@ -378,8 +378,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     ids = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     ids = ids.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = ids.select("key", "component").join(least, "component").select(F.bitwise_not("key").alias("w"), "component_id")
+    least = ids.groupBy("component").agg(F.min("least").alias("component_id")).select(F.bitwise_not("component").alias("c"), "component_id")
+    known = ids.select("key", F.bitwise_not("component").alias("c")).join(least, "c").select(F.bitwise_not("key").alias("w"), "component_id")
     out = documents.withColumn("w", F.bitwise_not("key")).join(known, "w", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
