@@ -28,12 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
-#: Nodes of the tree before it is started anew, and characters of text drawn at once.
-NODES = 1_000_000
+#: Nodes of the tree before it is started anew, characters of text drawn at once, and ids sent on at once.
+NODES = 400_000
 #: Characters of a part from which its weights are kept as logarithms.
 LONG = 40
-SLICE = 2 << 20
+SLICE = 1 << 20
+OUT_IDS = 1 << 18
 
 _segmenters: dict[tuple, Segmenter] = {}
 
@@ -271,22 +274,31 @@ def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = pc.fill_null(batch.column(2), 0).to_numpy().astype(np.int64).view(np.uint64)
-            rows, ids_of = [], []
+            rows, ids_of, size, at = [], [], 0, 0
             for t, ids in zip(texts, segmenter.encode(texts, keys, seed), strict=True):
                 back = segmenter.decode(ids) if check else t
                 rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode("utf-8", "replace")), back == t))
-                if with_ids:
-                    ids_of.append(ids)
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            arrays = [batch.column(0).cast(pa.int64()), *(pa.array(c, x) for c, x in zip(cols, types, strict=True))]
-            names = ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(ids_of, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                ids_of.append(ids if with_ids else ids[:0])
+                size += len(ids)
+                if size >= OUT_IDS:  # a batch of results need not be as large as one of texts
+                    yield out(batch.column(0).slice(at, len(rows)), rows, ids_of)
+                    at += len(rows)
+                    rows, ids_of, size = [], [], 0
+            if rows:
+                yield out(batch.column(0).slice(at, len(rows)), rows, ids_of)
+
+    def out(ids, rows, ids_of) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        arrays = [ids.cast(pa.int64()), *(pa.array(c, x) for c, x in zip(cols, types, strict=True))]
+        names = ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"]
+        if with_ids:
+            offsets = pa.array(np.cumsum([0, *map(len, ids_of)]), pa.int32())
+            arrays, names = [*arrays, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids_of), pa.int32()))], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(key), F.col(text), F.xxhash64(F.col(key).cast("string")).alias("k")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key), F.col(text), F.xxhash64(F.col(key).cast("string")).alias("k")).mapInArrow(run, schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

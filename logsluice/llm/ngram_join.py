@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import materialize, pieces, small_batches
 from .components import components
 
 WORDS = 5
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """Per row of docs: doc_id, n_shingles, component_id (the least id that links reach, its own included)."""
     spark = docs.sparkSession
     frags = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(docs, FRAGMENT_BYTES))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = materialize(_with_partners(rows.mapInArrow(_pack_documents(words, frags), PACKED), frags), "ngram-sets")
     documents = found.where("cuts IS NULL").select("doc_id", "n", "key")
     classes = found.where("cuts IS NOT NULL").select("key", "n", "label", "cuts", "mins")

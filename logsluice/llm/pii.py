@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -226,4 +228,4 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    return docs.select(key, text).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(key, text).mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: The window of the gear hash, the bits that must be zero at a cut (one place in 32), and the bounds of chunks, in bytes.
 WINDOW, CUT_BITS = 16, 5
@@ -106,7 +106,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "nth", "start", "end", "size", "h1", "h2"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, CHUNK)
+    return small_batches(docs).select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(cut: DataFrame) -> DataFrame:

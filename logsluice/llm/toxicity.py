@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4_000, 12_000
 THRESHOLD = 0.7
@@ -85,7 +85,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -235,40 +235,42 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
     def listed(batches):
         restorer = Restorer(model.value)
         counted: Counter = Counter()
-        schema = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+        schema = pa.schema([("toxic", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+        packed = lambda xs: np.array(xs, np.int32).tobytes()
         for batch in batches:
             out = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = [index.value[f] for f in features(restorer.restore(t or "")) if f in index.value]
                 if y:
-                    out.append({"toxic": 1, "at": at, "n": []})
+                    out.append({"toxic": 1, "at": packed(at), "n": b""})
                 else:
                     counted.update(at)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
         if counted:
-            yield pa.RecordBatch.from_pylist([{"toxic": 0, "at": list(counted), "n": list(counted.values())}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"toxic": 0, "at": packed(list(counted)), "n": packed(list(counted.values()))}], schema=schema)
 
     in_clean = np.zeros(len(names))
-    texts = []
-    for r in rows.select(text, F.col("toxic").cast("int")).mapInArrow(listed, "toxic int, at array<int>, n array<int>").collect():
+    texts: list[np.ndarray] = []
+    for r in rows.select(text, F.col("toxic").cast("int")).mapInArrow(listed, "toxic int, at binary, n binary").collect():
+        at = np.frombuffer(r["at"], np.int32)
         if r["toxic"]:
-            texts.append(r["at"])
+            texts.append(at)
         else:
-            in_clean[r["at"]] += r["n"]
+            in_clean[at] += np.frombuffer(r["n"], np.int32)
     scale_t, scale_c = total[1] / toxic, total[0] / clean  # back to shares of all labelled rows
     in_toxic = np.zeros(len(names))
     for at in texts:
         in_toxic[at] += 1
     chance = scale_t * (in_toxic + 0.5) / (scale_t * (in_toxic + 0.5) + scale_c * (in_clean + 0.05))
     precise = scale_t * in_toxic / np.maximum(scale_t * in_toxic + scale_c * in_clean, 1e-9) >= LEAST_PRECISION
+    texts = [at[precise[at]] for at in texts]
     having: dict[int, list[int]] = {}
     for d, at in enumerate(texts):
-        for i in at:
-            if precise[i]:
-                having.setdefault(i, []).append(d)
+        for i in at.tolist():
+            having.setdefault(i, []).append(d)
     alike = lru_cache(None)(lambda a, b: 2 * len(sets[a] & sets[b]) > len(sets[a] | sets[b]))
-    sets = [frozenset(at) for at in texts]
+    sets = [frozenset(at.tolist()) for at in texts]
 
     def independent(docs_of: list[int]) -> bool:
         """Whether `least` of these texts are not copies of each other."""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, small_batches
 from .files import Written, open_input
 
 FRAME_BYTES = 256 << 10
@@ -130,7 +130,7 @@ class Frames:
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) as records to write: a revisit's payload is null."""
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
     largest = rows.groupBy("sha1").agg(F.max("page_id").alias("largest")).select(F.unhex("sha1").alias("d"), "largest")
