@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, pieces
+from .common import materialize, new_path, pieces, small_batches
 from .files import Written, open_input
 
 END_ID = 2
 BLOCK = 1 << 16
 FILE_IDS = 1 << 25
 TASK_BYTES = 6 << 20
-CACHE = 700_000
+CACHE = 1_000_000
 SLICE = 4 << 20
 _MAGIC = b"TOKPLN01"
 #: Letters, then ASCII punctuation but apostrophes: two words for the tokenizer.
@@ -61,6 +61,7 @@ class Encoder:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -117,10 +118,17 @@ class Encoder:
         chunks = coded.dictionary.to_pylist()
         known = list(map(self._seen.get, chunks))
         if None in known:
-            if len(self._seen) + 2 * len(chunks) > CACHE:
-                self._seen.clear()
+            if len(self._seen) > CACHE // 2:  # what was not used for a while goes
+                self._old, self._seen = self._seen, {}
                 known = [None] * len(chunks)
-            self._learn([c for c, x in zip(chunks, known, strict=True) if x is None])
+            missing = []
+            for c, x in zip(chunks, known, strict=True):
+                if x is None:
+                    if (before := self._old.get(c)) is None:
+                        missing.append(c)
+                    else:
+                        self._seen[c] = before
+            self._learn(missing)
             known = list(map(self._seen.__getitem__, chunks))
         ids = np.frombuffer(b"".join(known), self.dtype)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
@@ -257,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         if writer:
             yield row()
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     placed = rows.repartitionByRange(pieces(docs, TASK_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialize(placed.mapInArrow(run, MANIFEST), "token-manifest")
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)  # one row per file
