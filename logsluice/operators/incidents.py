@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import cut
 from .detect import DENIED, FAILED, PASSED
 
 # Severity ranks and points, score bands, response categories of rules, priority of entity kinds.
@@ -112,8 +113,8 @@ def merged(members: DataFrame, least: float = 0.6) -> DataFrame:
     for kind, n in PRIORITY.items():
         order = F.when(F.col("kind") == kind, n).otherwise(order)
     groups = members.select(F.struct(order.alias("o"), "kind", "entity").alias("g")).distinct()
-    at = groups.join(first, F.col("g") == F.col("b"), "left").select("g", F.coalesce("to", "g").alias("root"))
-    for _ in range(4):  # doubles the steps that a pointer covers
+    at = cut(groups.join(first, F.col("g") == F.col("b"), "left").select("g", F.coalesce("to", "g").alias("root")))
+    for _ in range(3):  # doubles the steps that a pointer covers
         up = at.select(F.col("g").alias("via"), F.col("root").alias("up"))
         at = at.join(up, F.col("root") == F.col("via"), "left").select("g", F.coalesce("up", "root").alias("root"))
     return at.select(F.col("g.kind").alias("kind"), F.col("g.entity").alias("entity"), F.col("root.kind").alias("root_kind"), F.col("root.entity").alias("root_entity"))
@@ -121,11 +122,13 @@ def merged(members: DataFrame, least: float = 0.6) -> DataFrame:
 
 def alerts(hits: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
     """One alert per incident: worst rule, earliest center, correlation over three windows, risk and final severity."""
+    hits, members = cut(hits), cut(members)
     named = hits.join(merged(members), ["kind", "entity"])
     one = named.groupBy(F.col("root_kind").alias("kind"), F.col("root_entity").alias("entity")).agg(
         F.max(F.struct(rank_of(F.col("severity")).alias("rank"), F.col("rule_key"))).alias("lead"), F.min("center").alias("center"), F.max("window_seconds").alias("window"),
         F.sort_array(F.collect_set("rule_key")).alias("rules"), F.max(F.col("rule_key") == "RULE_6").alias("success_after_failures"),
     )
+    one = cut(one)
     widest = 3 * 3600
     seen = correlate(one, events, widest)
     found = one.join(seen, ["kind", "entity", "center"], "left").withColumn("shield_verdict", F.when(F.array_contains("rules", "RULE_7"), "SUSPICIOUS"))

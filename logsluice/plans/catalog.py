@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.store import cut
 from ..operators import detect as D
 from ..operators import export as X
 from ..operators import incidents as I
@@ -403,7 +404,7 @@ def _entities(spark, sf_dir):
     return D.failed_then_passed(log_events(spark, sf_dir), RULES["RULE_6"]).where("kind = 'source_ip'")
 
 
-_NEAR = f"""{WITH_EVENTS}, au AS (SELECT * FROM log_events WHERE event_type IN ('authentication_failure', 'authentication_success')), h AS ({_passed_sql('source_ip')}), n AS (
+_NEAR = f"""{WITH_EVENTS}, au AS (SELECT * FROM log_events WHERE event_type IN ('authentication_failure', 'authentication_success')), h AS (SELECT entity, center FROM ({_passed_sql('source_ip')})), n AS (
 SELECT h.entity, h.center, count(*) AS events, count(DISTINCT source) AS sources, count(DISTINCT host) AS hosts, count(DISTINCT username) AS users,
     count(*) FILTER (event_type = 'authentication_failure') AS failed, count(*) FILTER (event_type = 'authentication_success') AS passed, count(*) FILTER (event_type = 'connection_denied') AS denied,
     CASE WHEN count(*) > 1 THEN max(epoch_us(ts)) - min(epoch_us(ts)) END AS span_micros,
@@ -449,7 +450,7 @@ def _members(spark, sf_dir):
 
 
 _OVERLAP = f"""{WITH_EVENTS}, au AS (SELECT * FROM log_events WHERE event_type IN ('authentication_failure', 'authentication_success')), h AS ({_passed_sql('source_ip')} UNION ALL {_passed_sql('username')}),
-m AS (SELECT DISTINCT kind, entity, event_id FROM h JOIN au ON (kind = 'source_ip' AND source_ip = entity) OR (kind = 'username' AND username = entity)),
+m AS (SELECT DISTINCT h.kind, h.entity, au.event_id FROM h JOIN au ON (h.kind = 'source_ip' AND au.source_ip = h.entity) OR (h.kind = 'username' AND au.username = h.entity)),
 z AS (SELECT kind, entity, count(*) AS size FROM m GROUP BY ALL)
 SELECT a.entity AS earlier, b.entity AS later, count(*) AS shared, any_value(z.size) AS size FROM m a JOIN m b ON a.event_id = b.event_id AND a.kind = 'source_ip' AND b.kind = 'username' JOIN z ON z.kind = b.kind AND z.entity = b.entity
 GROUP BY a.entity, b.entity HAVING count(*) >= 0.6 * any_value(z.size)"""
@@ -467,7 +468,7 @@ def q_incident_merge(spark, sf_dir):
 
 def _alerts(spark, sf_dir):
     events = log_events(spark, sf_dir)
-    hits = D.evaluate(events, None, list(RULES.values()))
+    hits = cut(D.evaluate(events, None, list(RULES.values())))
     return I.alerts(hits, events, D.hit_events(hits, events).select("kind", "entity", "event_id"))
 
 
