@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,3 +15,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logsluice-"))
     return df.checkpoint()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a one-row-per-row generator: what is computed below is computed once per row. Without it the optimizer
+    pushes later filters down through the projections, and each step copies the expressions of the one before."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.store import settled
 from . import normalize as N
 from . import parsers as P
 from . import shield
@@ -49,12 +50,12 @@ def processed(raw: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFra
     df = duplicates(raw).withColumn("raw_log_id", F.left(F.sha2(F.concat_ws("|", "job_id", F.col("line_number").cast("string"), "content_hash"), 256), F.lit(32)))
     df = shield.screen(df, "content", cfg.quarantine_injection)
     df = P.parse(P.detect(df, "content", cfg.parsers, cfg.hint), "content", cfg.parsers)
-    df = df.withColumn("fields", N.clean_fields(F.col("fields"), cfg.reference))
-    df = N.normalize(N.extracted(df), cfg.reference)
+    df = settled(df.drop("candidates").withColumn("fields", N.clean_fields(F.col("fields"), cfg.reference)))
+    df = settled(N.normalize(settled(N.extracted(df)), cfg.reference))
     df = N.validated(N.protect(df, cfg.pii))
     blank = F.trim(F.coalesce(F.col("content"), F.lit(""))) == ""
     disposition = F.when(blank, "INVALID").when(F.col("duplicate"), "DUPLICATE").when(F.col("quarantine"), "QUARANTINED").when(~F.col("valid"), "INVALID").otherwise("PROCESSED")
-    return df.withColumn("disposition", disposition)
+    return settled(df.withColumn("disposition", disposition))
 
 
 def events(done: DataFrame) -> DataFrame:
