@@ -150,31 +150,32 @@ class Restorer:
                         at[to][x, y] = (new, read + out)
         return max(((score + self._logs[a][b][0], read) for (a, b), (score, read) in at[-1].items()), default=(0.0, s))[1]
 
+    @staticmethod
+    def _tokens(low: str, pattern: re.Pattern, inside) -> Iterator[tuple[int, int, str]]:
+        """The whole tokens around matches, each once: (start, end, first character of the match). Linear in the text."""
+        done = 0
+        while m := pattern.search(low, done):
+            a, b = m.span()
+            while a > done and inside(low[a - 1]):
+                a -= 1
+            while b < len(low) and inside(low[b]):
+                b += 1
+            yield a, b, low[m.start()]
+            done = b
+
     def restore(self, text: str) -> str:
         """The text in lower case with disguised stretches replaced by their readings."""
         low = text.lower()
         found: list[tuple[int, int]] = [m.span() for m in _SPELLED.finditer(low)]
-        for m in _SIGNS.finditer(low):
-            a, b = m.span()
-            sign = low[a]
-            while a > 0 and (low[a - 1].isalpha() or low[a - 1] in _IN_TOKEN):
-                a -= 1
-            while b < len(low) and (low[b].isalpha() or low[b] in _IN_TOKEN):
-                b += 1
+        for a, b, sign in self._tokens(low, _SIGNS, lambda c: c.isalpha() or c in _IN_TOKEN):
             while a < b and low[a] in "!*#|+(" and not low[a + 1 : a + 2].isalpha():
                 a += 1
             token = low[a:b].rstrip("!*#|+(")
-            if sum(map(str.isalpha, token)) >= 2 and not token.endswith(sign * 3) and len(token) <= 40:
+            letters = sum(map(str.isalpha, token))
+            if letters >= 2 and not token.endswith(sign * 3) and (len(token) <= 8 or 2 * letters >= len(token)) and len(token) <= 40:
                 found.append((a, a + len(token)))
         if any(t in low for t in _TRIPLES):
-            for m in _TRIPLE.finditer(low):
-                a, b = m.span()
-                while a > 0 and low[a - 1].isalpha():
-                    a -= 1
-                while b < len(low) and low[b].isalpha():
-                    b += 1
-                if b - a <= 200:
-                    found.append((a, b))
+            found += [(a, b) for a, b, _ in self._tokens(low, _TRIPLE, str.isalpha) if b - a <= 200]
         if not found:
             return low
         out, last = [], 0
