@@ -46,9 +46,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     files = accepted(spark.read.format("binaryFile").load(path)).select(F.col("path").alias("file"), decoded().alias("text"))
     array = F.from_json("text", "array<string>")
     lists = F.coalesce(*[F.from_json(F.get_json_object("text", f"$.{k}"), "array<string>") for k in ("events", "records", "logs", "data")])
-    whole = F.when(F.try_parse_json("text").isNotNull(), F.array(F.trim("text")))
+    single = ~F.col("text").rlike(r"\}\s*[\r\n]\s*\{")  # objects below each other without a comma are one record per line
+    whole = F.when(single & F.try_parse_json("text").isNotNull(), F.array(F.trim("text")))
     by_line = F.filter(F.split("text", LINE_ENDS), lambda x: x != "")
-    items = F.when(F.trim("text").startswith("["), F.coalesce(array, by_line)).otherwise(F.coalesce(lists, whole, by_line))
+    items = F.when(F.trim("text").startswith("["), F.coalesce(array, by_line)).otherwise(F.coalesce(F.when(single, lists), whole, by_line))
     return _numbered(files, items)
 
 
