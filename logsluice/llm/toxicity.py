@@ -265,13 +265,17 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
         in_toxic[at] += 1
     chance = scale_t * (in_toxic + 0.5) / (scale_t * (in_toxic + 0.5) + scale_c * (in_clean + 0.05))
     precise = scale_t * in_toxic / np.maximum(scale_t * in_toxic + scale_c * in_clean, 1e-9) >= LEAST_PRECISION
-    texts = [at[precise[at]] for at in texts]
+    texts = [np.sort(at) for at in texts]
     having: dict[int, list[int]] = {}
     for d, at in enumerate(texts):
-        for i in at.tolist():
+        for i in at[precise[at]].tolist():
             having.setdefault(i, []).append(d)
-    alike = lru_cache(None)(lambda a, b: 2 * len(sets[a] & sets[b]) > len(sets[a] | sets[b]))
-    sets = [frozenset(at.tolist()) for at in texts]
+
+    @lru_cache(None)
+    def alike(a: int, b: int) -> bool:
+        """Whether the texts share more than half of their (frequent enough) features."""
+        both = len(np.intersect1d(texts[a], texts[b], assume_unique=True))
+        return 2 * both > len(texts[a]) + len(texts[b]) - both
 
     def independent(docs_of: list[int]) -> bool:
         """Whether `least` of these texts are not copies of each other."""
