@@ -38,6 +38,17 @@ def op1_warc(spark, sf_dir):
     return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM q
+"""
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -98,4 +109,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
