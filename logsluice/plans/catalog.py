@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.store import cut
+from ..operators import detail as B
 from ..operators import detect as D
 from ..operators import export as X
 from ..operators import incidents as I
@@ -626,3 +627,45 @@ def q_csv_logfmt(spark, sf_dir):
 @query()
 def q_simulated_source(spark, sf_dir):
     return P.parse(P.detect(files.simulated(spark, 200))).select("line_number", "parser", "content")
+
+
+# --- detail views -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{WITH_LINES} SELECT e.event_id, l.content AS raw_content, 'AUTO' AS detected_format, CASE WHEN e.event_id % 9 = 0 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS shield_verdict
+FROM log_events e JOIN log_lines l ON e.event_id = l.event_id""")
+def q_event_detail(spark, sf_dir):
+    lines = log_lines(spark, sf_dir).select(F.col("event_id").alias("raw_log_id"), "content", F.lit("job-1").alias("job_id"))
+    jobs = spark.createDataFrame([("job-1", "AUTO")], "job_id string, detected_format string")
+    bad = lines.where(F.col("raw_log_id") % 9 == 0).select("raw_log_id", F.lit("SUSPICIOUS").alias("verdict"))
+    events = log_events(spark, sf_dir).withColumn("raw_log_id", F.col("event_id"))
+    return B.event_detail(events, lines, jobs, bad).select("event_id", "raw_content", "detected_format", "shield_verdict")
+
+
+@query(f"""{WITH_EVENTS}, n AS (SELECT a.event_id AS "of", b.event_id, abs(epoch_us(b.ts) - epoch_us(a.ts)) AS gap FROM log_events a JOIN log_events b ON a.source_ip = b.source_ip AND a.event_id <> b.event_id
+WHERE a.event_type = 'authentication_success' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 7200000000)
+SELECT "of", event_id, gap, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY "of" ORDER BY gap, event_id) AS nth FROM n) WHERE nth <= 25""")
+def q_related_events(spark, sf_dir):
+    events = log_events(spark, sf_dir)
+    return B.related(events, events.where("event_type = 'authentication_success'"), 7200)
+
+
+@query(f"""{WITH_EVENTS}, au AS (SELECT * FROM log_events WHERE event_type IN ('authentication_failure', 'authentication_success')), h AS ({_passed_sql('source_ip')} UNION ALL {_passed_sql('username')})
+SELECT DISTINCT au.event_id, 'RULE_6' AS rules FROM h JOIN au ON (h.kind = 'source_ip' AND au.source_ip = h.entity) OR (h.kind = 'username' AND au.username = h.entity)""")
+def q_alerts_of_event(spark, sf_dir):
+    events = log_events(spark, sf_dir)
+    members = D.hit_events(D.failed_then_passed(events, RULES["RULE_6"]), events)
+    return B.alerts_of(members, events).select("event_id", F.array_join("rules", ",").alias("rules"))
+
+
+@query(f"""{WITH_EVENTS}, p AS (SELECT source_ip AS entity, destination_port, count(*) AS n FROM log_events WHERE destination_port IS NOT NULL GROUP BY ALL)
+SELECT entity, destination_port AS port FROM p QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, destination_port) = 1""")
+def q_busiest_target(spark, sf_dir):
+    events = log_events(spark, sf_dir)
+    members = events.select(F.lit("source_ip").alias("kind"), F.col("source_ip").alias("entity"), "event_id")
+    return B.busiest_target(members, events).select("entity", "port")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id, user_id LIMIT 100")
+def q_listed(spark, sf_dir):
+    return B.listed(_read(spark, sf_dir, "events"), "ts", 100, event_type="error", props=None).select("event_id")
