@@ -2,7 +2,7 @@
 
 A gear hash rolls over each text's bytes; a chunk ends where its upper bits are zero, so cuts depend on the last bytes alone and
 an insertion shifts no cut but those around it. Of candidate cuts closer than MIN_CHUNK to the one before, the later goes (a rule
-that is local too); stretches without cuts are cut every MAX_CHUNK bytes. Chunks are grouped by a 128-bit digest. Within a document, consecutive
+that is local too); stretches without cuts are cut every MAX_CHUNK bytes. Chunks are grouped by a 96-bit digest. Within a document, consecutive
 chunks that other documents have too make a run; runs of RUN_BYTES or more are repeated passages. The first chunk of each group
 (least document id, then place) stays; later ones in repeated passages are removed. Cuts and digests are taken from the text with each
 run of white space (space, TAB to CR) as one space, so other line breaks hide no copy; spans are those of the text itself.
@@ -71,7 +71,7 @@ def single_spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(gap, np.uint8(32), data)[kept], np.flatnonzero(kept)
 
 
-CHUNK = "doc_id long, row long, nth int, start int, end int, size int, h1 long, h2 long"
+CHUNK = "doc_id long, row int, nth int, start int, end int, size int, h1 long, h2 int"
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,13 +89,13 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 raw = data.tobytes()
                 ends = cut_points(data)
                 at = ends.tolist()
-                digests = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip([0, *at], at, strict=False)), np.int64).reshape(-1, 2)
+                digests = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip([0, *at], at, strict=False)), [("h1", "<i8"), ("h2", "<i4")])
                 places = np.append(source, len(whole))[ends]
                 if len(t) != len(whole):
                     places = np.append(0, np.cumsum((whole & 0xC0) != 0x80))[places]
                 last = places.tolist()
                 n = len(at)
-                for col, new in zip(cols, ([doc_id] * n, [row] * n, range(n), [0, *last[:-1]], last, np.diff(ends, prepend=0).tolist(), digests[:, 0].tolist(), digests[:, 1].tolist()), strict=True):
+                for col, new in zip(cols, ([doc_id] * n, [row] * n, range(n), [0, *last[:-1]], last, np.diff(ends, prepend=0).tolist(), digests["h1"].tolist(), digests["h2"].tolist()), strict=True):
                     col.extend(new)
                 if len(cols[0]) > 200_000:
                     yield out(cols)
@@ -103,10 +103,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield out(cols)
 
     def out(cols) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+        types = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "nth", "start", "end", "size", "h1", "h2"])
 
-    return small_batches(docs).select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, CHUNK)
+    return small_batches(docs).select(F.col(key).cast("long"), F.col(text), F.hash(text)).mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(cut: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.sum(F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)")).alias("removed_chars"),
         span.alias("spans"),
     )
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("row"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.join(marks, ["doc_id", "row"], "left").select("doc_id", "n_chars", zero("n_passages"), zero("repeated_chars"), zero("removed_chars"), F.coalesce("spans", F.lit("")).alias("spans"))
 
@@ -149,7 +149,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cut = materialize(chunks(docs, key, text), "chunks")
     gone = passages(cut).groupBy("doc_id", "row").agg(F.sort_array(F.flatten(F.collect_list("removed"))).alias("__gone"))
     gone = gone.where(F.size("__gone") > 0).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    rows = docs.withColumn("__row2", F.xxhash64(text))
+    rows = docs.withColumn("__row2", F.hash(text))
     joined = rows.join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.col("__row2") == F.col("__row")), "left")
     kept = F.expr(
         f"CASE WHEN __gone IS NULL THEN {text} ELSE concat(aggregate(__gone, named_struct('at', 0, 't', ''), "
