@@ -73,6 +73,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_lines as the pipeline's input: job_id, source_name, line_number, content, received_at."""
-    return log_lines(spark, sf_dir).select(
+    lines, n = log_lines(spark, sf_dir), spark.sparkContext.defaultParallelism
+    if len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) < n:  # one small file would keep parsing on one core
+        lines = lines.repartition(n)
+    return lines.select(
         F.lit("job-1").alias("job_id"), F.col("source").alias("source_name"), F.col("event_id").alias("line_number"), "content", F.lit(REFERENCE).cast("timestamp").alias("received_at")
     )
