@@ -29,23 +29,30 @@ def band_of(score: Column) -> Column:
     return out.otherwise("info")
 
 
-def correlate(entities: DataFrame, events: DataFrame, window: int = 900) -> DataFrame:
-    """What happened around each entity: entities (kind, entity, center) against events within `window` seconds.
+def correlate(entities: DataFrame, events: DataFrame, window: int | str = 900) -> DataFrame:
+    """What happened around each entity: entities (kind, entity, center) against events within `window` seconds: one number for all, or the
+    column of entities with each one's own (of few distinct values, such as the rules' windows; the result then has it too).
 
-    The range join is an equi-join on entity and stretch of time (its own and both neighbours), so frequent entities spread.
+    The range join is an equi-join on entity and stretch of time (its own and both neighbours), so frequent entities spread. Stretches are as
+    long as the window, so events are dealt out once per distinct window.
     An address matches source or destination. One row per entity and center: counts, distinct sources, hosts and users, span and worst severity."""
-    width = window * 1_000_000
+    own = [window] if isinstance(window, str) else []
+    width = (F.col(window) if own else F.lit(window)).cast("long") * 1_000_000
     t = F.unix_micros(F.col("timestamp").cast("timestamp"))
     known = [("source_ip", "source_ip"), ("username", "username"), ("host", "host"), ("source", "source")] + ([("source_ip", "destination_ip")] if "destination_ip" in events.columns else [])
     named = F.array_distinct(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("entity")) for k, c in known]))
     rows = events.where("timestamp IS NOT NULL").select("source", "host", "username", "event_type", "severity", t.alias("t"), F.explode(named).alias("n"))
-    rows = rows.where("n.entity IS NOT NULL").select("*", "n.kind", "n.entity").drop("n").withColumn("b", F.floor(F.col("t") / width))
+    rows = rows.where("n.entity IS NOT NULL").select("*", "n.kind", "n.entity").drop("n")
     c = F.unix_micros(F.col("center").cast("timestamp"))
-    spots = entities.where("center IS NOT NULL").select("kind", "entity", "center", c.alias("c")).distinct()
-    spots = spots.withColumn("b", F.explode(F.expr(f"sequence(floor(c / {width}) - 1, floor(c / {width}) + 1)")))
-    near = spots.join(rows, ["kind", "entity", "b"]).where(F.abs(F.col("t") - F.col("c")) <= width)
+    spots = entities.where("center IS NOT NULL").select("kind", "entity", "center", *own, c.alias("c")).distinct()
+    if own:
+        rows = rows.crossJoin(F.broadcast(spots.where(F.col(window).isNotNull()).select(window).distinct()))
+    rows = rows.withColumn("b", F.floor(F.col("t") / width))
+    at = F.floor(F.col("c") / width)
+    spots = spots.withColumn("b", F.explode(F.sequence(at - 1, at + 1)))
+    near = spots.join(rows, ["kind", "entity", *own, "b"]).where(F.abs(F.col("t") - F.col("c")) <= width)
     n = lambda e: F.count_if(F.col("event_type") == e)
-    return near.groupBy("kind", "entity", "center").agg(
+    return near.groupBy("kind", "entity", "center", *own).agg(
         F.count("*").alias("events"), F.countDistinct("source").alias("sources"), F.countDistinct("host").alias("hosts"), F.countDistinct("username").alias("users"),
         n(FAILED).alias("failed"), n(PASSED).alias("passed"), n(DENIED).alias("denied"),
         F.when(F.count("*") > 1, F.max("t") - F.min("t")).alias("span_micros"), F.max(rank_of(F.col("severity"))).alias("worst"),
@@ -121,17 +128,16 @@ def merged(members: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def alerts(hits: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
-    """One alert per incident: worst rule, earliest center, correlation over three windows, risk and final severity."""
+    """One alert per incident: worst rule, earliest center, correlation over three of its longest windows, risk and final severity."""
     hits, members = cut(hits), cut(members)
     named = hits.join(merged(members), ["kind", "entity"])
     one = named.groupBy(F.col("root_kind").alias("kind"), F.col("root_entity").alias("entity")).agg(
-        F.max(F.struct(rank_of(F.col("severity")).alias("rank"), F.col("rule_key"))).alias("lead"), F.min("center").alias("center"), F.max("window_seconds").alias("window"),
+        F.max(F.struct(rank_of(F.col("severity")).alias("rank"), F.col("rule_key"))).alias("lead"), F.min("center").alias("center"), (3 * F.max("window_seconds")).alias("window"),
         F.sort_array(F.collect_set("rule_key")).alias("rules"), F.max(F.col("rule_key") == "RULE_6").alias("success_after_failures"),
     )
     one = cut(one)
-    widest = 3 * 3600
-    seen = correlate(one, events, widest)
-    found = one.join(seen, ["kind", "entity", "center"], "left").withColumn("shield_verdict", F.when(F.array_contains("rules", "RULE_7"), "SUSPICIOUS"))
+    seen = correlate(one, events, "window")
+    found = one.join(seen, ["kind", "entity", "center", "window"], "left").withColumn("shield_verdict", F.when(F.array_contains("rules", "RULE_7"), "SUSPICIOUS"))
     found = risk(found.fillna(0, ["events", "sources", "hosts", "users", "failed", "denied"]))
     worst = F.greatest(F.col("lead.rank"), rank_of(F.col("band")))
     level = F.when(worst == 4, "critical").when(worst == 3, "high").when(worst == 2, "medium").when(worst == 1, "low").otherwise("info")

@@ -60,6 +60,27 @@ def test_merging(spark):
     assert got == {("source_ip", "a"): "a", ("username", "u"): "a", ("username", "v"): "v"}
 
 
+def test_alerts_over_their_own_windows(spark):
+    rng = random.Random(6)
+    kinds = (D.FAILED, D.PASSED, D.DENIED, "generic")
+    rows = [(i, float(rng.randrange(2_000_000)), rng.choice(["a", "b", "c", None]), rng.choice("hij"), rng.choice("uvw"), rng.choice(kinds), rng.choice("st"), rng.choice(["low", "high", None])) for i in range(3000)]
+    events = _events(spark, rows)
+    at = {"a": 1_000_000, "b": 1_000_000, "c": 500_000}
+    windows = {"a": [300], "b": [300, 86_400], "c": [864_000, 600]}  # an incident takes its longest
+    base = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    hits = [(f"RULE_{i + 1}", "low", "source_ip", e, at[e] + i, w) for e, ws in windows.items() for i, w in enumerate(ws)]
+    hits = spark.createDataFrame(hits, "rule_key string, severity string, kind string, entity string, s long, window_seconds int")
+    hits = hits.withColumn("center", F.timestamp_micros(F.unix_micros(base) + F.col("s") * 1_000_000)).drop("s")
+    members = events.where("source_ip IS NOT NULL").select(F.lit("source_ip").alias("kind"), F.col("source_ip").alias("entity"), "event_id")
+    want = {}
+    for e, ws in windows.items():
+        near = [r for r in rows if r[2] == e and abs(r[1] - at[e]) <= 3 * max(ws)]
+        n = lambda k: sum(r[5] == k for r in near)  # noqa: B023, E731
+        want[e] = (len(near), len({r[6] for r in near}), len({r[3] for r in near}), len({r[4] for r in near}), n(D.FAILED), n(D.PASSED) if near else None, n(D.DENIED))
+    assert want["a"][0] < 10 < want["b"][0] < want["c"][0]
+    assert {r["entity"]: tuple(r)[1:] for r in I.alerts(hits, events, members).select("entity", "events", "sources", "hosts", "users", "failed", "passed", "denied").collect()} == want
+
+
 def test_templates(spark):
     lines = [(i, "s", f"User {u} logged in from 192.0.2.{i}") for i, u in enumerate(("kim", "lee", "ana"), 1)]
     r = T.mine(spark.createDataFrame(lines, "event_id long, source string, content string")).first()
