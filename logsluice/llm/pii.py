@@ -20,6 +20,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +51,8 @@ _ZERO_WIDTH = "­​‌‍⁠﻿"
 _WORDS = "|".join(SPELLED)
 _STEP = rf"(?:(?:double|triple)[\s,-]+)?(?:{_WORDS}|[0-9])(?![A-Za-z])"
 _RUN = rf"(?:\bplus[\s,-]+|\+[\s]?)?(?<![A-Za-z]){_STEP}(?:(?:[\s,-]+|\s+(?:dot|point)\s+){_STEP}){{3,}}"
-_OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+#: White space is taken from its start only, so that long stretches of it are read once.
+_OPEN, _SHUT = r"(?:(?<!\s)\s+)?[\[({<]\s*", r"\s*[\])}>]\s*"
 #: The arcs of the transducer that rewrite more than one character; the first that fits at a place is taken.
 _ARCS = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_SHUT}|(?<=[\w+-])\s+(?:@|at)\s+(?=[\w-]+(?:(?:\s+dot\s+|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\.)[A-Za-z0-9-]+)+)"
@@ -59,11 +61,11 @@ _ARCS = re.compile(
     rf"|(?P<run>{_RUN})",
     re.IGNORECASE,
 )
-#: A text without any of these cannot be rewritten; looking for them is one pass.
+_GAP = r"(?:[\s,-]+|\s+(?:dot|point)\s+)(?:(?:double|triple)[\s,-]+)?"
+#: Part of each arc that rewrites, in lower case: every match of _ARCS but a run of plain digits holds one of these.
 _HINT = re.compile(
-    rf"[{_ZERO_WIDTH}！-～{''.join(LOOK_ALIKES)}]|[^\x00-\x7f\W_a-zA-Z](?<=\d)"
-    rf"|[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\s@|@\s|\sdot\s|\b(?:{_WORDS})[\s,-]+(?:(?:double|triple)[\s,-]+)?(?:{_WORDS})\b",
-    re.IGNORECASE,
+    rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\s(?:@|dot\s|at\s+[\w-]+\.)|@\s"  # an `at` before a spelled or bracketed dot is found by the dot
+    rf"|[0-9]{_GAP}(?:{_WORDS})|(?:{_WORDS}){_GAP}(?:{_WORDS}|[0-9])"
 )
 _STEPS = re.compile(rf"(double|triple)|({_WORDS})|([0-9])|(dot|point)|(plus|\+)", re.IGNORECASE)
 
@@ -122,6 +124,16 @@ def _folded(c: str) -> str:
     return str(unicodedata.decimal(c)) if unicodedata.decimal(c, None) is not None else c
 
 
+@lru_cache(None)  # one entry per character there is, at most
+def _folds(c: str) -> bool:
+    return _folded(c) != c
+
+
+def _rewritable(text: str) -> bool:
+    """False only if the transducer changes nothing: no character folds and no arc fits. The Turkish i's match an i in any case."""
+    return (not text.isascii() and any(c > "\x7f" and (c in "\u0130\u0131" or _folds(c)) for c in set(text))) or _HINT.search(text.lower()) is not None
+
+
 def _digits(run: str) -> str:
     out, times = [], 1
     for m in _STEPS.finditer(run):
@@ -130,7 +142,7 @@ def _digits(run: str) -> str:
         elif m[4] or m[5]:
             out.append("." if m[4] else "+")
         else:
-            out.append((SPELLED[m[2].lower()] if m[2] else m[3]) * times)
+            out.append((SPELLED[m[2].lower().replace("\u0131", "i").replace("\u0307", "")] if m[2] else m[3]) * times)
             times = 1
     return "".join(out)
 
@@ -185,7 +197,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[int]]:
 def spans(text: str, base: dict[str, list[Span]] | None = None) -> dict[str, list[Span]]:
     """All spans by kind, in order: the base ones and those that only deobfuscation shows."""
     base = base_spans(text) if base is None else base
-    if not _HINT.search(text):
+    if not _rewritable(text):
         return base
     norm, starts, ends, changed = normalise(text)
     if not changed:

@@ -40,6 +40,33 @@ def test_disguises(text, kind, found):
     assert [text[a:b] for a, b in pii.spans(text)[kind]] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write jane at corp.example now", "email", "jane at corp.example"), ("𝐣𝐚𝐧𝐞@corp.example", "email", "𝐣𝐚𝐧𝐞@corp.example"), ("jane@ⓒⓞⓡⓟ.example", "email", "jane@ⓒⓞⓡⓟ.example"),
+        ("jane﹫corp.example", "email", "jane﹫corp.example"), ("call +1 five 5 five 5 five 5 five", "phone", "+1 five 5 five 5 five 5 five"),
+        ("host 1 point one point 2 point two", "ip", "1 point one point 2 point two"),
+    ],
+)
+def test_lone_disguises(text, kind, found):
+    assert [text[a:b] for a, b in pii.spans(text)[kind]] == [found]
+
+
+def test_gate_loses_nothing(monkeypatch):
+    rng = random.Random(8)
+    one = rng.choice
+    step = lambda: one(["", "", "", "double ", "Triple-"]) + one(["one", "FIVE", "oh", "fıve", "SİX", "5", "2", "٣"])
+    run = lambda: one(["", "+", "plus "]) + "".join(step() + one([" ", "-", ", ", " dot ", " point ", "  "]) for _ in range(rng.randint(3, 10)))
+    name = lambda: one(["jane", "corp", "x-1", "pаul", "𝐣𝐚𝐧", "ⓐb", "é", "漢"])
+    mail = lambda: name() + one([" at ", "@", " @ ", "@ ", " @", "[at]", " ( AT ) ", "﹫", "＠"]) + name() + one([".", " dot ", "[.]", " { Dot } ", "．", "\u200b."]) + one(["example", "org now"])
+    junk = lambda: "".join(one(["at", "@", "dot", ".", "one", "5", " ", "\n", "[", ")", "+", "²", "\u00a0", "4111 1111"]) for _ in range(6))
+    texts = [one(["", "a "]) + one([run, mail, junk])() + one(["", " ", " b"]) for _ in range(30_000)]
+    gated = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_rewritable", lambda text: True)
+    assert gated == [pii.spans(t) for t in texts]
+    assert sum(g != pii.base_spans(t) for g, t in zip(gated, texts, strict=True)) > 3000
+
+
 def test_block_top_k():
     rng = np.random.default_rng(1)
     for trial in range(40):
