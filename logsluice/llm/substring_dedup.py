@@ -3,15 +3,15 @@
 A gear hash rolls over each text's bytes; a chunk ends where its upper bits are zero, so cuts depend on the last bytes alone and
 an insertion shifts no cut but those around it. Of candidate cuts closer than MIN_CHUNK to the one before, the later goes (a rule
 that is local too); stretches without cuts are cut every MAX_CHUNK bytes. Chunks are grouped by a 96-bit digest. Within a document, consecutive
-chunks that other documents have too make a run; runs of RUN_BYTES or more are repeated passages. The first chunk of each group
+chunks that stand elsewhere too, in other documents or in this one, make a run; runs of RUN_BYTES or more are repeated passages. The first chunk of each group
 (least document id, then place) stays; later ones in repeated passages are removed. Cuts and digests are taken from the text with each
 run of white space (space, TAB to CR) as one space, so other line breaks hide no copy; spans are those of the text itself.
 
 Digests are counted with partial sums before the shuffle, and marks are joined back to thin chunk rows, whose hot keys
 Spark's skew join splits.
 
-Defined results: null and empty texts have no chunks; rows without id pass through unmarked; rows with one id count as one
-document for what repeats and keep a row each (by their text); an empty table gives an empty result; other columns are ignored. Whole texts are cut; a task holds
+Defined results: null and empty texts have no chunks; rows without id pass through unmarked; rows with one id are documents of their
+own if their texts differ; if these are equal too they count once and have equal results; an empty table gives an empty result; other columns are ignored. Whole texts are cut; a task holds
 some megabytes of text.
 """
 
@@ -110,9 +110,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def repeated_chunks(cut: DataFrame) -> DataFrame:
-    """The chunks that several documents have, with `first`: whether it is the first of its group."""
+    """The chunks that stand in several places, of one document or of several, with `first`: whether it is the first of its group. Rows equal in
+    id and text are one place."""
     place = F.struct("doc_id", "row", "nth")
-    groups = cut.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    groups = cut.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("last")).where("p < last")
     groups = groups.select(F.bitwise_not("h1").alias("w1"), F.bitwise_not("h2").alias("w2"), "p")
     rows = cut.withColumn("w1", F.bitwise_not("h1")).withColumn("w2", F.bitwise_not("h2"))
     return rows.join(groups, ["w1", "w2"]).select("doc_id", "row", "nth", "start", "end", "size", (place == F.col("p")).alias("first"))
@@ -121,7 +122,8 @@ def repeated_chunks(cut: DataFrame) -> DataFrame:
 def passages(cut: DataFrame) -> DataFrame:
     """Repeated passages: doc_id, row, start, end, and removed: the spans (start, end) of chunks that are not first."""
     by = W.partitionBy("doc_id", "row").orderBy("nth")
-    runs = repeated_chunks(cut).withColumn("run", F.col("nth") - F.row_number().over(by))
+    again = F.lag("nth").over(by).eqNullSafe(F.col("nth"))  # of a row that is there several times
+    runs = repeated_chunks(cut).withColumn("again", again).where(~F.col("again")).withColumn("run", F.col("nth") - F.row_number().over(by))
     late = F.when(~F.col("first"), F.struct("start", "end"))
     found = runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("bytes"), F.sort_array(F.collect_list(late)).alias("removed"))
     return found.where(F.col("bytes") >= RUN_BYTES).drop("run", "bytes")

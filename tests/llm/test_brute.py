@@ -168,6 +168,25 @@ def test_passages_resist_insertions(spark):
             assert texts[i][a:b] in texts[(i + 20) % 40]
 
 
+def test_passages_within_one_document(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    block, shared, alone = text(150), text(60), text(200)
+    inner = f"{text(40)} {block} {text(40)} {block} {text(40)}"
+    rows = [(1, inner), (2, f"{shared} {text(30)}"), (2, f"{text(30)} {shared}"), (3, alone), (4, f"{block[::-1]} " * 1000), (5, f"{text(50)} {text(50)}"), (6, alone[::-1]), (6, alone[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(substring_dedup.substring_dedup(docs).collect())
+    one, two, many = [r for r in got if r["doc_id"] == 1][0], [r for r in got if r["doc_id"] == 2], [r for r in got if r["doc_id"] == 4][0]
+    assert one["n_passages"] == 2 and len(block) - 2 * substring_dedup.MAX_CHUNK < one["removed_chars"] <= len(block) + 1  # chunks at its edges differ
+    for span in one["spans"].split(","):
+        a, b = map(int, span.split(":"))
+        assert inner.count(inner[a:b]) == 2
+    assert [r["n_passages"] for r in two] == [1, 1] and sorted(r["removed_chars"] > 0 for r in two) == [False, True]
+    assert many["removed_chars"] > 0.99 * many["n_chars"] - 2 * len(block)
+    assert all(r["n_passages"] == r["removed_chars"] == 0 for r in got if r["doc_id"] in (3, 5, 6))
+    assert len(next(r["text"] for r in substring_dedup.without_repeats(docs).collect() if r["doc_id"] == 1)) == len(inner) - one["removed_chars"]
+
+
 def test_toxicity_generalises(spark):
     rng = random.Random(4)
     plain = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(300)]
