@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _with_least(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct(), "cc-edges")
+        old, e = e, materialize(small.distinct(), "cc-edges")
+        release(old)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

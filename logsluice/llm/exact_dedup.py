@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, text_of
+from .common import SEPARATORS, chosen_rows, text_of
 
 
 def normalized(text: str = "text"):
@@ -48,9 +48,6 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the copies; of equal rows repeated under one id, one stays."""
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    kept = exact_dedup(docs, key, text).where("kept")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__k"))
-    named = docs.withColumn("__k", name).withColumn("__h", F.md5(normalized(text)))
-    return named.join(kept, "__k", "left_semi").dropDuplicates(["__k", "__h"]).drop("__k", "__h")
+    """docs without the copies: one row of each group, with the group's least id; of several such rows, the least by its columns in order."""
+    kept = exact_groups(docs, key, text).select(F.col("keep_id").alias("id"), F.hex("sha").alias("digest"))
+    return chosen_rows(docs, F.col(key), F.upper(F.sha2(normalized(text), 256)), kept)
