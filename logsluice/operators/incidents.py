@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.store import cut
+from . import detect
 from .detect import DENIED, FAILED, PASSED
 
 # Severity ranks and points, score bands, response categories of rules, priority of entity kinds.
@@ -29,19 +31,18 @@ def band_of(score: Column) -> Column:
     return out.otherwise("info")
 
 
-def correlate(entities: DataFrame, events: DataFrame, window: int | str = 900) -> DataFrame:
-    """What happened around each entity: entities (kind, entity, center) against events within `window` seconds: one number for all, or the
-    column of entities with each one's own (of few distinct values, such as the rules' windows; the result then has it too).
+def around(entities: DataFrame, events: DataFrame, window: int | str, keep: list[str]) -> DataFrame:
+    """Events (their columns `keep` and t, in microseconds) within `window` seconds of each entity's center: one number for all, or the column
+    of entities with each one's own (of few distinct values, such as the rules' windows). With kind, entity, center and such a window.
 
     The range join is an equi-join on entity and stretch of time (its own and both neighbours), so frequent entities spread. Stretches are as
-    long as the window, so events are dealt out once per distinct window.
-    An address matches source or destination. One row per entity and center: counts, distinct sources, hosts and users, span and worst severity."""
+    long as the window, so events are dealt out once per distinct window. An address matches source or destination."""
     own = [window] if isinstance(window, str) else []
     width = (F.col(window) if own else F.lit(window)).cast("long") * 1_000_000
     t = F.unix_micros(F.col("timestamp").cast("timestamp"))
     known = [("source_ip", "source_ip"), ("username", "username"), ("host", "host"), ("source", "source")] + ([("source_ip", "destination_ip")] if "destination_ip" in events.columns else [])
     named = F.array_distinct(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("entity")) for k, c in known]))
-    rows = events.where("timestamp IS NOT NULL").select("source", "host", "username", "event_type", "severity", t.alias("t"), F.explode(named).alias("n"))
+    rows = events.where("timestamp IS NOT NULL").select(*keep, t.alias("t"), F.explode(named).alias("n"))
     rows = rows.where("n.entity IS NOT NULL").select("*", "n.kind", "n.entity").drop("n")
     c = F.unix_micros(F.col("center").cast("timestamp"))
     spots = entities.where("center IS NOT NULL").select("kind", "entity", "center", *own, c.alias("c")).distinct()
@@ -50,7 +51,14 @@ def correlate(entities: DataFrame, events: DataFrame, window: int | str = 900) -
     rows = rows.withColumn("b", F.floor(F.col("t") / width))
     at = F.floor(F.col("c") / width)
     spots = spots.withColumn("b", F.explode(F.sequence(at - 1, at + 1)))
-    near = spots.join(rows, ["kind", "entity", *own, "b"]).where(F.abs(F.col("t") - F.col("c")) <= width)
+    return spots.join(rows, ["kind", "entity", *own, "b"]).where(F.abs(F.col("t") - F.col("c")) <= width)
+
+
+def correlate(entities: DataFrame, events: DataFrame, window: int | str = 900) -> DataFrame:
+    """What happened around each entity: entities (kind, entity, center) against events within `window` seconds (see around).
+    One row per entity and center: counts, distinct sources, hosts and users, span and worst severity."""
+    own = [window] if isinstance(window, str) else []
+    near = around(entities, events, window, ["source", "host", "username", "event_type", "severity"])
     n = lambda e: F.count_if(F.col("event_type") == e)
     return near.groupBy("kind", "entity", "center", *own).agg(
         F.count("*").alias("events"), F.countDistinct("source").alias("sources"), F.countDistinct("host").alias("hosts"), F.countDistinct("username").alias("users"),
@@ -61,10 +69,10 @@ def correlate(entities: DataFrame, events: DataFrame, window: int | str = 900) -
 
 def timeline(entities: DataFrame, events: DataFrame, kind: str, window: int = 900) -> DataFrame:
     """The events within the window around each entity's center, one row each, with a summary text."""
-    spots = entities.where(F.col("kind") == kind).select("entity", "center").distinct()
-    gap = F.abs(F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("center").cast("timestamp")))
     bits = F.concat_ws(" ", F.translate("event_type", "_", " "), F.concat(F.lit("from "), "source_ip"), F.concat(F.lit("on "), "host"), F.concat(F.lit("as "), "username"), F.concat(F.lit("["), "status", F.lit("]")))
-    return events.join(spots, F.col(kind) == F.col("entity")).where(gap <= window * 1_000_000).select("entity", "center", "timestamp", "event_id", bits.alias("summary"))
+    rows = events.withColumn("summary", bits)
+    near = around(entities.where(F.col("kind") == kind), rows, window, ["timestamp", "event_id", "summary"])
+    return near.where(F.col("kind") == kind).select("entity", "center", "timestamp", "event_id", "summary")
 
 
 def risk(df: DataFrame) -> DataFrame:
@@ -113,40 +121,121 @@ def overlaps(members: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def merged(members: DataFrame, least: float = 0.6) -> DataFrame:
-    """(kind, entity, root_kind, root_entity): each group's incident. A group joins the first earlier group that covers enough of it, and with
-    it whatever that one joined; only table lookups by pointer are repeated, at most once per kind of entity and level."""
-    first = overlaps(members, least).groupBy("b").agg(F.min("a").alias("to"))
-    order = F.lit(9)
-    for kind, n in PRIORITY.items():
-        order = F.when(F.col("kind") == kind, n).otherwise(order)
-    groups = members.select(F.struct(order.alias("o"), "kind", "entity").alias("g")).distinct()
-    at = cut(groups.join(first, F.col("g") == F.col("b"), "left").select("g", F.coalesce("to", "g").alias("root")))
-    for _ in range(3):  # doubles the steps that a pointer covers
-        up = at.select(F.col("g").alias("via"), F.col("root").alias("up"))
-        at = at.join(up, F.col("root") == F.col("via"), "left").select("g", F.coalesce("up", "root").alias("root"))
-    return at.select(F.col("g.kind").alias("kind"), F.col("g.entity").alias("entity"), F.col("root.kind").alias("root_kind"), F.col("root.entity").alias("root_entity"))
-
-
-def alerts(hits: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
-    """One alert per incident: worst rule, earliest center, correlation over three of its longest windows, risk and final severity."""
-    hits, members = cut(hits), cut(members)
-    named = hits.join(merged(members), ["kind", "entity"])
-    one = named.groupBy(F.col("root_kind").alias("kind"), F.col("root_entity").alias("entity")).agg(
-        F.max(F.struct(rank_of(F.col("severity")).alias("rank"), F.col("rule_key"))).alias("lead"), F.min("center").alias("center"), (3 * F.max("window_seconds")).alias("window"),
-        F.sort_array(F.collect_set("rule_key")).alias("rules"), F.max(F.col("rule_key") == "RULE_6").alias("success_after_failures"),
+    """(kind, entity, root_kind, root_entity): each group's incident. members: kind, entity, event_id.
+
+    Kinds are taken in order. A group joins the first incident that has enough of its events, and the incident then has all of them. Groups of
+    one kind share no events, so those of a kind are decided together: one join per kind with the incidents so far."""
+    members = members.select("kind", "entity", "event_id").distinct()
+    done = claimed = None
+    for kind in PRIORITY:
+        mine = members.where(F.col("kind") == kind).select("entity", "event_id")
+        if claimed is None:
+            home = mine.select("entity").distinct().select(F.lit(kind).alias("kind"), "entity", F.lit(kind).alias("root_kind"), F.col("entity").alias("root_entity"))
+        else:
+            sizes = mine.groupBy("entity").agg(F.count("*").alias("size"))
+            shared = mine.join(claimed, "event_id").groupBy("entity", "root").agg(F.count("*").alias("shared")).join(sizes, "entity")
+            to = shared.where(F.col("shared") >= F.lit(least) * F.col("size")).groupBy("entity").agg(F.min("root").alias("root"))
+            home = sizes.join(to, "entity", "left").select(F.lit(kind).alias("kind"), "entity", F.coalesce("root.kind", F.lit(kind)).alias("root_kind"), F.coalesce("root.entity", "entity").alias("root_entity"))
+        home = cut(home)
+        done = home if done is None else done.unionByName(home)
+        root = F.struct(_turn("root_kind").alias("turn"), F.col("root_kind").alias("kind"), F.col("root_entity").alias("entity")).alias("root")
+        more = mine.join(home, "entity").select(root, "event_id")
+        claimed = cut(more if claimed is None else claimed.unionByName(more).distinct())
+    return done
+
+
+def _turn(kind: str) -> Column:
+    turn = F.lit(9)
+    for k, n in PRIORITY.items():
+        turn = F.when(F.col(kind) == k, n).otherwise(turn)
+    return turn
+
+
+#: Reasons that an alert's text holds; further hits of the incident are left to the table of hits.
+REASONS = 50
+
+# Titles by rule, and what to do by entity.
+TITLE = {
+    "RULE_1": "Multiple failed logins", "RULE_2": "Possible brute-force activity", "RULE_3": "Credential spraying across hosts",
+    "RULE_4": "Unusual authentication frequency", "RULE_5": "Suspicious connection-then-auth sequence", "RULE_6": "Successful login after repeated failures",
+    "RULE_7": "Weaponized / injection log payload detected", "RULE_8": "Abnormal event burst",
+}
+RESPONSE = {
+    "source_ip": ("block_source_ip", "Block source IP %s at the perimeter firewall"),
+    "username": ("disable_account", "Temporarily disable account %s and force credential reset"),
+    "host": ("isolate_host", "Isolate host %s for investigation"),
+    "source": ("review_source", "Review the '%s' log source configuration and upstream device"),
+}
+
+
+def _one_of(column: str, values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))
+
+
+def incident_hits(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """Hits with root_kind and root_entity, and turn: their order within the incident (its own first, then as groups joined it, then by rule)."""
+    at = hits.join(merged(members), ["kind", "entity"], "left").withColumn("root_kind", F.coalesce("root_kind", "kind")).withColumn("root_entity", F.coalesce("root_entity", "entity"))
+    joined = (F.col("kind") != F.col("root_kind")) | (F.col("entity") != F.col("root_entity"))
+    return at.withColumn("turn", F.struct(joined.alias("joined"), _turn("kind").alias("turn"), "entity", "rule_key", F.coalesce("host", F.lit("")).alias("host")))
+
+
+def alerts(hits: DataFrame, events: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One alert per incident: its first worst rule, earliest center, what happened around it within three of its longest windows, risk and the
+    worse of the rule's and the risk's severity. Incidents of a source alone are not correlated: what their hits count stands for it.
+
+    members: detect.hit_events. Failed logins are the most that a hit counts, else those around; accounts are those of the hits' events."""
+    hits = cut(hits)
+    members = cut(detect.hit_events(hits, events) if members is None else members)
+    named = cut(incident_hits(hits, members))
+    col, group = F.col, ["root_kind", "root_entity"]
+    rule = col("rule_key")
+    verdict = F.when(rule == "RULE_7", F.struct("turn", F.when(col("severity") == "critical", "WEAPONIZED_LOG").otherwise("SUSPICIOUS").alias("v")))
+    one = named.groupBy(*group).agg(
+        F.min(F.struct((-rank_of(col("severity"))).alias("r"), "turn", rule)).alias("lead"), F.min("center").alias("center"), F.max("window_seconds").alias("window_seconds"),
+        F.sort_array(F.collect_set("rule_key")).alias("rules"), F.max(rule == "RULE_6").alias("success_after_failures"),
+        F.max(F.when(rule.isin("RULE_1", "RULE_2", "RULE_3"), col("n_events"))).alias("most_failed"), F.min(verdict)["v"].alias("shield_verdict"), F.count("*").alias("n_hits"),
     )
-    one = cut(one)
-    seen = correlate(one, events, "window")
-    found = one.join(seen, ["kind", "entity", "center", "window"], "left").withColumn("shield_verdict", F.when(F.array_contains("rules", "RULE_7"), "SUSPICIOUS"))
-    found = risk(found.fillna(0, ["events", "sources", "hosts", "users", "failed", "denied"]))
-    worst = F.greatest(F.col("lead.rank"), rank_of(F.col("band")))
+    nth = F.row_number().over(W.partitionBy(*group).orderBy("rule_key", "turn"))
+    texts = named.withColumn("nth", nth).where(col("nth") <= REASONS).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("nth", "reason"))).alias("t"))
+    texts = texts.select(*group, F.array_join("t.reason", " ").alias("reason"))
+    roots = named.select("kind", "entity", "rule_key", *group).distinct()
+    told = members.join(roots, ["kind", "entity", "rule_key"]).groupBy(*group).agg(
+        F.countDistinct(F.when(rule != "RULE_8", col("username"))).alias("accounts"), F.countDistinct("event_id").alias("own_events"), F.max(rank_of(col("severity"))).alias("own_worst"))
+    one = one.join(texts, group).join(told, group, "left").withColumnsRenamed({"root_kind": "kind", "root_entity": "entity"})
+    one = cut(one.withColumn("window", 3 * col("window_seconds")))
+    seen = correlate(one.where("kind <> 'source'"), events, "window")
+    found = one.join(seen, ["kind", "entity", "center", "window"], "left")
+    counted = {n: F.coalesce(n, F.lit(0)) for n in ("sources", "hosts", "passed", "denied")}
+    alone = col("kind") == "source"
+    counted["failed"] = F.coalesce(F.when(col("most_failed") > 0, col("most_failed")), col("failed"), F.lit(0))
+    counted["events"] = F.when(alone, F.coalesce("own_events", F.lit(0))).otherwise(F.coalesce("events", F.lit(0)))
+    counted["worst"] = F.when(alone, col("own_worst")).otherwise(col("worst"))
+    counted["users"] = F.coalesce("accounts", F.lit(0))
+    found = risk(found.withColumns(counted))
+    worst = F.greatest(-col("lead.r"), rank_of(col("band")))
     level = F.when(worst == 4, "critical").when(worst == 3, "high").when(worst == 2, "medium").when(worst == 1, "low").otherwise("info")
-    return found.select(
-        F.concat_ws("|", F.lit("alert"), "kind", "entity").alias("dedup_key"), "kind", "entity", F.col("lead.rule_key").alias("rule_key"), "rules", level.alias("severity"), F.col("score").alias("risk_score"),
-        "band", "center", "events", "sources", "hosts", "users", "failed", "passed", "denied", F.lit("NEW").alias("status"),
+    about = F.when(alone, F.concat(F.lit(" (source "), "entity", F.lit(")"))).otherwise(F.concat(F.lit(" ("), F.translate("kind", "_", " "), F.lit(" "), "entity", F.lit(")")))
+    label = F.lit(None).cast("string")
+    for kind, (_, text) in RESPONSE.items():
+        label = F.when(col("kind") == kind, F.format_string(text, "entity")).otherwise(label)
+    response = F.struct(_one_of("kind", {k: a for k, (a, _) in RESPONSE.items()}).alias("action"), label.alias("label"), col("entity").alias("target"), F.lit(False).alias("auto_execute"), col("band").alias("urgency"))
+    return found.withColumn("rule_key", col("lead.rule_key")).select(
+        F.concat_ws("=", "kind", "entity").alias("dedup_key"), F.concat(_one_of("rule_key", TITLE), about).alias("title"), "kind", "entity", "rule_key", "rules", level.alias("severity"),
+        col("score").alias("risk_score"), "band", "factors", "center", "window_seconds", "events", "sources", "hosts", "users", "failed", "passed", "denied",
+        F.concat(F.lit("Triggered rules: "), F.array_join("rules", ", "), F.lit(". Entity "), "kind", F.lit("="), "entity", F.lit(".")).alias("description"), "reason",
+        response.alias("recommended_response"), F.lit("NEW").alias("status"),
     )
 
 
+def alert_events(rows: DataFrame, events: DataFrame, members: DataFrame, hits: DataFrame) -> DataFrame:
+    """(dedup_key, event_id): the events around each alert's center that concern its entity; for alerts of a source, the events that its hits count."""
+    near = around(rows.where("kind <> 'source'").select("kind", "entity", "center", (3 * F.col("window_seconds")).alias("window")), events, "window", ["event_id"])
+    roots = incident_hits(hits, members).where("root_kind = 'source'").select("kind", "entity", "rule_key", "root_kind", "root_entity").distinct()
+    own = members.join(roots, ["kind", "entity", "rule_key"]).select(F.col("root_kind").alias("kind"), F.col("root_entity").alias("entity"), "event_id").distinct()
+    found = near.select("kind", "entity", "event_id").unionByName(own)
+    return found.join(rows.select("dedup_key", "kind", "entity"), ["kind", "entity"]).select("dedup_key", "event_id").distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "dedup_key", keep: tuple[str, ...] = ("status",)) -> DataFrame:
     """The newest payload per key; columns of `keep` stay as they were where the key was known. Keys are unique on either side."""
     cols = [c for c in new.columns if c != key]

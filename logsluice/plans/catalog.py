@@ -334,7 +334,7 @@ def _hits(df):
     return df.select(*_HIT_COLUMNS, _ntz("center"))
 
 
-def _peak_sql(rule, where, keys, kind, extra="", join=""):
+def _peak_sql(rule, where, keys, kind, extra="", more=""):
     r, k = RULES[rule], ", ".join(keys)
     same = " AND ".join(f"b.{x} = c.{x}" for x in keys)
     return f"""{WITH_EVENTS}, e AS (SELECT * FROM log_events WHERE {where}), w AS (
@@ -342,7 +342,7 @@ def _peak_sql(rule, where, keys, kind, extra="", join=""):
 b AS (SELECT {k}, max(n) AS peak, min(ts) FILTER (n = m) AS t, min(low) FILTER (n = m AND ts = t0) AS low FROM (SELECT *, max(n) OVER (PARTITION BY {k}) AS m, min(ts) FILTER (n = mm) OVER (PARTITION BY {k}) AS t0
     FROM (SELECT *, max(n) OVER (PARTITION BY {k}) AS mm FROM w)) GROUP BY {k}),
 c AS (SELECT {k}, count(*) AS n_events, count(DISTINCT host) AS n_hosts, count(DISTINCT username) AS n_users FROM e GROUP BY {k})
-SELECT '{rule}' AS rule_key, '{r.severity}' AS severity, '{kind}' AS kind, c.{keys[0]} AS entity, n_events, peak, n_hosts, n_users,
+SELECT '{rule}' AS rule_key, '{r.severity}' AS severity, '{kind}' AS kind, c.{keys[0]} AS entity, n_events, peak, n_hosts, n_users, {more}
     make_timestamp(CAST((epoch_us(low) + epoch_us(t)) // 2 AS BIGINT)) AS center FROM b JOIN c ON {same} WHERE {extra or f'peak >= {r.threshold}'}"""
 
 
@@ -462,20 +462,97 @@ def q_incident_overlaps(spark, sf_dir):
     return I.overlaps(_members(spark, sf_dir)).select(F.col("a.entity").alias("earlier"), F.col("b.entity").alias("later"), "shared", "size")
 
 
-@query()
+# Security events of the registered alerts: some lines of a source count as suspicious or as weapons.
+_WEAPON, _SUSPICIOUS = "event_id % 400 = 7 AND source = 'web'", "event_id % 90 = 5"
+
+
+def _sec(spark, sf_dir):
+    verdict = F.when(F.expr(_WEAPON), "WEAPONIZED_LOG").when(F.expr(_SUSPICIOUS), "SUSPICIOUS").otherwise("SAFE")
+    return log_events(spark, sf_dir).select(F.col("timestamp").alias("ts"), "source", verdict.alias("verdict"), F.lit("injection").alias("detection_type"))
+
+
+def _hit_sql(rule, sql, reason, host="NULL"):
+    return f"SELECT '{rule}' AS rule_key, severity, kind, entity, {host} AS host, n_events, center, {D.RULE[rule].window if rule not in RULES else RULES[rule].window} AS w, {reason} AS reason FROM ({sql})"
+
+
+_TRIED = "event_type IN ('authentication_failure', 'authentication_success')"
+_DENIED_SQL = f"""SELECT 'medium' AS severity, 'source_ip' AS kind, e.source_ip AS entity, count(*) AS n_events, d.center FROM log_events e
+    JOIN (SELECT source_ip, min(ts) AS center FROM log_events WHERE event_type = 'connection_denied' GROUP BY source_ip) d ON e.source_ip = d.source_ip
+    WHERE event_type = 'authentication_failure' AND epoch_us(ts) - epoch_us(center) BETWEEN 0 AND {86_400 * 4_000_000} GROUP BY e.source_ip, d.center"""
+_SHIELD_SQL = f"""SELECT CASE WHEN count(*) FILTER ({_WEAPON}) > 0 THEN 'critical' ELSE 'high' END AS severity, 'source' AS kind, source AS entity, count(*) AS n_events, min(ts) AS center,
+    count(*) FILTER ({_WEAPON}) AS weapons FROM log_events WHERE ({_WEAPON}) OR {_SUSPICIOUS} GROUP BY source"""
+_FAILS = "event_type = 'authentication_failure'"
+_HITS_SQL = " UNION ALL ".join([
+    _hit_sql("RULE_1", _peak_sql("RULE_1", _FAILS, ["source_ip"], "source_ip"), "peak || ' failed authentication attempts from ' || entity || ' within 86400s (threshold 5).'"),
+    _hit_sql("RULE_2", _peak_sql("RULE_2", _FAILS, ["source_ip", "host"], "source_ip", more="c.host,"), "'Sustained brute-force pattern: ' || peak || ' failures from ' || entity || ' against ' || host || ' within 86400s.'", "host"),
+    _hit_sql("RULE_3", _peak_sql("RULE_3", _FAILS, ["source_ip"], "source_ip", "n_hosts >= 3"), f"entity || ' produced authentication failures against ' || n_hosts || ' distinct hosts (' || (SELECT string_agg(DISTINCT l.host, ', ' ORDER BY l.host) FROM log_events l WHERE {_FAILS} AND l.source_ip = entity) || ').'"),
+    _hit_sql("RULE_4", _peak_sql("RULE_4", _TRIED, ["username"], "username"), "'Account ''' || entity || ''' saw ' || peak || ' authentication attempts within 864000s (threshold 2).'"),
+    _hit_sql("RULE_5", _DENIED_SQL, "entity || ' was denied at the firewall and then produced ' || n_events || ' authentication failure(s) shortly after.'"),
+    _hit_sql("RULE_6", f"{_passed_sql('source_ip')} UNION ALL {_passed_sql('username')}", "peak || ' failed authentications for ' || kind || '=' || entity || ' were followed by a SUCCESSFUL login - possible credential compromise.'"),
+    _hit_sql("RULE_7", _SHIELD_SQL, "'Security Shield flagged ' || n_events || ' log record(s) from ''' || entity || ''' (' || weapons || ' weaponized) - injection.'"),
+    _hit_sql("RULE_8", _peak_sql("RULE_8", "true", ["source"], "source"), "'Event burst: ' || peak || ' events from ''' || entity || ''' within 3600s (threshold 5).'"),
+])
+_MERGE = f"""{WITH_EVENTS}, au AS (SELECT * FROM log_events WHERE {_TRIED}), hits AS ({_HITS_SQL}),
+ev AS (SELECT 'source_ip' AS kind, source_ip AS entity, * FROM log_events UNION ALL SELECT 'username', username, * FROM log_events UNION ALL SELECT 'source', source, * FROM log_events),
+m AS (SELECT DISTINCT h.rule_key, h.kind, h.entity, e.event_id, e.username, e.severity FROM hits h JOIN ev e ON h.kind = e.kind AND h.entity = e.entity WHERE CASE h.rule_key WHEN 'RULE_1' THEN {_FAILS}
+    WHEN 'RULE_2' THEN {_FAILS} AND coalesce(e.host, '?') = h.host WHEN 'RULE_3' THEN {_FAILS} WHEN 'RULE_4' THEN {_TRIED} WHEN 'RULE_5' THEN {_FAILS} AND epoch_us(e.ts) - epoch_us(h.center) BETWEEN 0 AND h.w::BIGINT * 4000000
+    WHEN 'RULE_6' THEN {_TRIED} WHEN 'RULE_8' THEN true ELSE false END),
+g AS (SELECT DISTINCT kind, entity, event_id FROM m), z AS (SELECT kind, entity, count(*) AS size FROM g GROUP BY ALL),
+u1 AS (SELECT x.entity, c.entity AS root, count(*) AS shared FROM g x JOIN g c ON x.event_id = c.event_id AND x.kind = 'username' AND c.kind = 'source_ip' GROUP BY ALL),
+u2 AS (SELECT u1.entity, min(root) AS root FROM u1 JOIN z ON z.kind = 'username' AND z.entity = u1.entity WHERE shared >= 0.6 * size GROUP BY u1.entity),
+r1 AS (SELECT z.kind, z.entity, CASE WHEN u2.root IS NOT NULL THEN 'source_ip' ELSE z.kind END AS root_kind, coalesce(u2.root, z.entity) AS root_entity FROM z LEFT JOIN u2 ON z.kind = 'username' AND z.entity = u2.entity WHERE z.kind <> 'source'),
+cl AS (SELECT DISTINCT root_kind, root_entity, event_id FROM g JOIN r1 USING (kind, entity)),
+s1 AS (SELECT x.entity, root_kind, root_entity, count(*) AS shared FROM g x JOIN cl ON x.event_id = cl.event_id AND x.kind = 'source' GROUP BY ALL),
+s2 AS (SELECT s1.entity, root_kind, root_entity FROM s1 JOIN z ON z.kind = 'source' AND z.entity = s1.entity WHERE shared >= 0.6 * size QUALIFY row_number() OVER (PARTITION BY s1.entity ORDER BY root_kind, root_entity) = 1),
+r AS (SELECT * FROM r1 UNION ALL SELECT z.kind, z.entity, coalesce(root_kind, 'source'), coalesce(root_entity, z.entity) FROM z LEFT JOIN s2 ON z.entity = s2.entity WHERE z.kind = 'source')"""
+
+
+@query(f"{_MERGE} SELECT kind, entity, root_kind, root_entity FROM r")
 def q_incident_merge(spark, sf_dir):
-    return I.merged(_members(spark, sf_dir))
+    hits, events = _all_hits(spark, sf_dir)
+    return I.merged(D.hit_events(hits, events))
 
 
-def _alerts(spark, sf_dir):
+def _all_hits(spark, sf_dir):
     events = log_events(spark, sf_dir)
-    hits = cut(D.evaluate(events, None, list(RULES.values())))
-    return I.alerts(hits, events, D.hit_events(hits, events).select("kind", "entity", "event_id"))
+    return cut(D.evaluate(events, _sec(spark, sf_dir), [*RULES.values(), D.RULE["RULE_7"]])), events
 
 
-@query()
+def _alerts(spark, sf_dir):
+    return I.alerts(*_all_hits(spark, sf_dir))
+
+
+_RANK = "CASE {} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 WHEN 'info' THEN 0 END"
+_TITLES = "CASE rule_key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.TITLE.items()) + " END"
+_ALERTS = f"""{_MERGE}, nh AS (SELECT h.*, coalesce(root_kind, h.kind) AS root_kind, coalesce(root_entity, h.entity) AS root_entity,
+    (root_entity IS NOT NULL AND (h.kind <> root_kind OR h.entity <> root_entity))::INT AS joined, CASE h.kind WHEN 'source_ip' THEN 0 WHEN 'username' THEN 2 ELSE 3 END AS turn FROM hits h LEFT JOIN r ON h.kind = r.kind AND h.entity = r.entity),
+lead AS (SELECT root_kind, root_entity, rule_key, {_RANK.format('severity')} AS lead_rank FROM nh
+    QUALIFY row_number() OVER (PARTITION BY root_kind, root_entity ORDER BY {_RANK.format('severity')} DESC, joined, turn, entity, rule_key, coalesce(host, '')) = 1),
+a AS (SELECT root_kind, root_entity, min(center) AS center, max(w) AS window_seconds, array_to_string(list_sort(list(DISTINCT rule_key)), ', ') AS rules, bool_or(rule_key = 'RULE_6') AS six,
+    max(CASE WHEN rule_key IN ('RULE_1', 'RULE_2', 'RULE_3') THEN n_events END) AS most_failed, string_agg(reason, ' ' ORDER BY rule_key, joined, turn, entity, coalesce(host, '')) AS reason,
+    CASE arg_min(severity, joined * 100000 + turn) FILTER (rule_key = 'RULE_7') WHEN 'critical' THEN 25 WHEN 'high' THEN 10 ELSE 0 END AS shield FROM nh GROUP BY ALL),
+t AS (SELECT root_kind, root_entity, count(DISTINCT m.username) FILTER (m.rule_key <> 'RULE_8') AS users, count(DISTINCT event_id) AS own_events, max({_RANK.format('m.severity')}) AS own_worst
+    FROM m JOIN (SELECT DISTINCT rule_key, kind, entity, root_kind, root_entity FROM nh) USING (rule_key, kind, entity) GROUP BY ALL),
+c AS (SELECT a.root_kind, a.root_entity, count(*) AS events, count(DISTINCT source) AS sources, count(DISTINCT host) AS hosts, count(*) FILTER ({_FAILS}) AS failed, count(*) FILTER (event_type = 'connection_denied') AS denied,
+    CASE WHEN count(*) > 1 THEN max(epoch_us(ts)) - min(epoch_us(ts)) END AS span_micros, max({_RANK.format('severity')}) AS worst
+    FROM a JOIN ev ON ev.kind = a.root_kind AND ev.entity = a.root_entity WHERE a.root_kind <> 'source' AND abs(epoch_us(ts) - epoch_us(center)) <= 3000000::BIGINT * window_seconds GROUP BY a.root_kind, a.root_entity),
+n AS (SELECT a.*, rule_key, lead_rank, coalesce(users, 0) AS users, CASE WHEN a.root_kind = 'source' THEN coalesce(own_events, 0) ELSE coalesce(c.events, 0) END AS events, coalesce(sources, 0) AS sources, coalesce(hosts, 0) AS hosts,
+    coalesce(CASE WHEN most_failed > 0 THEN most_failed END, c.failed, 0) AS failed, coalesce(denied, 0) AS denied, span_micros, CASE WHEN a.root_kind = 'source' THEN own_worst ELSE worst END AS worst
+    FROM a JOIN lead USING (root_kind, root_entity) LEFT JOIN t USING (root_kind, root_entity) LEFT JOIN c USING (root_kind, root_entity)),
+p AS (SELECT *, CASE WHEN failed > 0 THEN least(30, 3 * failed) ELSE 0 END + CASE WHEN hosts > 1 THEN least(16, 7 * (hosts - 1)) ELSE 0 END + CASE WHEN sources > 1 THEN least(20, 8 * (sources - 1)) ELSE 0 END
+    + CASE WHEN span_micros IS NOT NULL AND events >= 3 THEN CASE WHEN events / greatest(span_micros / 60000000.0, 0.1) >= 20 THEN 18 WHEN events / greatest(span_micros / 60000000.0, 0.1) >= 8 THEN 12 WHEN events / greatest(span_micros / 60000000.0, 0.1) >= 3 THEN 7 ELSE 2 END ELSE 0 END
+    + CASE worst WHEN 4 THEN 22 WHEN 3 THEN 15 WHEN 2 THEN 9 WHEN 1 THEN 4 WHEN 0 THEN 1 ELSE 0 END + CASE WHEN users > 1 THEN least(10, 3 * users) ELSE 0 END + CASE WHEN six THEN 15 ELSE 0 END + shield + CASE WHEN denied >= 3 THEN least(10, denied) ELSE 0 END AS raw FROM n),
+s AS (SELECT *, CAST(least(100, CASE WHEN raw <= 60 THEN raw ELSE round_even(60 + (raw - 60) * 0.6, 0) END) AS INTEGER) AS score FROM p), q AS (SELECT *, {_BAND} AS band FROM s)
+SELECT root_kind || '=' || root_entity AS dedup_key, {_TITLES} || ' (' || CASE root_kind WHEN 'source_ip' THEN 'source ip ' WHEN 'username' THEN 'username ' ELSE 'source ' END || root_entity || ')' AS title, rule_key,
+    ['info', 'low', 'medium', 'high', 'critical'][greatest(lead_rank, {_RANK.format('band')}) + 1] AS severity, score AS risk_score, band, center, window_seconds, events, hosts, users, failed,
+    'Triggered rules: ' || rules || '. Entity ' || root_kind || '=' || root_entity || '.' AS description, reason, CASE root_kind WHEN 'source_ip' THEN 'block_source_ip' WHEN 'username' THEN 'disable_account' ELSE 'review_source' END AS response FROM q"""
+
+
+@query(_ALERTS)
 def q_alerts(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("dedup_key", "kind", "entity", "rule_key", "severity", "risk_score", "band", _ntz("center"), "events", "failed", "status")
+    return _alerts(spark, sf_dir).select(
+        "dedup_key", "title", "rule_key", "severity", "risk_score", "band", _ntz("center"), "window_seconds", "events", "hosts", "users", "failed", "description", "reason", F.col("recommended_response.action").alias("response"),
+    )
 
 
 @query(f"{_NEAR}, {_SCORE} SELECT entity, score FROM s ORDER BY score DESC, center DESC, entity LIMIT 5")

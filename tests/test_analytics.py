@@ -60,6 +60,28 @@ def test_merging(spark):
     assert got == {("source_ip", "a"): "a", ("username", "u"): "a", ("username", "v"): "v"}
 
 
+def test_merging_against_groups_one_after_the_other(spark):
+    """An incident has the events of whatever joined it, which later groups are compared with."""
+    rng = random.Random(9)
+    members = [(kind, f"{kind[0]}{rng.randrange(4)}", i) for kind in ("source_ip", "host", "username", "source") for i in range(40) if rng.random() < 0.8]
+    members += [("source_ip", "x", i) for i in range(100, 106)] + [("host", "y", i) for i in range(103, 108)] + [("source", "z", i) for i in range(106, 109)]
+    groups: dict = {}
+    for kind, entity, i in members:
+        groups.setdefault((I.PRIORITY[kind], kind, entity), set()).add(i)
+    roots, want = [], {}
+    for g, ids in sorted(groups.items()):
+        for root in roots:
+            if len(ids & root[1]) >= 0.6 * len(ids):
+                root[1] |= ids
+                want[g[1:]] = root[0]
+                break
+        else:
+            roots.append([g[1:], set(ids)])
+            want[g[1:]] = g[1:]
+    got = {(r["kind"], r["entity"]): (r["root_kind"], r["root_entity"]) for r in I.merged(spark.createDataFrame(members, "kind string, entity string, event_id long")).collect()}
+    assert got == want and want["source", "z"] == ("source_ip", "x")
+
+
 def test_alerts_over_their_own_windows(spark):
     rng = random.Random(6)
     kinds = (D.FAILED, D.PASSED, D.DENIED, "generic")
@@ -71,12 +93,14 @@ def test_alerts_over_their_own_windows(spark):
     hits = [(f"RULE_{i + 1}", "low", "source_ip", e, at[e] + i, w) for e, ws in windows.items() for i, w in enumerate(ws)]
     hits = spark.createDataFrame(hits, "rule_key string, severity string, kind string, entity string, s long, window_seconds int")
     hits = hits.withColumn("center", F.timestamp_micros(F.unix_micros(base) + F.col("s") * 1_000_000)).drop("s")
-    members = events.where("source_ip IS NOT NULL").select(F.lit("source_ip").alias("kind"), F.col("source_ip").alias("entity"), "event_id")
+    hits = hits.withColumns({"n_events": F.lit(0), "host": F.lit(None).cast("string"), "reason": F.lit("why")})
+    rules = F.explode(F.array(*[F.lit(f"RULE_{i}") for i in (1, 2)])).alias("rule_key")
+    members = events.where("source_ip IS NOT NULL").select(rules, F.lit("source_ip").alias("kind"), F.col("source_ip").alias("entity"), "event_id", "username", "severity")
     want = {}
     for e, ws in windows.items():
         near = [r for r in rows if r[2] == e and abs(r[1] - at[e]) <= 3 * max(ws)]
         n = lambda k: sum(r[5] == k for r in near)  # noqa: B023, E731
-        want[e] = (len(near), len({r[6] for r in near}), len({r[3] for r in near}), len({r[4] for r in near}), n(D.FAILED), n(D.PASSED) if near else None, n(D.DENIED))
+        want[e] = (len(near), len({r[6] for r in near}), len({r[3] for r in near}), 3, n(D.FAILED), n(D.PASSED), n(D.DENIED))
     assert want["a"][0] < 10 < want["b"][0] < want["c"][0]
     assert {r["entity"]: tuple(r)[1:] for r in I.alerts(hits, events, members).select("entity", "events", "sources", "hosts", "users", "failed", "passed", "denied").collect()} == want
 
