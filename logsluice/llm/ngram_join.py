@@ -6,18 +6,22 @@ Sets are cut at pivots of the global n-gram order (the order of 64-bit hashes) i
 2. A pair that links shares at least 75 % of either set. Each fragment tells which n-grams at least two classes have; a class
    whose fragments' counts sum up to less than 75 % of its set has no partner and goes. A task sends an n-gram that
    several of its own classes have only once, so a frequent n-gram costs one entry a task.
-3. The classes left are linked in stars around the most central class that shares a min-hash with them (the one whose
-   min-hashes most others have); a pair's overlap is counted fragment by fragment and the partial counts are summed. Verified
-   links give components.
+3. The classes left are contracted in rounds, bucket by bucket until a round adds no link. In a round every class is compared, in each
+   bucket of equal min-hashes, with the bucket's leader (first the class whose min-hashes most others have, then one drawn anew)
+   and with a few neighbours in an order drawn anew, where these are of other components: a number of pairs linear in the rows of the
+   buckets, however large a group of near copies is. Pairs whose parity bitmaps differ in too many places go; of the others the
+   overlap is counted fragment by fragment and the partial counts are summed.
 4. Step 2 again, now for n-grams that at least two components have. The classes left are joined by prefix filter over the order
    by frequency, with bounds on the overlap by length, position and parity bitmaps in the join itself, and only pairs across
    components are verified. So every link between two components is found, while the pairs within one need not be counted.
+   Of an n-gram's classes, those of the component that has most of them only meet the others.
 
 Words are runs of anything but space and TAB to CR, with A-Z in lower case; fewer than n words are one n-gram.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; a row without id has no
 component and is no one's least id; rows with one id are documents of their own that share a name; an empty table gives an empty result; other
-columns are ignored. A task holds a bounded number of n-grams while packing, and one fragment afterwards.
+columns are ignored. A task holds a bounded number of n-grams while packing, and one fragment afterwards. one_of_each keeps rows, not
+names: a row without id stays only where no row of its component has one, and rows equal in id and text are one document.
 """
 
 from __future__ import annotations
@@ -27,20 +31,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, small_batches
+from .common import chosen_rows, materialize, pieces, release, row_key, small_batches
 from .components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-FRAGMENT_BYTES = 8 << 20
+FRAGMENT_BYTES = 4 << 20
+#: Partitions of fragments at most; beyond it a task handles several fragments, one after the other.
+PARTITIONS = 100_000
 #: n-grams that a packing task holds at once, and bytes of text cut into n-grams at once.
 HELD = 1_500_000
 SLICE = 2 << 20
 CUTS = 4  # fragments in which a pair's overlap is counted
-#: Min-hashes that tell how central a class is, and those of them whose buckets make stars, in so many parts each.
-MIN_HASHES, STARS, PARTS = 16, 6, 4
+#: Min-hashes of a class, those of them whose buckets the first round uses, and rows of a bucket that are put in order together.
+MIN_HASHES, FIRST, ORDERED = 8, 6, 512
+#: Classes before it that a class is compared with in a round.
+NEIGHBOURS = 6
+#: Contraction rounds at most. What they leave, step 4 finds.
+ROUNDS = 4
 WORDS_OF_BITS = 8  # 64-bit words of a set's parity bitmap
 
 _U = np.uint64
@@ -198,7 +209,7 @@ def _share(frags: int):
     return run
 
 
-FOUND = "doc_id long, n long, key long, label long, cuts array<array<long>>, mins array<long>, bits array<long>"
+FOUND = "doc_id long, row long, n long, key long, label long, cuts array<array<long>>, mins array<long>, bits array<long>"
 _LISTS = pa.list_(pa.list_(pa.int64()))
 
 
@@ -232,22 +243,24 @@ def _collect(table: pa.Table) -> pa.Table:
     parity = np.zeros((m, WORDS_OF_BITS), _U)
     np.bitwise_xor.at(parity, (nth, ((hashes >> _U(26)) % _U(WORDS_OF_BITS)).astype(np.int64)), _U(1) << ((hashes >> _U(20)) & _U(63)))
     bits = pa.ListArray.from_arrays(pa.array(np.arange(0, m * WORDS_OF_BITS + 1, WORDS_OF_BITS, dtype=np.int32)), pa.array(parity.view(np.int64).ravel()))
-    docs = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["ns"], np.uint32), np.frombuffer(r["labels"], np.int64), r["kind"] == UNNAMED) for r in rows if r["kind"] in (DOCS, UNNAMED)]
+    docs = [(*(np.frombuffer(r[c], t) for c, t in (("keys", np.int64), ("ns", np.uint32), ("labels", np.int64), ("hashes", np.int64))), r["kind"] == UNNAMED) for r in rows if r["kind"] in (DOCS, UNNAMED)]
     d = sum(len(x[1]) for x in docs)
-    ids = pa.concat_arrays([pa.nulls(m, pa.int64()), *(pa.nulls(len(n), pa.int64()) if u else pa.array(i) for i, n, _, u in docs)])
-    n = np.concatenate([n_of.astype(np.int64), *(n.astype(np.int64) for _, n, _, _ in docs)])
-    key = np.concatenate([key_of.view(np.int64), *(k for _, _, k, _ in docs)])
+    ids = pa.concat_arrays([pa.nulls(m, pa.int64()), *(pa.nulls(len(n), pa.int64()) if u else pa.array(i) for i, n, _, _, u in docs)])
+    row = pa.concat_arrays([pa.nulls(m, pa.int64()), *(pa.array(x) for _, _, _, x, _ in docs)])
+    n = np.concatenate([n_of.astype(np.int64), *(n.astype(np.int64) for _, n, _, _, _ in docs)])
+    key = np.concatenate([key_of.view(np.int64), *(k for _, _, k, _, _ in docs)])
     label = pa.concat_arrays([pa.array(label_of.view(np.int64)), pa.nulls(d, pa.int64())])
     nothing = lambda kind: pa.nulls(d, kind)
     return pa.Table.from_arrays(
-        [ids, pa.array(n), pa.array(key), label, pa.concat_arrays([cuts, nothing(_LISTS)]), *(pa.concat_arrays([x, nothing(pa.list_(pa.int64()))]) for x in (mins, bits))],
-        names=["doc_id", "n", "key", "label", "cuts", "mins", "bits"],
+        [ids, row, pa.array(n), pa.array(key), label, pa.concat_arrays([cuts, nothing(_LISTS)]), *(pa.concat_arrays([x, nothing(pa.list_(pa.int64()))]) for x in (mins, bits))],
+        names=["doc_id", "row", "n", "key", "label", "cuts", "mins", "bits"],
     )
 
 
 def _with_partners(packed: DataFrame, frags: int) -> DataFrame:
-    """Step 2 on packed rows: what _collect keeps."""
-    return packed.groupBy("frag").applyInArrow(_share(frags), PACKED).groupBy("frag").applyInArrow(_collect, FOUND)
+    """Step 2 on packed rows: what _collect keeps. There is one partition per fragment, whatever the session's setting."""
+    dealt = lambda df: df.repartitionById(frags, "frag") if frags <= PARTITIONS else df.repartition(PARTITIONS, "frag")
+    return dealt(dealt(packed).groupBy("frag").applyInArrow(_share(frags), PACKED)).groupBy("frag").applyInArrow(_collect, FOUND)
 
 
 def _pack_documents(words: int, frags: int):
@@ -265,14 +278,14 @@ def _pack_documents(words: int, frags: int):
             sets = list(shingle_sets(batch.column(1).to_pylist(), words))
             counts = np.array([len(s) for s in sets], np.int64)
             keys = class_keys(np.concatenate([*sets, np.empty(0, _U)]), counts)
-            ids = batch.column(0)
+            ids, digests = batch.column(0), batch.column(2).to_numpy().astype(np.int64)
             named = np.asarray(ids.is_valid())
             for kind, at in ((DOCS, np.flatnonzero(named)), (UNNAMED, np.flatnonzero(~named))):
                 if len(at):
                     turn += 1
                     listed = ids.take(pa.array(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                     # documents only pass through, by turns, so that the ids of one class spread
-                    yield _batch([(int((keys[at[0]] >> _U(9)) % _U(frags)), kind, listed.tobytes(), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes(), b"", b"")])
+                    yield _batch([(int((keys[at[0]] >> _U(9)) % _U(frags)), kind, listed.tobytes(), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes(), b"", digests[at].tobytes())])
             for k, s in zip(keys.tolist(), sets, strict=True):
                 if len(s) and k not in held:
                     held[k] = s
@@ -301,33 +314,86 @@ def _pack_classes(frags: int):
     return run
 
 
-def _long_enough(a: str, b: str):
-    return (DENOMINATOR * F.col(a) >= NUMERATOR * F.col(b)) & (DENOMINATOR * F.col(b) >= NUMERATOR * F.col(a))
-
-
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, na, b, nb): those that link. The overlap is counted fragment by fragment and summed."""
-    left = classes.select(F.col("key").alias("a"), F.col("cuts").alias("ca"))
-    right = classes.select(F.col("key").alias("b"), F.col("cuts").alias("cb"))
-    partial = F.zip_with("ca", "cb", lambda x, y: F.size(F.array_intersect(x, y)))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("o"))
-    return whole.where(DENOMINATOR * F.col("o") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of each class with the most central class of its min-hash buckets, and of its part of these."""
-    rows = classes.select("key", "n", F.posexplode("mins").alias("k", "m"))
-    sizes = rows.groupBy("k", "m").agg(F.count("*").alias("c")).where("c > 1").select("k", F.bitwise_not("m").alias("w"), "c")
-    shared = rows.withColumn("w", F.bitwise_not("m")).join(sizes, ["k", "w"])
-    score = shared.groupBy("key").agg(F.sum("c").alias("score"))
-    rows = rows.where(F.col("k") < STARS).join(score, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
-    rows = materialize(rows, "ngram-stars")
-    local = rows.groupBy("k", "m", "part").agg(F.max(F.struct("score", "key", "n")).alias("l"))
-    whole = local.groupBy("k", "m").agg(F.max("l").alias("g"))
-    leaders = local.join(whole, ["k", "m"]).select("k", F.bitwise_not("m").alias("w"), "part", F.array("l", "g").alias("to"))
-    found = rows.withColumn("w", F.bitwise_not("m")).join(leaders, ["k", "w", "part"]).select("key", "n", F.explode("to").alias("to"))
-    found = found.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("to.key").alias("b"), F.col("to.n").alias("nb"))
-    return found.where(F.col("a") != F.col("b")).where(_long_enough("na", "nb")).distinct()
+    """Of pairs (a, na, b, nb, u, v): (u, v) of those that link. The overlap is counted fragment by fragment and summed."""
+    parts = classes.select("key", F.posexplode("cuts").alias("f", "grams"))
+    left = parts.select(F.col("key").alias("a"), "f", F.col("grams").alias("ga"))
+    right = parts.select(F.col("key").alias("b"), "f", F.col("grams").alias("gb"))
+    each = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
+    partial = each.join(left, ["a", "f"]).join(right, ["b", "f"]).select("a", "na", "b", "nb", "u", "v", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    whole = partial.groupBy("a", "na", "b", "nb", "u", "v").agg(F.sum("o").alias("o"))
+    return whole.where(DENOMINATOR * F.col("o") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("o"))).select("u", "v").distinct()
+
+
+def _may_link(a, b):
+    """Whether two classes (n, m: n-grams that some other class has, bits) can link: their parity bitmaps differ in no more places than the
+    sets do, and sets link when they share 3/7 of their sizes' sum."""
+    differ = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    long = (DENOMINATOR * a["n"] >= NUMERATOR * b["n"]) & (DENOMINATOR * b["n"] >= NUMERATOR * a["n"])
+    return long & (7 * (a["m"] + b["m"] - differ) >= 6 * (a["n"] + b["n"]))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """k, hash, c and x (c, key, n, m, bits) of the min-hashes that several classes have; c is the class's component, itself at first, and weight how
+    many classes share its min-hashes."""
+    rows = classes.select(F.struct("key", "n", "m", "bits").alias("x"), F.posexplode("mins").alias("k", "hash"))
+    sizes = rows.groupBy("k", "hash").agg(F.count("*").alias("size")).where("size > 1").select("k", F.bitwise_not("hash").alias("w"), "size")
+    rows = materialize(rows.withColumn("w", F.bitwise_not("hash")).join(sizes, ["k", "w"]).drop("w"), "ngram-buckets")
+    score = rows.groupBy("x.key").agg(F.sum("size").alias("weight"))
+    return rows.withColumn("key", F.col("x.key")).join(score, "key").select("k", "hash", "x", F.col("key").alias("c"), "weight")
+
+
+def _compared(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, na, b, nb, u, v) of a round: in each bucket, every class with the one of the largest weight and with the NEIGHBOURS before
+    it in an order that the turn draws, where these are of other components. Every class of a small component meets
+    other members of a large one, so that the pairs that link and stay unseen are hardly more than the classes."""
+    rows = rows.select("k", F.bitwise_not("hash").alias("w"), "weight", F.struct("c", "x.*").alias("x"), F.xxhash64("x.key", F.lit(turn)).alias("at"))
+    bucket = rows.groupBy("k", "w").agg(F.count("*").alias("size"), F.max(F.struct("weight", "x")).alias("lead"))
+    bucket = bucket.select("k", F.bitwise_not("w").alias("hash"), "size", F.col("lead.x").alias("lead"))
+    each = rows.withColumn("hash", F.bitwise_not("w")).join(bucket, ["k", "hash"])
+    # one key for the bucket's part, so that a large bucket is shuffled apart
+    each = each.withColumn("part", F.xxhash64("k", "hash", F.pmod(F.xxhash64("at"), F.ceil(F.col("size") / ORDERED))))
+    order = W.partitionBy("part").orderBy("at", "x.key")
+    met = each.select("x", F.array("lead", *[F.lag("x", i + 1).over(order) for i in range(NEIGHBOURS)]).alias("others"))
+    met = met.select("x", F.explode(F.filter("others", lambda o: o.isNotNull() & (o["c"] != F.col("x.c")) & _may_link(F.col("x"), o))).alias("y"))
+    turned = F.col("x.key") > F.col("y.key")
+    thin = lambda x: F.struct(f"{x}.key", f"{x}.n", f"{x}.c")
+    met = met.select(F.when(turned, thin("x")).otherwise(thin("y")).alias("p"), F.when(turned, thin("y")).otherwise(thin("x")).alias("q"))
+    return met.select(F.col("p.key").alias("a"), F.col("p.n").alias("na"), F.col("q.key").alias("b"), F.col("q.n").alias("nb"), F.col("p.c").alias("u"), F.col("q.c").alias("v")).distinct()
+
+
+def _mapped(rows: DataFrame, to: DataFrame, column: str) -> DataFrame:
+    """rows with a column of components replaced by what they became. The join's key is an expression, so that both sides are
+    shuffled for it and Spark can split the rows of a large component."""
+    new = to.select(F.bitwise_not("node").alias("__w"), F.col("component").alias("__to"))
+    return rows.withColumn("__w", F.bitwise_not(column)).join(new, "__w", "left").withColumn(column, F.coalesce("__to", column)).drop("__w", "__to")
+
+
+def contracted(classes: DataFrame) -> DataFrame:
+    """Step 3: (node, component) of the classes that links found in rounds connect."""
+    rows = materialize(_buckets(classes), "ngram-round")
+    near = None
+    for turn in range(ROUNDS):
+        # stored, so that Spark knows how few pairs there are before it plans the join with the sets
+        pairs = materialize(_compared(rows.where(F.col("k") < FIRST) if turn == 0 else rows, turn), "ngram-pairs")
+        links = materialize(verified(pairs, classes), "ngram-links")
+        release(pairs)
+        if turn and links.isEmpty():
+            break
+        to = components(links)
+        near = to if near is None else materialize(_mapped(near, to, "component").unionByName(to), "ngram-near")
+        if turn == ROUNDS - 1:
+            break
+        # Only buckets in which several components are left and one just grew go on. Where every class was compared and no
+        # link came of it, few pairs can be left that link, and step 4 finds them.
+        moved = _mapped(rows.withColumn("was", F.col("c")), to, "c").withColumn("weight", F.xxhash64("x.key", F.lit(-turn - 1)))
+        several = moved.groupBy("k", "hash").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.col("was") != F.col("c")).alias("grew"))
+        several, moved = several.where("low < high AND grew").select("k", F.bitwise_not("hash").alias("w")), moved.drop("was")
+        old, rows = rows, materialize(moved.withColumn("w", F.bitwise_not("hash")).join(several, ["k", "w"]).drop("w"), "ngram-round")
+        release(old)
+        if rows.isEmpty():
+            break
+    return near
 
 
 def _cross_pairs(classes: DataFrame) -> DataFrame:
@@ -336,7 +402,8 @@ def _cross_pairs(classes: DataFrame) -> DataFrame:
     classes hold only n-grams that several labels have. Sets link when the overlap o reaches 3/7 (na + nb), so the first
     n-gram that they share, in the order by frequency with unshared ones first, has at least o from it on in either set:
     that bounds its place in the longer set (o is 3/4 of it or more), in the shorter (6/7 or more), and what can follow. The
-    parity bitmaps of two sets differ in no more places than the sets do."""
+    parity bitmaps of two sets differ in no more places than the sets do. Of two classes with different labels at most one
+    has the label that is most frequent among an n-gram's classes."""
     grams = classes.select("key", F.explode(F.flatten("cuts")).alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("c")).select(F.bitwise_not("h").alias("w"), "c")
     ranked = grams.withColumn("w", F.bitwise_not("h")).join(often, "w").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("g"))
@@ -346,30 +413,33 @@ def _cross_pairs(classes: DataFrame) -> DataFrame:
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
     posts = rows.select("key", "n", "label", m.alias("m"), (m - F.ceil(n * 6 / 7) + 1).alias("short"), *bits, F.posexplode(first).alias("pos", "g"))
     posts = materialize(posts.select("key", "n", "label", "m", (F.col("pos") < F.col("short")).alias("short"), "pos", *bits, F.col("g.h").alias("h")), "ngram-prefixes")
-    x, y = posts.alias("x"), posts.alias("y")
+    top = posts.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    posts = posts.withColumn("w", F.bitwise_not("h")).join(top.select(F.bitwise_not("h").alias("w"), F.col("top.label").alias("top")), "w").drop("w")
+    x, y = posts.where("label <> top").alias("x"), posts.alias("y")
     differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in bits)
     fits = F.expr(
-        "x.h = y.h AND x.label < y.label AND 4 * x.n >= 3 * y.n AND 4 * y.n >= 3 * x.n "
+        "x.h = y.h AND x.label <> y.label AND (y.label = y.top OR x.label < y.label) AND 4 * x.n >= 3 * y.n AND 4 * y.n >= 3 * x.n "
         "AND ((x.n <= y.n AND x.short) OR (y.n <= x.n AND y.short)) "
         "AND 7 * least(x.m - x.pos, y.m - y.pos) >= 3 * (x.n + y.n) "
         f"AND 7 * (x.m + y.m - ({differ})) >= 6 * (x.n + y.n)"
     )
-    return x.join(y, fits).select(F.col("x.key").alias("a"), F.col("x.n").alias("na"), F.col("y.key").alias("b"), F.col("y.n").alias("nb")).distinct()
+    pairs = x.join(y, fits).select(F.col("x.key").alias("a"), F.col("x.n").alias("na"), F.col("y.key").alias("b"), F.col("y.n").alias("nb"))
+    return pairs.distinct().select("*", F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least id that links reach, its own included)."""
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Per row of docs: doc_id, row (a digest of the text), n, component (a class of its component; 0 for empty sets) and the least id of the component."""
     spark = docs.sparkSession
     frags = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(docs, FRAGMENT_BYTES))
-    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
     found = materialize(_with_partners(rows.mapInArrow(_pack_documents(words, frags), PACKED), frags), "ngram-sets")
-    documents = found.where("cuts IS NULL").select("doc_id", "n", "key")
-    classes = found.where("cuts IS NOT NULL").select("key", "n", "label", "cuts", "mins")
+    documents = found.where("cuts IS NULL").select("doc_id", "row", "n", "key")
+    size = F.aggregate("cuts", F.lit(0), lambda s, x: s + F.size(x))
+    classes = found.where("cuts IS NOT NULL").select("key", "n", size.alias("m"), "label", "cuts", "mins", "bits")
 
-    links = materialize(verified(_star_pairs(classes), classes), "ngram-links")
-    near = components(links)
-    labelled = classes.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "label"))
-    apart = _with_partners(labelled.select("key", "n", "label", "cuts").mapInArrow(_pack_classes(frags), PACKED), frags)
+    near = contracted(classes)
+    joined = classes.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "label"))
+    apart = _with_partners(joined.select("key", "n", "label", "cuts").mapInArrow(_pack_classes(frags), PACKED), frags)
     apart = materialize(apart.where("cuts IS NOT NULL").select("key", "n", "label", "cuts", "bits"), "ngram-apart")
     if not apart.isEmpty():
         more = materialize(verified(_cross_pairs(apart), classes), "ngram-links")
@@ -378,15 +448,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     ids = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     ids = ids.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = ids.groupBy("component").agg(F.min("least").alias("component_id")).select(F.bitwise_not("component").alias("c"), "component_id")
-    known = ids.select("key", F.bitwise_not("component").alias("c")).join(least, "c").select(F.bitwise_not("key").alias("w"), "component_id")
-    out = documents.withColumn("w", F.bitwise_not("key")).join(known, "w", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    least = ids.groupBy("component").agg(F.min("least").alias("least")).select(F.bitwise_not("component").alias("c"), "least")
+    known = ids.select("key", "component", F.bitwise_not("component").alias("c")).join(least, "c").select(F.bitwise_not("key").alias("w"), "component", "least")
+    return documents.withColumn("w", F.bitwise_not("key")).join(known, "w", "left").select("doc_id", "row", "n", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the least id that links reach, its own included)."""
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return labelled(docs, key, text, words).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the least id; rows without id stay."""
-    kept = near_duplicates(docs, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.join(kept, F.col(key).cast("long") == F.col("__kept"), "left_semi")
-    return stays.unionByName(docs.where(F.col(key).isNull()))
+    """docs with one row of each component: of those with the least id (any id before none) the one with the least digest of its text.
+    Rows without words are components of their own."""
+    found = labelled(docs, key, text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = found.where("n > 0").groupBy("component").agg(first).select("first.doc_id", "first.row")
+    kept = kept.unionByName(found.where("n = 0").select("doc_id", "row")).distinct()
+    return chosen_rows(docs, F.col(key).cast("long"), row_key(text), kept.select(F.col("doc_id").alias("id"), F.col("row").alias("digest")))
