@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac as python_hmac
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,10 +25,32 @@ def empty_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: Noncharacters, which no text interchange holds: they stand before, between and after groups.
+_OPEN, _NEXT = "\ufdd0", "\ufdd1"
+
+
+def any_of(*conditions: Column) -> Column:
+    """Whether any condition holds; those after the first that does are not evaluated."""
+    return reduce(or_, conditions)
+
+
+def contains_any(c: Column, *texts: str) -> Column:
+    """Whether c holds one of some plain texts: what a pattern needs anyway, and cheaper to find."""
+    return any_of(*[c.contains(t) for t in texts])
+
+
 def capture(c: Column, pattern: str, names: Iterable[str]) -> dict[str, Column]:
     """The capturing groups of the first match by name, null where a group is missing or empty. Groups are positional
-    (names with underscores are not legal in Java patterns)."""
-    return {name: empty_to_null(F.regexp_extract(c, pattern, i)) for i, name in enumerate(names, 1)}
+    (names with underscores are not legal in Java patterns). A pattern that starts at the line's start is matched once for all
+    its groups."""
+    names = list(names)
+    if not pattern.startswith("^"):
+        pieces = lambda i: F.regexp_extract(c, pattern, i + 1)
+    else:
+        marked = F.regexp_replace(c, pattern, _OPEN + _NEXT.join(f"${i + 1}" for i in range(len(names))) + _NEXT)
+        at = F.split(F.when(marked.startswith(_OPEN), F.substring(marked, 2, 1 << 30)), _NEXT)
+        pieces = lambda i: F.get(at, F.lit(i))
+    return {name: empty_to_null(pieces(i)) for i, name in enumerate(names)}
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:

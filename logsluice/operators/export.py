@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .query import timeseries
+
 ECS_VERSION = "1.12.0"
 FEATURES = [
     "timestamp_epoch", "hour_of_day", "day_of_week", "severity_numeric", "is_error", "has_source_ip", "has_destination_ip", "source_port", "destination_port",
@@ -72,16 +75,45 @@ def explain(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.select(key, F.concat(text, F.coalesce(alarm, F.lit("."))).alias("summary"))
 
 
-def overview(logs: DataFrame, events: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
-    """(card, value): counts by disposition, protected events and success rate, in one row per card."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    a = logs.agg(F.count("*").alias("total"), n("PROCESSED").alias("processed"), n("INVALID").alias("invalid"), n("DUPLICATE").alias("duplicate"), n("QUARANTINED").alias("quarantined"))
-    b = events.agg(F.count("*").alias("events"), F.count_if(F.coalesce(_col(events, "pii_protected", "boolean"), F.lit(False))).alias("protected"), F.countDistinct("source").alias("sources"))
-    both = a.crossJoin(b).withColumn("success_rate", F.when(F.col("total") > 0, F.bround(100.0 * F.col("processed") / F.col("total"), 1)).otherwise(0.0))
+def overview(done: DataFrame) -> DataFrame:
+    """(card, value) of processed lines: counts by disposition, events, protected events, sources and success rate. One pass over the lines."""
+    n = lambda s: F.count_if(F.col("disposition") == s)
+    event = F.col("disposition") == "PROCESSED"
+    both = done.agg(
+        F.count("*").alias("total"), n("PROCESSED").alias("processed"), n("INVALID").alias("invalid"), n("DUPLICATE").alias("duplicate"), n("QUARANTINED").alias("quarantined"), n("PROCESSED").alias("events"),
+        F.count_if(event & F.coalesce("pii_protected", F.lit(False))).alias("protected"), F.countDistinct(F.when(event, F.coalesce("source_name", F.lit("unknown")))).alias("sources"),
+    )
+    both = both.withColumn("success_rate", F.when(F.col("total") > 0, F.bround(100.0 * F.col("processed") / F.col("total"), 1)).otherwise(0.0))
     cards = ["total", "processed", "invalid", "duplicate", "quarantined", "events", "protected", "sources", "success_rate"]
     return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("card"), F.col(c).cast("double").alias("value")) for c in cards])).alias("x")).select("x.*")
 
 
+def processing_rates(jobs: DataFrame) -> DataFrame:
+    """One row: mean and largest rate of the completed jobs that have one, to one decimal; zeros without any. jobs: status, processing_rate."""
+    rates = jobs.where("status = 'COMPLETED' AND processing_rate > 0")
+    zero = lambda c: F.coalesce(F.bround(c, 1), F.lit(0.0))
+    return rates.agg(zero(F.avg("processing_rate")).alias("avg_rate"), zero(F.max("processing_rate").cast("double")).alias("peak_rate"))
+
+
+def charts(done: DataFrame, top: int = 15) -> DataFrame:
+    """(chart, label, value) of processed lines: events by source, parser, severity and type (the top ones), outcomes of lines, protected events.
+    All charts are counted in one pass."""
+    event = F.col("disposition") == "PROCESSED"
+    named = {"source": F.coalesce("source_name", F.lit("unknown")), "parser": F.col("parser"), "severity": F.col("severity"), "event_type": F.col("event_type")}
+    entry = lambda chart, label: F.struct(F.lit(chart).alias("chart"), label.cast("string").alias("label"))
+    rows = [entry(f"by_{k}", F.when(event, c)) for k, c in named.items()]
+    rows += [entry("outcomes", F.lower("disposition")), entry("pii", F.when(event, F.when(F.coalesce("pii_protected", F.lit(False)), "protected").otherwise("not protected")))]
+    counted = done.select(F.explode(F.array(*rows)).alias("x")).where("x.label IS NOT NULL").groupBy("x.chart", "x.label").agg(F.count("*").alias("value"))
+    nth = F.row_number().over(W.partitionBy("chart").orderBy(F.desc("value"), "label"))
+    return counted.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
+
+
+def recent(events: DataFrame, now: str, hours: int = 168, unit: str = "hour") -> DataFrame:
+    """The series of the last hours before `now`."""
+    since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
+    return timeseries(events.where(F.col("timestamp") >= since), unit)
+
+
 def source_status(configured: DataFrame, events: DataFrame) -> DataFrame:
     """Configured and observed sources: (source, configured, events, last_seen)."""
     seen = events.groupBy("source").agg(F.count("*").alias("events"), F.max("timestamp").alias("last_seen"))
@@ -101,3 +133,39 @@ def pipeline_nodes(done: DataFrame, n_alerts: int = 0) -> DataFrame:
         F.count_if(kept & F.col("valid")).alias("validation"), F.count_if(F.col("disposition") == "PROCESSED").alias("storage"), F.lit(n_alerts).cast("long").alias("alerts"),
     )
     return a.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("node"), F.col(n).alias("records")) for n in NODES])).alias("turn", "x")).select("turn", "x.*")
+
+
+# The nodes of the pipeline's story.
+STORY = {
+    "sources": "Log Sources", "ingestion": "Ingestion", "detection": "Security Shield", "parsing": "Parsing", "cleaning": "Cleaning & Validation", "pii": "PII Protection",
+    "normalization": "Normalization", "validation": "Validation", "correlation": "Correlation", "risk": "Risk Scoring", "alert": "Alerts",
+}
+
+
+def pipeline_story(done: DataFrame, alerts: DataFrame, n_sources: int = 0, n_running: int = 0, pii_mode: str = "OFF") -> DataFrame:
+    """(turn, node, label, records, status): what each stage of the pipeline saw and how it fares. alerts: status, risk_score, events."""
+    n = lambda c, s: F.count_if(F.col(c) == s)
+    event = F.col("disposition") == "PROCESSED"
+    state = lambda s: F.count_if(event & (F.col("processing_status") == s))
+    a = done.agg(
+        F.count("*").alias("total"), n("disposition", "PROCESSED").alias("processed"), n("disposition", "INVALID").alias("invalid"), n("disposition", "DUPLICATE").alias("duplicate"),
+        F.count_if(F.col("verdict") != "SAFE").alias("unsafe"), state("ok").alias("ok"), state("error").alias("error"), F.count_if(event & F.coalesce("pii_protected", F.lit(False))).alias("protected"),
+    )
+    b = alerts.agg(F.count("*").alias("alerts"), n("status", "NEW").alias("new"), F.coalesce(F.bround(F.avg("risk_score"), 1), F.lit(0.0)).alias("risk"), F.count_if(F.col("events") > 1).alias("correlated"))
+    c, idle = F.col, F.lit("idle")
+    some = lambda x, good="ok": F.when(c(x) > 0, good).otherwise("idle")
+    nodes = {
+        "sources": (F.lit(n_sources), F.when((F.lit(n_sources) > 0) | (c("total") > 0), "ok").otherwise("idle")),
+        "ingestion": (c("total"), F.when(F.lit(n_running) > 0, "running").otherwise(some("total"))),
+        "detection": (c("total"), F.when(c("unsafe") > 0, "warn").otherwise(some("total"))),
+        "parsing": (c("processed"), some("processed")),
+        "cleaning": (c("invalid") + c("duplicate"), F.when(c("invalid") > 0, "warn").otherwise(some("total"))),
+        "pii": (c("protected"), F.lit("warn" if pii_mode == "OFF" else "ok")),
+        "normalization": (c("processed"), some("processed")),
+        "validation": (c("ok"), F.when(c("error") > 0, "warn").otherwise(some("processed"))),
+        "correlation": (c("correlated"), some("correlated")),
+        "risk": (c("alerts"), F.when(c("risk") >= 65, "warn").otherwise(some("alerts"))),
+        "alert": (c("new"), F.when(c("new") > 0, "critical").when(c("alerts") > 0, "ok").otherwise(idle)),
+    }
+    rows = [F.struct(F.lit(k).alias("node"), F.lit(STORY[k]).alias("label"), count.cast("long").alias("records"), status.alias("status")) for k, (count, status) in nodes.items()]
+    return a.crossJoin(b).select(F.posexplode(F.array(*rows)).alias("turn", "x")).select("turn", "x.*")  # one row on either side

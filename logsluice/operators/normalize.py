@@ -120,11 +120,15 @@ def extracted(df: DataFrame, line: str = "content") -> DataFrame:
 @dataclass(frozen=True)
 class PiiConfig:
     mode: str = "OFF"  # OFF, MASK or DETERMINISTIC_HASH
-    key: str = "test-pii-key"
+    key: str | None = None  # the secret of the pseudonyms; there is no default
     scope: str = "global"
     length: int = 6
     kinds: tuple[str, ...] = ("ip", "email", "username")
 
+    def __post_init__(self):
+        if self.mode == "DETERMINISTIC_HASH" and not self.key:
+            raise ValueError("DETERMINISTIC_HASH needs a secret key")
+
 
 KIND_OF = {"source_ip": "ip", "destination_ip": "ip", "email": "email", "username": "username", "host": "host"}
 PREFIX = {"ip": "IP", "email": "EMAIL", "username": "USER", "host": "HOST"}

@@ -1,7 +1,9 @@
 """Line parsers as Column expressions, and the choice among them.
 
 A parser is a ParserSpec: a score for a line, and the fields that it reads from one as a map of texts. All parsers are
-Column expressions over the line, so parsing is one projection; the fields of a parser are computed only for its lines.
+Column expressions over the line; the fields of a parser are computed only for its lines. What a parser matches is kept in a column
+before fields are made of it, so that a pattern runs once per line however many groups it has. Before a pattern is tried, cheap
+searches for plain texts that it needs anyway rule most lines out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import capture, empty_to_null, lookup
+from ..functions.columns import any_of, capture, contains_any, empty_to_null, lookup
+from ..functions.store import settled
 
 Fields = dict[str, Column]
 
@@ -23,10 +26,12 @@ class ParserSpec:
     format: str
     specificity: int
     score: Callable[[Column], Column]
-    #: (fields, confidence, event type) of a line
-    parse: Callable[[Column], tuple[Column, Column, Column]]
+    #: (fields, confidence, event type) of a line and of what was prepared
+    parse: Callable[..., tuple[Column, Column, Column]]
     version: str = "1.0.0"
     description: str = ""
+    #: Maps of texts that are made of the line, and of those before, one after the other
+    prepare: tuple[Callable[..., Column], ...] = ()
 
 
 def field_map(fields: Fields) -> Column:
@@ -53,10 +58,18 @@ def pairs_of(line: Column, key: str, value: str = r'(?:"[^"]*"|\S+)') -> Column:
     return F.transform(found, lambda p: F.struct(F.regexp_extract(p, r"^([^=]*)=", 1).alias("key"), bare(cut(p)).alias("value")))
 
 
-def _score(patterns: list[str], hints: list[str]) -> Callable[[Column], Column]:
+def seen(line: Column, pattern: str, *texts: str) -> Column:
+    """Whether the pattern matches; it is tried only on lines that hold one of some plain texts."""
+    return contains_any(line, *texts) & line.rlike(pattern) if texts else line.rlike(pattern)
+
+
+def _score(patterns: list, hints: list) -> Callable[[Column], Column]:
+    """Patterns and hints are texts, or tuples of a pattern and plain texts (see seen)."""
+    tests = lambda line, ps: any_of(*[seen(line, *((p,) if isinstance(p, str) else p)) for p in ps])
+
     def score(line: Column) -> Column:
-        hit = F.when(F.exists(F.array(*[line.rlike(p) for p in patterns]), lambda x: x), 1.0).otherwise(0.0)
-        bonus = F.when(F.exists(F.array(*[line.rlike(h) for h in hints]), lambda x: x), 0.15).otherwise(0.0) if hints else F.lit(0.0)
+        hit = F.when(tests(line, patterns), 1.0).otherwise(0.0)
+        bonus = F.when(tests(line, hints), 0.15).otherwise(0.0) if hints else F.lit(0.0)
         return F.bround(F.least(F.lit(1.0), hit + bonus), 3)
 
     return score
@@ -66,7 +79,9 @@ def _score(patterns: list[str], hints: list[str]) -> Callable[[Column], Column]:
 BSD_TIME = r"[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
 AUTH = rf"^({BSD_TIME})\s+([\w.\-]+)\s+(sshd|sudo|su|login|systemd-logind|pam_unix|CRON)(?:\[(\d+)\])?:\s*(.*)$"
 AUTH_NAMES = ("timestamp", "host", "process", "pid", "message")
-AUTH_HINTS = [r"\bsshd\[\d+\]:", r"Failed password for", r"Accepted password for", r"pam_unix\(", r"sudo:\s+\S+ : TTY="]
+AUTH_HINTS = [(r"\bsshd\[\d+\]:", "sshd["), r"Failed password for", r"Accepted password for", (r"pam_unix\(", "pam_unix("), (r"sudo:\s+\S+ : TTY=", "sudo:")]
+#: A text that each of the messages below holds, in lower case.
+AUTH_TEXTS = ("failed password for", "accepted ", "invalid user", "authentication failure;", "session opened for user", "session closed for user", " : tty=")
 AUTH_MESSAGES = [
     ("auth_fail_pw", r"(?i)Failed password for (?:invalid user )?(\S+) from ([\da-fA-F.:]+) port (\d+)", ("username", "source_ip", "source_port"), {"event_type": "authentication_failure", "action": "login", "status": "failure", "service": "ssh"}),
     ("auth_ok_pw", r"(?i)Accepted (?:password|publickey) for (\S+) from ([\da-fA-F.:]+) port (\d+)", ("username", "source_ip", "source_port"), {"event_type": "authentication_success", "action": "login", "status": "success", "service": "ssh"}),
@@ -80,14 +95,14 @@ RFC5424 = r"^<(\d{1,3})>(\d)\s+(\d{4}-\d{2}-\d{2}T[\d:.]+(?:Z|[+\-]\d{2}:\d{2}))
 RFC5424_NAMES = ("pri", "version", "timestamp", "host", "process", "pid", "msgid", "message")
 RFC3164 = rf"^(?:<(\d{{1,3}})>)?({BSD_TIME})\s+([\w.\-]+)\s+([^:\[\s]+)(?:\[(\d+)\])?:\s*(.*)$"
 RFC3164_NAMES = ("pri", "timestamp", "host", "process", "pid", "message")
-SYSLOG_HINTS = [r"^<\d{1,3}>", r"[A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2}\s\S+\s\S+"]
+SYSLOG_HINTS = [(r"^<\d{1,3}>", "<"), r"[A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2}\s\S+\s\S+"]
 APACHE = r'^([\da-fA-F.:]+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\d+|-)(?:\s+"([^"]*)"\s+"([^"]*)")?'
 WEB_NAMES = ("source_ip", "username", "timestamp", "http_method", "url", "http_version", "response_code", "bytes", "referer", "user_agent")
-APACHE_HINTS = [r'"\s*(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH)\s+\S+\s+HTTP/\d', r"\[\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s[+\-]\d{4}\]"]
+APACHE_HINTS = [(r'"\s*(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH)\s+\S+\s+HTTP/\d', "HTTP/"), r"\[\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s[+\-]\d{4}\]"]
 _NGINX = r'^([\da-fA-F.:]+)\s+-\s+(\S+)\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\d+)\s+"([^"]*)"\s+"([^"]*)"'
 NGINX_EXTENDED = _NGINX + r'\s+"([^"]*)"(?:\s+rt=([\d.]+))?(?:\s+uct="([^"]*)")?(?:\s+urt="([^"]*)")?'
 NGINX_NAMES = (*WEB_NAMES, "x_forwarded_for", "request_time", "upstream_connect_time", "upstream_response_time")
-NGINX_HINTS = [r'"\s*-\s*"\s+rt=', r'urt="', r'\s"[\d.]+,\s*[\d.]+"\s*$']
+NGINX_HINTS = [(r'"\s*-\s*"\s+rt=', "rt="), r'urt="', (r'\s"[\d.]+,\s*[\d.]+"\s*$', ",")]
 NETFILTER = r"(?i)\b(DROP|ACCEPT|REJECT|DENY)\b.*SRC=(\S+)\s+DST=(\S+)"
 FIREWALL_HINT = r"(?i)\b(?:IPTABLES|netfilter|SRC=\d|DPT=\d|action=(?:deny|accept|allow|drop)|srcip=|dstip=|devname=|firewall|fw_action)\b"
 FIREWALL_KEYS = {
@@ -123,33 +138,42 @@ PAIR_KEYS = {
 }
 
 
+def _said(text: Column, turn: int) -> Column:
+    """Whether a text holds the message of AUTH_MESSAGES with this number."""
+    return F.lower(text).contains(AUTH_TEXTS[turn]) & text.rlike(AUTH_MESSAGES[turn][1])
+
+
 def _auth_score(line: Column) -> Column:
-    known = F.exists(F.array(*[line.rlike(p) for _, p, _, _ in AUTH_MESSAGES]), lambda x: x)
-    return F.bround(F.least(F.lit(1.0), _score([AUTH], AUTH_HINTS)(line) + F.when(known, 0.25).otherwise(0.0)), 3)
-
-
-def parse_auth(line: Column):
-    head = capture(line, AUTH, AUTH_NAMES)
-    message = F.coalesce(head["message"], F.lit(""))
-    fields = dict(head) | {"service": head["process"]}
-    more: Fields = {}
-    kind = event = None
-    for name, pattern, names, extra in AUTH_MESSAGES:
-        hit = message.rlike(pattern)
-        for k, v in (capture(message, pattern, names) | {k: F.lit(v) for k, v in extra.items()} | {"_rule": F.lit(name)}).items():
-            more[k] = more[k].when(hit, v) if k in more else None
-            if more[k] is None:
-                more[k] = F.when(hit, v) if kind is None else F.when(kind.isNotNull(), F.lit(None).cast("string")).when(hit, v)
-        kind = F.when(hit, F.lit(name)) if kind is None else F.coalesce(kind, F.when(hit, F.lit(name)))
-        event = F.when(hit, F.lit(extra["event_type"])) if event is None else F.coalesce(event, F.when(hit, F.lit(extra["event_type"])))
-    for k, v in more.items():
-        fields[k] = F.coalesce(v, fields[k]) if k in fields else v
-    return field_map(fields), F.when(kind.isNotNull(), 0.97).otherwise(0.7), F.coalesce(event, F.lit("generic"))
-
-
-def parse_syslog(line: Column):
+    known = any_of(*[_said(line, i) for i in range(len(AUTH_MESSAGES))])
+    return F.bround(F.least(F.lit(1.0), _score([(AUTH, "sshd", "su", "login", "pam_unix", "CRON")], AUTH_HINTS)(line) + F.when(known, 0.25).otherwise(0.0)), 3)
+
+
+def _auth_head(line: Column) -> Column:
+    return field_map(capture(line, AUTH, AUTH_NAMES))
+
+
+def _auth_message(line: Column, head: Column) -> Column:
+    """What the first message that fits says."""
+    message, found = F.coalesce(F.try_element_at(head, F.lit("message")), F.lit("")), None
+    for i, (name, pattern, names, extra) in enumerate(AUTH_MESSAGES):
+        fields = field_map(capture(message, pattern, names) | {k: F.lit(v) for k, v in extra.items()} | {"_rule": F.lit(name)})
+        found = F.when(_said(message, i), fields) if found is None else found.when(_said(message, i), fields)
+    return found
+
+
+def parse_auth(line: Column, head: Column, said: Column):
+    head = F.when(F.map_contains_key(head, F.lit("process")), F.map_concat(head, F.create_map(F.lit("service"), F.try_element_at(head, F.lit("process"))))).otherwise(head)
+    fields = F.when(said.isNull(), head).otherwise(F.map_concat(F.map_filter(head, lambda k, v: ~F.map_contains_key(said, k)), said))
+    return fields, F.when(said.isNotNull(), 0.97).otherwise(0.7), F.coalesce(F.try_element_at(said, F.lit("event_type")), F.lit("generic"))
+
+
+def _syslog_groups(line: Column) -> Column:
     new, old = capture(line, RFC5424, RFC5424_NAMES), capture(line, RFC3164, RFC3164_NAMES)
-    f = {k: F.coalesce(new[k], old[k]) if k in old else new[k] for k in RFC5424_NAMES}
+    return F.when(line.startswith("<") & line.rlike(RFC5424), field_map(new)).otherwise(field_map(old))
+
+
+def parse_syslog(line: Column, groups: Column):
+    f = {k: F.try_element_at(groups, F.lit(k)) for k in RFC5424_NAMES}
     level = F.try_to_number(F.coalesce(f.pop("pri"), F.lit("")), F.lit("999")).cast("int") % 8
     f["severity"] = F.when(level <= 2, "critical").when(level == 3, "high").when(level == 4, "medium").when(level == 5, "low").when(level >= 6, "info")
     f["_syslog_severity_num"] = level.cast("string")
@@ -169,47 +193,59 @@ def _web(f: Fields) -> Fields:
     return f
 
 
-def parse_apache(line: Column):
-    f = _web(capture(line, APACHE, WEB_NAMES))
+def parse_apache(line: Column, groups: Column):
+    f = _web({k: F.try_element_at(groups, F.lit(k)) for k in WEB_NAMES})
     f["bytes"] = F.when(f["bytes"] == "-", "0").otherwise(f["bytes"])
     return field_map(f), F.lit(0.96), F.lit("http_request")
 
 
 def _nginx_score(line: Column) -> Column:
     timed = line.contains("rt=") | line.contains('for" "')
-    return F.bround(_score([_NGINX], NGINX_HINTS)(line) * F.when(timed, 1.0).otherwise(0.6), 3)
+    return F.bround(_score([(_NGINX, '"')], NGINX_HINTS)(line) * F.when(timed, 1.0).otherwise(0.6), 3)
 
 
-def parse_nginx(line: Column):
+def _nginx_groups(line: Column) -> Column:
     wide, plain = capture(line, NGINX_EXTENDED, NGINX_NAMES), capture(line, _NGINX, WEB_NAMES)
-    f = _web({k: F.coalesce(wide[k], plain[k]) if k in plain else wide[k] for k in NGINX_NAMES})
+    return F.when(line.rlike(NGINX_EXTENDED), field_map(wide)).otherwise(field_map(plain))
+
+
+def parse_nginx(line: Column, groups: Column):
+    f = _web({k: F.try_element_at(groups, F.lit(k)) for k in NGINX_NAMES})
     f["x_forwarded_for"] = F.when(f["x_forwarded_for"] != "-", f["x_forwarded_for"])
     return field_map(f), F.lit(0.96), F.lit("http_request")
 
 
 def _vendor(line: Column) -> Column:
-    low = F.lower(line)
-    return F.exists(F.array(*[low.contains(t) for t in ("srcip=", "src=", "action=", "dpt=", "dstip=", "devname=")]), lambda x: x)
+    return contains_any(F.lower(line), "srcip=", "src=", "action=", "dpt=", "dstip=", "devname=")
+
+
+def _netfilter(line: Column) -> Column:
+    return F.lower(line).contains("dst=") & line.rlike(NETFILTER)
 
 
 def _firewall_score(line: Column) -> Column:
-    hit = F.when(line.rlike(NETFILTER) | _vendor(line), 1.0).otherwise(0.0)
-    return F.bround(F.least(F.lit(1.0), hit + F.when(line.rlike(FIREWALL_HINT), 0.2).otherwise(0.0)), 3)
+    hit = F.when(_vendor(line) | _netfilter(line), 1.0).otherwise(0.0)
+    hinted = (line.contains("=") | contains_any(F.lower(line), "iptables", "netfilter", "firewall", "fw_action")) & line.rlike(FIREWALL_HINT)
+    return F.bround(F.least(F.lit(1.0), hit + F.when(hinted, 0.2).otherwise(0.0)), 3)
 
 
-def parse_firewall(line: Column):
+def _firewall_pairs(line: Column) -> Column:
     """Netfilter lines (each field read on its own, so none hides another) and vendor key=value lines."""
-    net = line.rlike(NETFILTER)
     one = lambda p, i=1: empty_to_null(F.regexp_extract(line, p, i))
     f = {
         "timestamp": one(rf"({BSD_TIME})"), "fw_action": one(NETFILTER), "source_ip": one(NETFILTER, 2), "destination_ip": one(NETFILTER, 3),
         "in_if": one(r"\bIN=(\S+)"), "out_if": one(r"\bOUT=(\S+)"), "protocol": one(r"\bPROTO=(\S+)"), "source_port": one(r"\bSPT=(\d+)"),
         "destination_port": one(r"\bDPT=(\d+)"),
     }
-    kv = pair_map(pairs_of(line, r"\w[\w.\-]*"), FIREWALL_KEYS)
-    when = F.concat_ws(" ", F.try_element_at(kv, F.lit("kv_date")), F.try_element_at(kv, F.lit("kv_time")))
-    kv = F.when(when.rlike(r"^\S+ \S+$"), F.map_concat(F.map_filter(kv, lambda k, v: k != "timestamp"), F.create_map(F.lit("timestamp"), when))).otherwise(kv)
-    base = F.when(net, field_map(f)).otherwise(kv)
+    return F.when(_netfilter(line), field_map(f)).otherwise(pair_map(pairs_of(line, r"\w[\w.\-]*"), FIREWALL_KEYS))
+
+
+def _firewall_base(line: Column, pairs: Column) -> Column:
+    when = F.concat_ws(" ", F.try_element_at(pairs, F.lit("kv_date")), F.try_element_at(pairs, F.lit("kv_time")))
+    return F.when(when.rlike(r"^\S+ \S+$"), F.map_concat(F.map_filter(pairs, lambda k, v: k != "timestamp"), F.create_map(F.lit("timestamp"), when))).otherwise(pairs)
+
+
+def parse_firewall(line: Column, pairs: Column, base: Column):
     act = F.lower(F.coalesce(F.try_element_at(base, F.lit("fw_action")), F.lit("")))
     deny, allow = act.isin("drop", "deny", "reject", "block"), act.isin("accept", "allow", "permit")
     event = F.when(deny, "connection_denied").when(allow, "connection_allowed").otherwise("generic")
@@ -221,33 +257,41 @@ def parse_firewall(line: Column):
         "severity": F.coalesce(F.try_element_at(base, F.lit("severity")), F.when(deny, "medium").otherwise("info")),
         "service": F.coalesce(F.try_element_at(base, F.lit("service")), F.lit("firewall")),
     })
-    return F.map_concat(rest, made), F.when(net, 0.95).otherwise(0.9), event
+    return F.map_concat(rest, made), F.when(_netfilter(line), 0.95).otherwise(0.9), event
+
+
+#: Levels of nested objects that are opened; what lies deeper stays JSON text.
+JSON_DEPTH = 12
 
 
 def _json_pairs(text: Column) -> Column:
-    """Leaf keys and values of an object, nested objects opened three levels deep; lists stay JSON text, at most 500 characters."""
+    """Leaf keys and values of an object, nested objects opened; lists stay JSON text, at most 500 characters."""
+    nested = lambda e: e["value"].rlike(r"^\s*\{")
+    inner = lambda e: F.map_entries(F.from_json(e["value"], "map<string,string>"))
+    once = lambda flat: F.flatten(F.transform(flat, lambda e: F.when(nested(e), F.coalesce(inner(e), F.array(e))).otherwise(F.array(e))))
     flat = F.map_entries(F.from_json(text, "map<string,string>"))
-    for _ in range(3):
-        flat = F.flatten(
-            F.transform(
-                flat,
-                lambda e: F.when(
-                    e["value"].rlike(r"^\s*\{"),
-                    F.coalesce(F.map_entries(F.from_json(e["value"], "map<string,string>")), F.array(e)),
-                ).otherwise(F.array(F.struct(e["key"], F.when(e["value"].rlike(r"^\s*\["), F.left(e["value"], F.lit(500))).otherwise(e["value"]).alias("value")))),
-            )
-        )
+    for _ in range(JSON_DEPTH):
+        # the array of one binds what was opened so far to a name: each level refers to the one before once
+        flat = F.transform(F.array(flat), lambda f: F.when(F.exists(f, nested), once(f)).otherwise(f))[0]
+    flat = F.transform(flat, lambda e: F.struct(e["key"], F.when(e["value"].rlike(r"^\s*\["), F.left(e["value"], F.lit(500))).otherwise(e["value"]).alias("value")))
     return F.filter(flat, lambda e: e["value"].isNotNull() & (e["value"] != ""))
 
 
-def parse_json(line: Column):
+def _json_fields(line: Column) -> Column:
     named = F.transform(_json_pairs(line), lambda e: F.struct(F.coalesce(lookup(e["key"], JSON_KEYS), lookup(F.lower(e["key"]), JSON_KEYS), F.lower(e["key"])).alias("key"), e["value"].alias("value")))
-    keys = F.transform(named, lambda e: e["key"])
-    fields = F.map_from_entries(F.filter(named, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    return first_of_each(named)
+
+
+def first_of_each(entries: Column) -> Column:
+    """A map of entries (key, value); of those with one key the first counts."""
+    return F.transform(F.array(entries), lambda all_of: F.transform(F.array(F.transform(all_of, lambda e: e["key"])), lambda keys: F.map_from_entries(F.filter(all_of, lambda e, i: F.array_position(keys, e["key"]) == i + 1)))[0])[0]
+
+
+def parse_json(line: Column, fields: Column):
     level = lookup(F.lower(F.try_element_at(fields, F.lit("severity"))), JSON_LEVELS)
     rest = F.map_filter(fields, lambda k, v: k != "severity")
-    fields = F.when(level.isNotNull(), F.map_concat(rest, F.create_map(F.lit("severity"), level))).otherwise(rest)
-    return fields, F.lit(0.95), F.try_element_at(fields, F.lit("event_type"))
+    found = F.when(level.isNotNull(), F.map_concat(rest, F.create_map(F.lit("severity"), level))).otherwise(rest)
+    return found, F.lit(0.95), F.try_element_at(fields, F.lit("event_type"))
 
 
 _PAIR = r"[A-Za-z_][\w.\-]*"
@@ -257,14 +301,17 @@ _PAIR_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s]+)"
 def _pair_score(line: Column) -> Column:
     found = F.size(F.regexp_extract_all(line, F.lit(rf"({_PAIR}={_PAIR_VALUE})"), 1))
     words = F.greatest(F.lit(1), F.regexp_count(line, F.lit(r"\S+")))
-    return F.bround(F.least(F.lit(0.75), found / words), 3)
+    return F.when(line.contains("="), F.bround(F.least(F.lit(0.75), found / words), 3)).otherwise(0.0)
+
+
+def _pair_fields(line: Column) -> Column:
+    return pair_map(pairs_of(line, _PAIR, _PAIR_VALUE), PAIR_KEYS)
 
 
-def parse_pairs(line: Column):
-    fields = pair_map(pairs_of(line, _PAIR, _PAIR_VALUE), PAIR_KEYS)
-    n = F.size(fields)
-    fields = F.when(F.map_contains_key(fields, F.lit("message")), fields).otherwise(F.map_concat(fields, F.create_map(F.lit("message"), line)))
-    return fields, F.least(F.lit(0.7), 0.3 + 0.05 * (n + F.when(F.map_contains_key(pair_map(pairs_of(line, _PAIR, _PAIR_VALUE), PAIR_KEYS), F.lit("message")), 0).otherwise(1))), F.try_element_at(fields, F.lit("event_type"))
+def parse_pairs(line: Column, pairs: Column):
+    has = F.map_contains_key(pairs, F.lit("message"))
+    fields = F.when(has, pairs).otherwise(F.map_concat(pairs, F.create_map(F.lit("message"), line)))
+    return fields, F.least(F.lit(0.7), 0.3 + 0.05 * F.size(fields)), F.try_element_at(pairs, F.lit("event_type"))
 
 
 def parse_pipes(line: Column):
@@ -280,14 +327,14 @@ def parse_raw(line: Column):
 
 RAW = ParserSpec("raw", "UNKNOWN", 0, lambda line: F.lit(0.01), parse_raw, description="any line as a message")
 BUILT_IN = [
-    ParserSpec("linux_auth", "LINUX_AUTH", 6, _auth_score, parse_auth, description="sshd, sudo, su and pam lines"),
-    ParserSpec("syslog", "SYSLOG", 2, _score([RFC5424, RFC3164], SYSLOG_HINTS), parse_syslog, description="RFC 3164 and RFC 5424"),
-    ParserSpec("apache", "APACHE_COMBINED", 4, _score([APACHE], APACHE_HINTS), parse_apache, description="common and combined access logs"),
-    ParserSpec("nginx", "NGINX_ACCESS", 5, _nginx_score, parse_nginx, description="access logs with forwarding and timing"),
-    ParserSpec("firewall", "FIREWALL", 5, _firewall_score, parse_firewall, description="netfilter and vendor key=value lines"),
-    ParserSpec("json", "JSON", 4, lambda line: F.when(F.trim(line).rlike(r"(?s)^\{.*\}$") & F.try_parse_json(line).isNotNull(), 1.0).otherwise(0.0), parse_json, description="one JSON object per line"),
-    ParserSpec("keyvalue", "KEYVALUE", 1, _pair_score, parse_pairs, description="key=value lines"),
-    ParserSpec("pipe", "PIPE_DELIMITED", 3, lambda line: F.when(line.rlike(r"^\d{4}-\d{2}-\d{2}T[^|]*\|[^|]*\|[^|]*\|[^|]*\|[^|]*$"), 1.0).otherwise(0.0), parse_pipes, description="five fields between bars"),
+    ParserSpec("linux_auth", "LINUX_AUTH", 6, _auth_score, parse_auth, description="sshd, sudo, su and pam lines", prepare=(_auth_head, _auth_message)),
+    ParserSpec("syslog", "SYSLOG", 2, _score([(RFC5424, "<"), RFC3164], SYSLOG_HINTS), parse_syslog, description="RFC 3164 and RFC 5424", prepare=(_syslog_groups,)),
+    ParserSpec("apache", "APACHE_COMBINED", 4, _score([(APACHE, '"')], APACHE_HINTS), parse_apache, description="common and combined access logs", prepare=(lambda line: field_map(capture(line, APACHE, WEB_NAMES)),)),
+    ParserSpec("nginx", "NGINX_ACCESS", 5, _nginx_score, parse_nginx, description="access logs with forwarding and timing", prepare=(_nginx_groups,)),
+    ParserSpec("firewall", "FIREWALL", 5, _firewall_score, parse_firewall, description="netfilter and vendor key=value lines", prepare=(_firewall_pairs, _firewall_base)),
+    ParserSpec("json", "JSON", 4, lambda line: F.when(F.trim(line).startswith("{") & F.trim(line).endswith("}") & F.try_parse_json(line).isNotNull(), 1.0).otherwise(0.0), parse_json, description="one JSON object per line", prepare=(_json_fields,)),
+    ParserSpec("keyvalue", "KEYVALUE", 1, _pair_score, parse_pairs, description="key=value lines", prepare=(_pair_fields,)),
+    ParserSpec("pipe", "PIPE_DELIMITED", 3, lambda line: F.when(line.contains("|") & line.rlike(r"^\d{4}-\d{2}-\d{2}T[^|]*\|[^|]*\|[^|]*\|[^|]*\|[^|]*$"), 1.0).otherwise(0.0), parse_pipes, description="five fields between bars"),
     RAW,
 ]
 
@@ -317,14 +364,34 @@ def detect(df: DataFrame, line: str = "content", parsers: list[ParserSpec] | Non
     ).drop("best")
 
 
+CSV_SEPARATORS = (",", ";", "\t", "|")
+#: Lines that decide whether a file is CSV.
+CSV_LINES = 20
+
+
+def _csv_score(lines: Column) -> Column:
+    """How much the first lines of a file look like CSV, by the separator that fits best: 0.85 where all have the same three cells or more, 0.6 where there
+    are two widths, 0.2 for other lines with a separator in each, 0 without one or with a single line."""
+    scores = []
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r'"[^"]*"', ""))
+    for sep in CSV_SEPARATORS:
+        mark = F.lit("\\" + sep if sep == "|" else sep)
+        widths = F.transform(bare, lambda x: F.regexp_count(x, mark) + 1)  # noqa: B023
+        n, most = F.size(F.array_distinct(widths)), F.array_max(widths)
+        scores.append(F.when((n == 1) & (most >= 3), 0.85).when((n <= 2) & (most >= 3), 0.6).when(F.array_min(widths) > 1, 0.2).otherwise(0.0))
+    return F.when(F.size(lines) >= 2, F.greatest(*scores)).otherwise(0.0)
+
+
 def file_format(df: DataFrame, by: list[str], line: str = "content", order: str = "line_number", parsers: list[ParserSpec] | None = None, sample: int = 25) -> DataFrame:
-    """The format of each file from its first lines that are not blank: mean score per parser, best first."""
+    """The format of each file from its first lines that are not blank: mean score per parser, and how much they look like CSV; best first."""
     from pyspark.sql import Window as W
 
     parsers = parsers or BUILT_IN
     first = df.where(F.trim(F.col(line)) != "").withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(order))).where(F.col("__n") <= sample)
-    means = first.groupBy(*by).agg(*[F.bround(F.avg(p.score(F.col(line))), 3).alias(p.name) for p in parsers])
+    head = F.sort_array(F.collect_list(F.when(F.col("__n") <= CSV_LINES, F.struct("__n", F.col(line).alias("x")))))
+    means = first.groupBy(*by).agg(*[F.bround(F.avg(p.score(F.col(line))), 3).alias(p.name) for p in parsers], F.transform(head, lambda h: h["x"]).alias("__head"))
     rows = [F.struct(F.col(p.name).alias("confidence"), F.lit(p.specificity).alias("specificity"), F.lit(-i).alias("turn"), F.lit(p.format).alias("format")) for i, p in enumerate(parsers)]
+    rows.append(F.struct(F.bround(_csv_score(F.col("__head")), 3).alias("confidence"), F.lit(3).alias("specificity"), F.lit(-len(parsers)).alias("turn"), F.lit("CSV").alias("format")))
     best = F.array_max(F.array(*rows))
     return means.select(*by, F.when(best["confidence"] < 0.35, "GENERIC_TEXT").otherwise(best["format"]).alias("format"), best["confidence"].alias("confidence"))
 
@@ -332,10 +399,24 @@ def file_format(df: DataFrame, by: list[str], line: str = "content", order: str
 def parse(df: DataFrame, line: str = "content", parsers: list[ParserSpec] | None = None) -> DataFrame:
     """df (with parser) plus fields, parse_confidence, parsed_event_type and parser_version."""
     parsers = parsers or BUILT_IN
-    text, made = F.coalesce(F.col(line), F.lit("")), None
-    for p in parsers:
-        fields, confidence, event = p.parse(text)
-        row = F.struct(fields.alias("fields"), confidence.cast("double").alias("confidence"), event.alias("event"), F.lit(p.version).alias("version"))
-        made = F.when(F.col("parser") == p.name, row) if made is None else made.when(F.col("parser") == p.name, row)
-    df = df.withColumn("parsed", made)
-    return df.select("*", F.col("parsed.fields").alias("fields"), F.col("parsed.confidence").alias("parse_confidence"), F.col("parsed.event").alias("parsed_event_type"), F.col("parsed.version").alias("parser_version")).drop("parsed")
+    text = F.coalesce(F.col(line), F.lit(""))
+
+    def by_parser(of) -> Column:
+        made = None
+        for p in parsers:
+            if (value := of(p)) is not None:
+                made = F.when(F.col("parser") == p.name, value) if made is None else made.when(F.col("parser") == p.name, value)
+        return made
+
+    before = lambda p, n: [F.col(f"__made{i}") for i in range(min(n, len(p.prepare)))]
+    steps = max(len(p.prepare) for p in parsers)
+    for n in range(steps):
+        df = settled(df.withColumn(f"__made{n}", by_parser(lambda p: p.prepare[n](text, *before(p, n)) if n < len(p.prepare) else None)))  # noqa: B023
+
+    def row(p: ParserSpec) -> Column:
+        fields, confidence, event = p.parse(text, *before(p, steps))
+        return F.struct(fields.alias("fields"), confidence.cast("double").alias("confidence"), event.alias("event"), F.lit(p.version).alias("version"))
+
+    df = df.withColumn("parsed", by_parser(row))
+    named = [F.col("parsed.fields").alias("fields"), F.col("parsed.confidence").alias("parse_confidence"), F.col("parsed.event").alias("parsed_event_type"), F.col("parsed.version").alias("parser_version")]
+    return settled(df.drop(*[f"__made{i}" for i in range(steps)])).select("*", *named).drop("parsed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CONTROL
+from ..functions.columns import CONTROL, contains_any
 
 MAX_CHARS = 32 * 1024
 
@@ -23,6 +23,11 @@ CHECKS = [
     ("path_traversal", r"(?:\.\./){2,}|(?:\.\.\\){2,}|%2e%2e%2f|/etc/passwd\b", "medium", "payload"),
     ("shell_metachars", r"\$\(|\|\s*(?:sh|bash|nc|curl|wget|python)\b|`[^`]+`", "medium", "payload"),
 ]
+#: Plain texts of which a line that a check matches holds at least one (in lower case where the check ignores case).
+NEEDED = {
+    "crlf_injection": ("%0", "\\r"), "log4shell": ("${jndi:",), "template_injection": ("${",), "format_string": ("%",), "literal_escape_seq": ("\\",), "xxe": ("<!",),
+    "script_tag": ("<",), "event_html": ("=",), "sql_injection": ("union", "xp_cmdshell", "=", ";"), "path_traversal": ("..", "%2e", "/etc/passwd"), "shell_metachars": ("$(", "|", "`"),
+}
 ESCAPES = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(?:\x07|\x1b\\)"
 _RANK = {"medium": 2, "high": 3, "critical": 4}
 
@@ -37,12 +42,13 @@ def indicators(line: Column) -> Column:
     codes = F.transform(F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(f"({CONTROL})"), 1))), lambda c: F.concat(F.lit("0x"), F.lower(F.hex(F.encode(c, "UTF-8")))))
     found = [
         F.when(F.char_length(line) > MAX_CHARS, _indicator("oversize_line", "medium", "injection", F.concat(F.char_length(line).cast("string"), F.lit(" chars")))),
-        F.when(line.rlike(ESCAPES), _indicator("terminal_escape_sequence", "high", "injection", F.lit("escape sequence in log content"))),
+        F.when(line.contains("\x1b") & line.rlike(ESCAPES), _indicator("terminal_escape_sequence", "high", "injection", F.lit("escape sequence in log content"))),
         F.when(bare.rlike(CONTROL), _indicator("dangerous_control_chars", "high", "injection", F.array_join(codes, ", "))),
     ]
     for kind, pattern, severity, category in CHECKS:
         snippet = F.left(F.regexp_replace(F.replace(F.regexp_extract(line, pattern, 0), F.lit("\x1b"), F.lit("\\x1b")), CONTROL, "�"), F.lit(120))
-        found.append(F.when(line.rlike(pattern), _indicator(kind, severity, category, snippet)))
+        needed = contains_any(F.lower(line) if pattern.startswith("(?i)") else line, *NEEDED[kind])
+        found.append(F.when(needed & line.rlike(pattern), _indicator(kind, severity, category, snippet)))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

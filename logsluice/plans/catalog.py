@@ -20,7 +20,7 @@ from ..sources import files
 from ..sources.testdata import REFERENCE, WITH_EVENTS, WITH_LINES, log_events, log_lines, raw_logs
 
 CFG = L.PipelineConfig(reference=REFERENCE)
-HASHED = N.PiiConfig(mode="DETERMINISTIC_HASH", kinds=("ip", "email", "username", "host"))
+HASHED = N.PiiConfig(mode="DETERMINISTIC_HASH", key="test-pii-key", kinds=("ip", "email", "username", "host"))
 RULES = {k: D.Rule(k, D.RULE[k].name, D.RULE[k].severity, t, w) for k, (t, w) in {"RULE_1": (5, 86_400), "RULE_2": (3, 86_400), "RULE_3": (3, 600), "RULE_4": (2, 864_000), "RULE_5": (1, 86_400), "RULE_6": (4, 300), "RULE_8": (5, 3_600)}.items()}
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -640,11 +640,43 @@ def q_compression_report(spark, sf_dir):
     return T.accounting(log_lines(spark, sf_dir))
 
 
-@query()
+@query(f"""{_MASK_SQL}, l AS (SELECT e.event_id, any_value(source) AS source, string_agg(CASE WHEN literal THEN token ELSE '<*>' END, ' ' ORDER BY e.pos) AS pattern, count(*) FILTER (NOT literal) AS vars
+    FROM e JOIN m ON e.n_tokens = m.n_tokens AND e.pos = m.pos JOIN k USING (event_id) GROUP BY e.event_id), t AS (SELECT pattern, count(*) AS n, max(vars) AS vars FROM l GROUP BY pattern)
+SELECT count(*) AS templates, CAST(sum(n) AS BIGINT) AS occurrences, round(avg(vars), 2) AS avg_variables, (SELECT count(DISTINCT source) FROM l) AS sources FROM t""")
 def q_template_summary(spark, sf_dir):
     return T.summary(T.mine(log_lines(spark, sf_dir)))
 
 
+_LINE_PATTERN = f"""{_MASK_SQL}, l AS (SELECT e.event_id, any_value(source) AS source, string_agg(CASE WHEN literal THEN token ELSE '<*>' END, ' ' ORDER BY e.pos) AS pattern
+    FROM e JOIN m ON e.n_tokens = m.n_tokens AND e.pos = m.pos JOIN k USING (event_id) GROUP BY e.event_id),
+t AS (SELECT pattern, count(*) AS occurrences, min(event_id) AS first_id, list_sort(list(DISTINCT source)) AS sources FROM l GROUP BY pattern),
+tk AS (SELECT *, 'TPL-' || CASE WHEN nth < 10000 THEN lpad(nth::VARCHAR, 4, '0') ELSE nth::VARCHAR END AS template_key FROM (SELECT *, row_number() OVER (ORDER BY first_id) AS nth FROM t))"""
+
+
+@query(f"{_LINE_PATTERN} SELECT template_key, pattern, occurrences FROM tk WHERE occurrences >= 3 AND list_contains(sources, 'firewall') AND contains(lower(pattern), 'drop') ORDER BY occurrences DESC, template_key LIMIT 100")
+def q_templates_listed(spark, sf_dir):
+    return T.listed(T.mine(log_lines(spark, sf_dir)), 3, "firewall", "DROP").select("template_key", "pattern", "occurrences")
+
+
+@query(f"{_LINE_PATTERN} SELECT template_key, CAST(nth AS INTEGER) AS nth, event_id, content FROM (SELECT tk.template_key, row_number() OVER (PARTITION BY tk.template_key ORDER BY l.event_id) AS nth, l.event_id, k.content FROM l JOIN tk USING (pattern) JOIN k ON k.event_id = l.event_id) WHERE nth <= 5")
+def q_template_examples(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    return T.examples(T.payloads(lines), lines)
+
+
+# The store after two runs: the lines of one source, then all lines. Templates of the first run keep their keys.
+_STORE = _LINE_PATTERN.replace("FROM log_lines), e AS", "FROM log_lines WHERE @@), e AS")
+
+
+@query(f"""SELECT pattern, CASE WHEN a.template_key IS NOT NULL THEN a.template_key ELSE 'TPL-' || CASE WHEN most + nth < 10000 THEN lpad((most + nth)::VARCHAR, 4, '0') ELSE (most + nth)::VARCHAR END END AS template_key, occurrences FROM (
+    SELECT b.pattern, a.template_key, b.occurrences, row_number() OVER (PARTITION BY a.pattern IS NULL ORDER BY b.first_id) AS nth, (SELECT count(*) FROM ({_STORE.replace("@@", "source IN ('firewall', 'linux')")} SELECT * FROM tk)) AS most
+    FROM ({_STORE.replace("@@", "true")} SELECT * FROM tk) b LEFT JOIN ({_STORE.replace("@@", "source IN ('firewall', 'linux')")} SELECT * FROM tk) a ON a.pattern = b.pattern) a""")
+def q_template_store(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    first = T.mine(lines.where("source IN ('firewall', 'linux')"))
+    return T.saved_templates(first, T.mine(lines)).select("pattern", "template_key", "occurrences")
+
+
 # --- exports, dashboards ----------------------------------------------------------------------------------------------------------
 
 
@@ -674,8 +706,20 @@ def q_explain_event(spark, sf_dir):
 @query("""SELECT * FROM (SELECT unnest(['total', 'processed', 'invalid', 'duplicate', 'quarantined', 'events', 'protected', 'sources', 'success_rate']) AS card,
     unnest([n, n, 0, 0, 0, n, 0, 4, 100]::DOUBLE[]) AS value FROM (SELECT count(*) AS n FROM events))""")
 def q_overview_cards(spark, sf_dir):
-    done = L.processed(raw_logs(spark, sf_dir), CFG)
-    return X.overview(L.raw_log_rows(done), L.events(done))
+    return X.overview(L.processed(raw_logs(spark, sf_dir), CFG))
+
+
+@query("""WITH j AS (SELECT user_id % 20 AS job, count(*) AS n, CASE WHEN (user_id % 20) % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM events GROUP BY ALL)
+SELECT coalesce(round_even(avg(rate), 1), 0.0) AS avg_rate, coalesce(round_even(max(rate), 1), 0.0) AS peak_rate FROM (SELECT n / 7.0::DOUBLE - 30 AS rate FROM j WHERE status = 'COMPLETED') WHERE rate > 0""")
+def q_processing_rates(spark, sf_dir):
+    jobs = _read(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("job")).agg(F.count("*").alias("n"))
+    jobs = jobs.select(F.when(F.col("job") % 3 == 0, "FAILED").otherwise("COMPLETED").alias("status"), (F.col("n") / F.lit(7.0) - 30).alias("processing_rate"))
+    return X.processing_rates(jobs)
+
+
+@query(f"{WITH_EVENTS} SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS n FROM log_events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 72 HOURS GROUP BY 1")
+def q_recent(spark, sf_dir):
+    return X.recent(log_events(spark, sf_dir), "2024-01-10 00:00:00", 72)
 
 
 @query(f"""{WITH_EVENTS} SELECT coalesce(c.name, s.source) AS source, c.name IS NOT NULL AS configured, coalesce(events, 0) AS events, last_seen FROM (VALUES ('linux'), ('web'), ('vpn')) c(name)

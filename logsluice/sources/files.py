@@ -1,48 +1,78 @@
-"""Readers of log files into records (file, line_number, content, is_blank), and writers of results."""
+"""Readers of log files into records (file, line_number, content, is_blank), a table of refused files, and writers of results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("log", "txt", "syslog", "json", "jsonl", "ndjson", "csv")
+#: Bytes of a JSON document that is read whole; files that are read by lines may be of any size.
 MOST_BYTES = 50 << 20
+#: Characters of a line that are kept.
 MOST_CHARS = 65_536
-#: Where lines end: also at vertical tab, form feed, the separators FS to RS, NEL and the Unicode line and paragraph separators.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Where lines end besides CR and LF: at vertical tab, form feed, the separators FS to RS, NEL and the Unicode line and paragraph separators.
+RARE_ENDS = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _known(path: str = "path") -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin(*EXTENSIONS)
 
 
 def accepted(files: DataFrame) -> DataFrame:
-    """Files with a known extension that are neither empty nor too large."""
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(*EXTENSIONS) & F.col("length").between(1, MOST_BYTES))
+    """Files (path, length) with a known extension that are neither empty nor too large to be read whole."""
+    return files.where(_known() & F.col("length").between(1, MOST_BYTES))
 
 
-def decoded(c: str = "content"):
-    """UTF-8 without its mark, or Latin-1 where the bytes are no UTF-8."""
-    text = F.when(F.expr(f"is_valid_utf8({c})"), F.decode(F.col(c), "UTF-8")).otherwise(F.decode(F.col(c), "ISO-8859-1"))
-    return F.regexp_replace(text, "^﻿", "")
+def rejected(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Files that the readers leave out: file, bytes, reason. whole: as read_json reads them."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    reason = F.when(~_known("file"), "unknown extension").when(F.col("bytes") == 0, "empty")
+    reason = reason.when(F.col("bytes") > MOST_BYTES, "too large") if whole else reason
+    return files.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
-def _records(df: DataFrame) -> DataFrame:
-    text = F.col("x.content")
-    cut = F.when(F.octet_length(text) > MOST_CHARS, F.left(text, F.lit(MOST_CHARS))).otherwise(text)
-    return df.select("file", (F.col("x.n") + 1).cast("long").alias("line_number"), cut.alias("content"), (F.trim(text) == "").alias("is_blank"))
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Files and what they are: file, bytes, category (the folder that holds it), extension, accepted."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    parts = F.split("path", "/")
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.element_at(parts, -2).alias("category"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("extension"), (_known() & (F.col("length") > 0)).alias("accepted"))
 
 
-def _numbered(df: DataFrame, items) -> DataFrame:
-    return _records(df.select("file", F.posexplode(items).alias("n", "content")).select("file", F.struct("n", "content").alias("x")))
+def decoded(c: str = "content"):
+    """UTF-8 without its mark, or Latin-1 where the bytes are no UTF-8."""
+    text = F.when(F.expr(f"is_valid_utf8({c})"), F.decode(F.col(c), "UTF-8")).otherwise(F.decode(F.col(c), "ISO-8859-1"))
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files line by line, numbered within each file. A file is at most MOST_BYTES, and one row while it is cut."""
-    files = accepted(spark.read.format("binaryFile").load(path)).select(F.col("path").alias("file"), decoded().alias("text"))
-    lines = F.split("text", LINE_ENDS)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    return _numbered(files, lines)
+    """Text files line by line, numbered within each file; lines are cut at MOST_CHARS. Spark splits large files, so no task holds one: lines are
+    numbered by their place in a split and the number of lines in the splits before it. A file is Latin-1 if any of its bytes are no UTF-8."""
+    found = spark.read.text(path)
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
+    rows = found.select("value", *meta, F.monotonically_increasing_id().alias("at")).where(_known("file_path"))
+    more = F.size(F.split("value", RARE_ENDS)) - 1
+    splits = rows.groupBy("file_path", "file_block_start").agg(
+        F.count("*").alias("n"), F.min("at").alias("first_at"), F.sum(more).alias("more"), F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"))
+    before = W.partitionBy("file_path").orderBy("file_block_start").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("file_path")
+    splits = splits.select("file_path", "file_block_start", "first_at", F.coalesce(F.sum(F.col("n") + F.col("more")).over(before), F.lit(0)).alias("before"), (F.sum("more").over(whole) > 0).alias("rare"), F.min(F.col("valid").cast("int")).over(whole).alias("valid"))
+    rows = rows.join(splits, ["file_path", "file_block_start"])
+    text = F.when(F.col("valid") == 1, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    rows = rows.withColumn("line_number", F.col("before") + F.col("at") - F.col("first_at") + 1).withColumn("value", F.when(F.col("line_number") == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text))
+    plain = rows.where("NOT rare").select("file_path", "line_number", "value")
+    # files with other line ends: what such lines add to the numbers is summed up within a split
+    run = F.coalesce(F.sum(more).over(W.partitionBy("file_path", "file_block_start").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    odd = rows.where("rare").withColumn("line_number", F.col("line_number") + run).select("file_path", "line_number", F.posexplode(F.split("value", RARE_ENDS)).alias("i", "value"))
+    lines = plain.unionByName(odd.select("file_path", (F.col("line_number") + F.col("i")).alias("line_number"), "value"))
+    return lines.select(F.col("file_path").alias("file"), F.col("line_number").cast("long").alias("line_number"), F.left("value", F.lit(MOST_CHARS)).alias("content"), (F.trim("value") == "").alias("is_blank"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files: the elements of an array, or of the list under events, records, logs or data, or the whole object; other files by line."""
+    """JSON files: the elements of an array, or of the list under events, records, logs or data, or the whole object; other files by line. A document is one
+    row while it is cut and MOST_BYTES at most (rejected lists larger ones); records are not cut. Files of one record per line can be of any
+    size with read_lines."""
     files = accepted(spark.read.format("binaryFile").load(path)).select(F.col("path").alias("file"), decoded().alias("text"))
     array = F.from_json("text", "array<string>")
     lists = F.coalesce(*[F.from_json(F.get_json_object("text", f"$.{k}"), "array<string>") for k in ("events", "records", "logs", "data")])
@@ -50,7 +80,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     whole = F.when(single & F.try_parse_json("text").isNotNull(), F.array(F.trim("text")))
     by_line = F.filter(F.split("text", LINE_ENDS), lambda x: x != "")
     items = F.when(F.trim("text").startswith("["), F.coalesce(array, by_line)).otherwise(F.coalesce(F.when(single, lists), whole, by_line))
-    return _numbered(files, items)
+    rows = files.select("file", F.posexplode(items).alias("n", "content"))
+    return rows.select("file", (F.col("n") + 1).cast("long").alias("line_number"), "content", (F.trim("content") == "").alias("is_blank"))
 
 
 def logfmt(df: DataFrame) -> DataFrame:

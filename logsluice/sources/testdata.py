@@ -62,20 +62,20 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines: event_id, source, content."""
+    """Raw lines: event_id, source, content. Lines of a few small files are dealt out, as one file would keep all work on one core."""
     # the doubled braces of the JSON line are taken apart by spark.sql itself
     times = {"{bsd}": "date_format(ts, 'MMM dd HH:mm:ss')", "{access}": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')", "{iso}": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"}
     text = _LINES.replace("FROM log_events", "FROM {log_events}")
     for name, expression in times.items():
         text = text.replace(name, expression)
-    return spark.sql(text, log_events=log_events(spark, sf_dir))
+    events, n = log_events(spark, sf_dir), spark.sparkContext.defaultParallelism
+    if len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) < n:
+        events = events.repartition(n)
+    return spark.sql(text, log_events=events)
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_lines as the pipeline's input: job_id, source_name, line_number, content, received_at."""
-    lines, n = log_lines(spark, sf_dir), spark.sparkContext.defaultParallelism
-    if len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) < n:  # one small file would keep parsing on one core
-        lines = lines.repartition(n)
-    return lines.select(
+    return log_lines(spark, sf_dir).select(
         F.lit("job-1").alias("job_id"), F.col("source").alias("source_name"), F.col("event_id").alias("line_number"), "content", F.lit(REFERENCE).cast("timestamp").alias("received_at")
     )

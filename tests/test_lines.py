@@ -83,7 +83,7 @@ def test_bad_packs(tmp_path):
 
 
 def test_pseudonyms(spark):
-    cfg = N.PiiConfig(mode="DETERMINISTIC_HASH")
+    cfg = N.PiiConfig(mode="DETERMINISTIC_HASH", key="test-pii-key")
     assert [N.pseudonym_of(v, k, cfg) for v, k in (("192.0.2.50", "ip"), (" Admin ", "username"), ("kim@corp.example", "email"), ("db-02", "host"))] == ["IP_63C939", "USER_E1B4B8", "EMAIL_85FB8D", "HOST_7397F0"]
     row = spark.createDataFrame([("192.0.2.50", "administrator", "kim@corp.example", "2001:db8::1")], "source_ip string, username string, email string, destination_ip string")
     assert N.protect(row, cfg).first()["source_ip"] == "IP_63C939"
@@ -111,3 +111,41 @@ def test_formats_by_file(spark):
     rows = [("f", i, LINES["sshd"]) for i in range(3)] + [("g", 1, LINES["text"])]
     got = {r["file"]: r["format"] for r in P.file_format(spark.createDataFrame(rows, "file string, line_number int, content string"), ["file"]).collect()}
     assert got == {"f": "LINUX_AUTH", "g": "GENERIC_TEXT"}
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    texts = {"a.log": "﻿one\r\ntwo\n\nfour\x0bfive\nsix".encode(), "b.txt": b"caf\xe9\n" + b"x\n" * 500, "e.csv": b"a,b,c\n1,2,3\n4,\"5,5\",6\n", "g.bin": b"zz"}
+    for name, raw in texts.items():
+        (tmp_path / name).write_bytes(raw)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).collect()
+        formats = {r["file"][-5:]: r["format"] for r in P.file_format(files.read_lines(spark, str(tmp_path)), ["file"]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, encoding in (("a.log", "utf-8-sig"), ("b.txt", "latin-1"), ("e.csv", "utf-8")):
+        got = sorted((r["line_number"], r["content"]) for r in rows if r["file"].endswith(name))
+        assert got == list(enumerate(texts[name].decode(encoding).splitlines(), 1))
+    assert formats["e.csv"] == "CSV" and formats["b.txt"] == "GENERIC_TEXT"
+    assert [(r["bytes"], r["reason"]) for r in files.rejected(spark, str(tmp_path)).collect()] == [(2, "unknown extension")]
+    assert sorted(r["extension"] for r in files.listing(spark, str(tmp_path)).where("accepted").collect()) == ["csv", "log", "txt"]
+
+
+def test_deep_json(spark):
+    deep, want = '{"user":"kim","a":{"b":{"c":{"d":{"e":{"leaf":"found"}}}}}}', {"username": "kim", "leaf": "found"}
+    rows = spark.createDataFrame([(deep,)], "content string")
+    assert P.parse(P.detect(rows)).first()["fields"] == want
+
+
+def test_pack_versions(spark):
+    text = "parser: {{name: demo, format: DEMO, version: '{}'}}\npatterns: ['^demo (?P<host>\\S+)$']\n"
+    table = spark.createDataFrame([(text.format("1.9.0"), True), (text.format("1.10.0"), True), (text.format("2.0.0"), False), ("parser: {name: bad}", True)], "definition string, active boolean")
+    good, bad = K.packs_from(table)
+    assert [p.version for p in K.latest(good)] == ["1.10.0"] and len(bad) == 1
+    assert [p.version for p in K.latest(good, {("demo", "1.10.0")})] == ["1.9.0"]
+    parsers = K.registry(good)
+    row = P.parse(P.detect(spark.createDataFrame([("demo db-1",)], "content string"), parsers=parsers), parsers=parsers).first()
+    assert (row["parser"], row["parser_version"], row["fields"]["host"]) == ("demo", "1.10.0", "db-1")
