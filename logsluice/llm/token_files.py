@@ -6,8 +6,9 @@ together), each plane is compressed with Zstandard on its own, and the file ends
 block's planes lie) and a document index (id and number of tokens of each document). A manifest lists the files and
 their number of ids, from which the global start of each file follows.
 
-Texts are tokenized chunk by chunk between white space, which this tokenizer never crosses; each distinct chunk goes
-through the tokenizers library once per worker and cache life.
+Texts are tokenized chunk by chunk between white space; each distinct chunk goes through the tokenizers library once per worker and
+cache life. That holds for tokenizers that never cross white space, lower ASCII letters and end words with a mark. Encoder tries
+this on samples when it loads a file; with any other file, whole texts go through the library.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows with one id follow each other in the order of
 their texts; an empty table writes no file and gives an empty result; other columns are ignored. A task holds one
@@ -38,11 +39,13 @@ END_ID = 2
 BLOCK = 1 << 16
 FILE_IDS = 1 << 25
 TASK_BYTES = 6 << 20
-CACHE = 1_000_000
+CACHE = 500_000
 SLICE = 4 << 20
 _MAGIC = b"TOKPLN01"
 #: Letters, then ASCII punctuation but apostrophes: two words for the tokenizer.
 _STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Samples on which a tokenizer must give the same ids for a whole and for its parts.
+_SAMPLES = (("Ab", " ", "cde"), ("XY", "\t", "zÄé"), ("end", "", "."), ("Größe", "", "?!"), ("a", "", '"...'), ("word", "\n", "(x"), ("q", "  ", "r"))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -62,6 +65,8 @@ class Encoder:
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        ids = lambda t: self._ids(t).tolist()
+        self._in_chunks = all(ids(a + gap + b) == ids(a) + ids(b) and ids(a) == ids(a.lower()) and self._ends_word[ids(a)[-1]] for a, gap, b in _SAMPLES)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -72,13 +77,18 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Whether the word stays one word of letters when it is lowered: a capital dotted I becomes a letter and a mark."""
+        return word.isalpha() and (word.isascii() or len(low := word.lower()) == len(word) and low.isalpha())
+
     def _learn(self, chunks: list[str]) -> None:
         words: set[str] = set()
         split: list[tuple[str, str, str]] = []
         for c in chunks:
-            if c.isalpha():
+            if self._plain(c):
                 words.add(c)
-            elif (m := _STEM.fullmatch(c)) and m[1].isalpha():
+            elif (m := _STEM.fullmatch(c)) and self._plain(m[1]):
                 words.update(m.groups())
                 split.append((c, *m.groups()))
             else:
@@ -102,7 +112,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and size < SLICE and "<|" not in texts[end]:
+            while self._in_chunks and end < len(texts) and size < SLICE and "<|" not in texts[end]:
                 size += len(texts[end])
                 end += 1
             if end > at:
