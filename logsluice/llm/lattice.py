@@ -11,7 +11,7 @@ alpha = inf takes the best arc instead of a draw.
 
 A space that the text itself writes as the vocabulary's space mark is read byte by byte, so decoding returns exactly the text.
 
-Defined results: a null text is empty and has no ids; a null key is drawn like key 0; repeated rows get equal ids; an empty
+Defined results: a null text is empty and has no ids; a null key is a key like any other; repeated rows get equal ids; an empty
 table gives an empty result; other columns are ignored. A task holds some megabytes of text and a tree of bounded size.
 """
 
@@ -273,7 +273,7 @@ def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0
         segmenter = Segmenter.at(model, alpha)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = pc.fill_null(batch.column(2), 0).to_numpy().astype(np.int64).view(np.uint64)
+            keys = batch.column(2).to_numpy().astype(np.int64).view(np.uint64)
             rows, ids_of, size, at = [], [], 0, 0
             for t, ids in zip(texts, segmenter.encode(texts, keys, seed), strict=True):
                 back = segmenter.decode(ids) if check else t
