@@ -13,7 +13,7 @@ Sums are exact: float64 arithmetic is used only where all partial sums stay unde
 Defined results: vectors that are null, empty, or hold a null, NaN or infinite component take no part; neither
 do rows with a null id; vectors of different lengths are never compared with each other; rows with one id count once per
 distinct vector and the best score stands, and a query is never compared with rows of its own id; equal scores go to the smaller
-id; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
+id; scores beyond 64 bits count as the largest or least long; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
