@@ -4,7 +4,7 @@ Plain detection finds emails, IPv4 addresses, card numbers and phone numbers by
 and not overlapping within a kind; matches that fail their check are dropped without a second try. All scans
 are linear in the text. Deobfuscation then runs a transducer over texts that hold a disguise: it folds
 homoglyphs (compatibility forms, Cyrillic and Greek look-alikes, other scripts' digits), drops zero-width
-characters, turns spelled digits into digits, and at / dot disguises into @ and full stops. Every output
+characters, turns digits spelled in English, French, German or Spanish into digits, and at / dot disguises in these languages into @ and full stops. Every output
 character carries the source span it came from; identifiers found in the output that touch a rewritten
 character are mapped back and added. Base spans always stay, and an added span never overlaps one of its kind.
 
@@ -37,37 +37,47 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-# The spelled digits.
+# The spelled digits in English, French, German and Spanish.
 SPELLED = {
-    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
-    "eight": "8", "nine": "9",
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-# Letters of other alphabets that look like a Latin letter.
+# The names of @ and of the full stop in these languages, and the words for two or three times and for +.
+AT_NAMES = ("at", "arobase", "arrobase", "klammeraffe", "arroba")
+DOT_NAMES = ("dot", "point", "punkt", "punto")
+TWICE, THRICE = ("double", "doppel", "doble"), ("triple", "dreifach")
+PLUS_NAMES = ("plus", "más", "mas")
+# Letters of other alphabets, and small capitals, that look like a Latin letter.
 LOOK_ALIKES = dict(
-    zip("асеорхуіјѕԁһԛԝɡАВЕКМНОРСТХІЈЅαοινρτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijsdhqwgABEKMHOPCTXIJSaoivptkABEZHIKMNOPTYX", strict=True)
-)
-_ZERO_WIDTH = "­​‌‍⁠﻿"
-
-_WORDS = "|".join(SPELLED)
-_STEP = rf"(?:(?:double|triple)[\s,-]+)?(?:{_WORDS}|[0-9])(?![A-Za-z])"
-_RUN = rf"(?:\bplus[\s,-]+|\+[\s]?)?(?<![A-Za-z]){_STEP}(?:(?:[\s,-]+|\s+(?:dot|point)\s+){_STEP}){{3,}}"
+    zip("асеорхуіјѕԁһԛԝɡкмтьАВЕКМНОРСТХІЈЅҮαοινρτκυχАΑΒΕΖΗΙΚΜΝΟΡΤΥΧօսհոզցᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢı",
+        "aceopxyijsdhqwgkmtbABEKMHOPCTXIJSYaoivptkuxAABEZHIKMNOPTYXouhnqgabcdefghijklmnoprstuvwyzi", strict=True)
+)
+_ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+_longest = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
+_WORDS, _AT, _DOT, _PLUS = (_longest(x) for x in (SPELLED, AT_NAMES, DOT_NAMES, PLUS_NAMES))
+_TIMES = rf"(?:{_longest((*TWICE, *THRICE))})[\s,-]+"
+_STEP = rf"(?:{_TIMES})?(?:{_WORDS}|[0-9])(?![^\W\d_])"
+_RUN = rf"(?:\b(?:{_PLUS})[\s,-]+|\+[\s]?)?(?<![^\W\d_]){_STEP}(?:(?:[\s,-]+|\s+(?:{_DOT})\s+){_STEP}){{3,}}"
 #: White space is taken from its start only, so that long stretches of it are read once.
 _OPEN, _SHUT = r"(?:(?<!\s)\s+)?[\[({<]\s*", r"\s*[\])}>]\s*"
 #: The arcs of the transducer that rewrite more than one character; the first that fits at a place is taken.
 _ARCS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_SHUT}|(?<=[\w+-])\s+(?:@|at)\s+(?=[\w-]+(?:(?:\s+dot\s+|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\.)[A-Za-z0-9-]+)+)"
+    rf"(?P<at>{_OPEN}(?:{_AT}|@){_SHUT}|(?<=[\w+-])\s+(?:@|{_AT})\s+(?=[\w-]+(?:(?:\s+(?:{_DOT})\s+|\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*|\.)[A-Za-z0-9-]+)+)"
     rf"|(?<=[\w+-])\s+@(?=[\w-]+\.)|(?<=[\w+-])@\s+(?=[\w-]+\.))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_SHUT}|(?<=[\w-])\s+dot\s+(?=[\w-]))"
+    rf"|(?P<dot>{_OPEN}(?:{_DOT}|\.){_SHUT}|(?<=[\w-])\s+(?:{_DOT})\s+(?=[\w-]))"
     rf"|(?P<run>{_RUN})",
     re.IGNORECASE,
 )
-_GAP = r"(?:[\s,-]+|\s+(?:dot|point)\s+)(?:(?:double|triple)[\s,-]+)?"
+_GAP = rf"(?:[\s,-]+|\s+(?:{_DOT})\s+)(?:{_TIMES})?"
 #: Part of each arc that rewrites, in lower case: every match of _ARCS but a run of plain digits holds one of these.
 _HINT = re.compile(
-    rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\s(?:@|dot\s|at\s+[\w-]+\.)|@\s"  # an `at` before a spelled or bracketed dot is found by the dot
-    rf"|[0-9]{_GAP}(?:{_WORDS})|(?:{_WORDS}){_GAP}(?:{_WORDS}|[0-9])"
+    rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]|\s(?:@|(?:{_DOT})\s|(?:{_AT})\s+[\w-]+\.)|@\s"  # an `at` before a spelled or bracketed dot is found by the dot
+    rf"|(?<![^\W\d_])(?:[0-9]{_GAP}(?:{_WORDS})|(?:{_WORDS}){_GAP}(?:{_WORDS}|[0-9]))"
 )
-_STEPS = re.compile(rf"(double|triple)|({_WORDS})|([0-9])|(dot|point)|(plus|\+)", re.IGNORECASE)
+_STEPS = re.compile(rf"({_longest((*TWICE, *THRICE))})|({_WORDS})|([0-9])|({_DOT})|({_PLUS}|\+)", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -138,7 +148,7 @@ def _digits(run: str) -> str:
     out, times = [], 1
     for m in _STEPS.finditer(run):
         if m[1]:
-            times = 2 if m[1].lower() == "double" else 3
+            times = 2 if m[1].lower() in TWICE else 3
         elif m[4] or m[5]:
             out.append("." if m[4] else "+")
         else:
