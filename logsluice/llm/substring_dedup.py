@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, row_key, small_batches
 
 #: The window of the gear hash, the bits that must be zero at a cut (one place in 32), and the bounds of chunks, in bytes.
 WINDOW, CUT_BITS = 16, 5
@@ -71,11 +71,11 @@ def single_spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(gap, np.uint8(32), data)[kept], np.flatnonzero(kept)
 
 
-CHUNK = "doc_id long, row int, nth int, start int, end int, size int, h1 long, h2 int"
+CHUNK = "doc_id long, row long, nth int, start int, end int, size int, h1 long, h2 int"
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per chunk: doc_id, row (a hash of the text), nth, start and end in code points, size in bytes, digest."""
+    """One row per chunk: doc_id, row (a 64-bit digest of the text), nth, start and end in code points, size in bytes, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +103,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield out(cols)
 
     def out(cols) -> pa.RecordBatch:
-        types = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int32()]
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "nth", "start", "end", "size", "h1", "h2"])
 
-    return small_batches(docs).select(F.col(key).cast("long"), F.col(text), F.hash(text)).mapInArrow(run, CHUNK)
+    return small_batches(docs).select(F.col(key).cast("long"), F.col(text), row_key(text)).mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(cut: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.sum(F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)")).alias("removed_chars"),
         span.alias("spans"),
     )
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("row"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(text).alias("row"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.join(marks, ["doc_id", "row"], "left").select("doc_id", "n_chars", zero("n_passages"), zero("repeated_chars"), zero("removed_chars"), F.coalesce("spans", F.lit("")).alias("spans"))
 
@@ -151,7 +151,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cut = materialize(chunks(docs, key, text), "chunks")
     gone = passages(cut).groupBy("doc_id", "row").agg(F.sort_array(F.flatten(F.collect_list("removed"))).alias("__gone"))
     gone = gone.where(F.size("__gone") > 0).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    rows = docs.withColumn("__row2", F.hash(text))
+    rows = docs.withColumn("__row2", row_key(text))
     joined = rows.join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.col("__row2") == F.col("__row")), "left")
     kept = F.expr(
         f"CASE WHEN __gone IS NULL THEN {text} ELSE concat(aggregate(__gone, named_struct('at', 0, 't', ''), "
