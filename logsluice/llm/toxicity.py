@@ -2,13 +2,15 @@
 
 1. A character language model: trigram counts over all documents, added up from per-task counts (the
    alphabet is fixed, so the table is bounded whatever the input).
-2. Restoring: stretches that may be disguised (letters mixed with leetspeak signs, letters repeated three times or
-   more, words spelled letter by letter) become a lattice of readings. Viterbi decoding finds the reading with the best
-   sum of language-model and channel scores. All other text reads as itself.
+2. Restoring: stretches that may be disguised (tokens of letters and leetspeak signs, letters repeated three times or
+   more, words spelled letter by letter) become a lattice of readings, in which every sign may also stand for itself. Viterbi
+   decoding finds the reading with the best sum of language-model and channel scores, in time linear in the stretch, whatever its
+   length. All other text reads as itself; so do tokens of digits alone, which are numbers.
 3. A classifier over restored words: whole words and word beginnings that (almost) only toxic labels have, in
-   enough texts that are not copies of each other, so a group of copies cannot bring in its incidental words. It
-   is fitted on a bounded sample of the labelled rows (TOXIC_SAMPLE, CLEAN_SAMPLE; all rows where there are
-   fewer). The score is the noisy-or of the features found.
+   enough texts that are not copies of each other, so a group of copies cannot bring in its incidental words. Enough is where
+   chance would give no more than CHANCE of all features of toxic texts so many texts without a clean one. It
+   is fitted on a bounded sample of the labelled rows (TOXIC_SAMPLE, CLEAN_SAMPLE rows; all where there are
+   fewer; rows equal in id and text count once). The score is the noisy-or of the features found.
 
 Rows with crc32(id) mod 3 = 1 are held out of the fit. Labels, language, source and id are never inputs of a score.
 
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, row_key, small_batches
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4_000, 12_000
 THRESHOLD = 0.7
 LEAST_PRECISION = 0.9
+CHANCE = 1.0
 
 #: Character classes: 0 is anything but a letter, then a-z, these letters, and one class for all others.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -51,13 +54,15 @@ LEET = {
 _WILD = "*#"
 _VOWELS = "aeiou"
 #: Channel costs in nats: reading a sign as a letter, a wild sign as a vowel, dropping a sign within or at the edge of
-#: a word, dropping a gap between spelled letters or reading it as a space, shortening a run of letters.
-SIGN, WILD, DROP, EDGE, GAP, WORD_GAP, RUN = 1.0, 3.0, 14.0, 2.0, 0.2, 3.0, 0.5
+#: a word, dropping a gap between spelled letters or reading it as a space, shortening a run of letters, keeping a sign.
+SIGN, WILD, DROP, EDGE, GAP, WORD_GAP, RUN, KEEP = 1.0, 3.0, 14.0, 2.0, 0.2, 3.0, 0.5, 2.5
+#: Readings of stretches up to this length are kept for later ones.
+KEPT_LENGTH = 64
 
 _SIGNS = re.compile(r"[0-9@$!|+€(*#]+(?=[^\W\d_])|[0-9@$]+")
 _TRIPLES = tuple(c * 3 for c in _LETTERS)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·]{1,3}[^\W_@$!|+]|[ .\-_*·]{1,3}[@$!|+](?=[ .\-_*·])){3,}(?![^\W_])")
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·/,;:~=\\]{1,3}[^\W_@$!|+]|[ .\-_*·/,;:~=\\]{1,3}[@$!|+](?=[ .\-_*·/,;:~=\\])){2,}(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 _IN_TOKEN = frozenset("0123456789@$!|+€(*#")
 
@@ -105,54 +110,72 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self._logs = model.tolist()
-        self.decode = lru_cache(200_000)(self._decode)
+        self._kept = lru_cache(50_000)(self._decode)
 
-    def _arcs(self, s: str) -> list[list[tuple[int, str, float]]]:
+    def decode(self, s: str) -> str:
+        return self._kept(s) if len(s) <= KEPT_LENGTH else self._decode(s)
+
+    def arcs(self, s: str) -> list[list[tuple[int, str, float]]]:
         """From each place: (next place, what is read, channel cost)."""
         arcs: list[list[tuple[int, str, float]]] = []
+        end = 0  # of the run of equal letters around the place
         for i, c in enumerate(s):
             here: list[tuple[int, str, float]] = []
             if c.isalpha():
                 here.append((i + 1, c, 0.0))
-                end = i
-                while end < len(s) and s[end] == c:
-                    end += 1
-                if end - i >= 3 and (i == 0 or s[i - 1] != c):
-                    here = [(end, c, RUN), (end, c * 2, RUN)]
-                elif end - i == 2 and (i == 0 or s[i - 1] != c):
-                    here.append((end, c, 4 * RUN))
+                if i >= end:
+                    start = end = i
+                    while end < len(s) and s[end] == c:
+                        end += 1
+                    if end - start >= 3:
+                        here = [(end, c, RUN), (end, c * 2, RUN)]
+                    elif end - start == 2:
+                        here.append((end, c, 4 * RUN))
             else:
                 here += [(i + 1, x, SIGN) for x in LEET.get(c, "")]
                 if c in _WILD:
                     here += [(i + 1, x, WILD) for x in _VOWELS]
                 if c in LEET or c in _WILD:
-                    here.append((i + 1, "", DROP if 0 < i < len(s) - 1 else EDGE))
+                    here += [(i + 1, "", DROP if 0 < i < len(s) - 1 else EDGE), (i + 1, c, KEEP)]
                 else:
                     here += [(i + 1, "", GAP), (i + 1, " ", WORD_GAP)]
             arcs.append(here)
         return arcs
 
+    def weight(self, a: int, b: int, read: str) -> tuple[float, int, int]:
+        """The language model's score of what is read after classes a and b, and the last two classes then."""
+        total = 0.0
+        for c in read:
+            z = _CLASS_OF.get(c) or (CLASSES - 1 if c.isalpha() else 0)
+            total += self._logs[a][b][z]
+            a, b = b, z
+        return total, a, b
+
     def _decode(self, s: str) -> str:
-        """The best reading of s by Viterbi over states (place, last two classes)."""
-        at: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(s) + 1)]
-        at[0][0, 0] = (0.0, "")
-        other = CLASSES - 1
-        for i, arcs in enumerate(self._arcs(s)):
-            for (a, b), (score, read) in at[i].items():
+        """The best reading of s by Viterbi over states (place, last two classes). A state keeps its score and a link to what was read."""
+        at: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(len(s) + 1)]
+        at[0][0, 0] = (0.0, None)
+        for i, arcs in enumerate(self.arcs(s)):
+            for (a, b), (score, link) in at[i].items():
                 for to, out, cost in arcs:
-                    x, y, new = a, b, score - cost
-                    for c in out:
-                        z = _CLASS_OF.get(c, other) if c != " " else 0
-                        new += self._logs[x][y][z]
-                        x, y = y, z
+                    more, x, y = self.weight(a, b, out)
+                    new = score - cost + more
                     old = at[to].get((x, y))
                     if old is None or new > old[0]:
-                        at[to][x, y] = (new, read + out)
-        return max(((score + self._logs[a][b][0], read) for (a, b), (score, read) in at[-1].items()), default=(0.0, s))[1]
+                        at[to][x, y] = (new, (link, out))
+            at[i] = {}
+        link = max(((score + self._logs[a][b][0], n) for n, ((a, b), (score, _)) in enumerate(at[-1].items())), default=None)
+        if link is None:
+            return s
+        link, read = list(at[-1].values())[link[1]][1], []
+        while link is not None:
+            link, out = link
+            read.append(out)
+        return "".join(reversed(read))
 
     @staticmethod
-    def _tokens(low: str, pattern: re.Pattern, inside) -> Iterator[tuple[int, int, str]]:
-        """The whole tokens around matches, each once: (start, end, first character of the match). Linear in the text."""
+    def _tokens(low: str, pattern: re.Pattern, inside) -> Iterator[tuple[int, int]]:
+        """The whole tokens around matches, each once: (start, end). Linear in the text."""
         done = 0
         while m := pattern.search(low, done):
             a, b = m.span()
@@ -160,35 +183,31 @@ class Restorer:
                 a -= 1
             while b < len(low) and inside(low[b]):
                 b += 1
-            yield a, b, low[m.start()]
+            yield a, b
             done = b
 
     def restore(self, text: str) -> str:
         """The text in lower case with disguised stretches replaced by their readings."""
         low = text.lower()
         found: list[tuple[int, int]] = [m.span() for m in _SPELLED.finditer(low)]
-        for a, b, sign in self._tokens(low, _SIGNS, lambda c: c.isalpha() or c in _IN_TOKEN):
+        for a, b in self._tokens(low, _SIGNS, lambda c: c.isalpha() or c in _IN_TOKEN):
             while a < b and low[a] in "!*#|+(" and not low[a + 1 : a + 2].isalpha():
                 a += 1
-            token = low[a:b].rstrip("!*#|+(")
-            letters = sum(map(str.isalpha, token))
-            if letters >= 2 and not token.endswith(sign * 3) and (len(token) <= 8 or 2 * letters >= len(token)) and len(token) <= 40:
-                found.append((a, a + len(token)))
+            while a < b and low[b - 1] in "!*#|+(":
+                b -= 1
+            if not low[a:b].isdigit() and (b - a > 1):
+                found.append((a, b))
         if any(t in low for t in _TRIPLES):
-            found += [(a, b) for a, b, _ in self._tokens(low, _TRIPLE, str.isalpha) if b - a <= 200]
+            found += self._tokens(low, _TRIPLE, str.isalpha)
         if not found:
             return low
         out, last = [], 0
         for a, b in sorted(set(found)):
             if a >= last:
-                out += (low[last:a], self._spelled(low[a:b]))
+                out += (low[last:a], self.decode(low[a:b]))
                 last = b
         return "".join(out) + low[last:]
 
-    def _spelled(self, s: str) -> str:
-        """Long spelled stretches are read in parts, so that a part's readings stay few and reusable."""
-        return "".join(self.decode(s[i : i + 200]) for i in range(0, len(s), 200))
-
 
 def features(restored: str) -> set[str]:
     """Words (with a closing $) and word beginnings of 4 to 6 letters."""
@@ -209,13 +228,17 @@ def held_out(key: str | Column = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: str = "text") -> tuple[dict[str, float], float]:
     """Feature weights (the chance that a text with the feature is toxic) and the chance without any feature.
 
-    Everything that reaches the driver is bounded by the two sample sizes."""
+    Everything that reaches the driver is bounded by the two sample sizes, which count rows (an id may have several)."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__id")).agg(F.max("toxic").alias("toxic"))
-    drawn = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(n) for t, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
-    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    sample = drawn[0].unionByName(drawn[1])
-    rows = materialize(docs.join(F.broadcast(sample), F.col(key) == F.col("__id")).select(text, "toxic").repartition(16), "toxicity-sample")
+    texts = docs.select(F.col(key).alias("__id"), row_key(text).alias("__row"), F.col(text).alias("text"))
+    rows = texts.select("__id", "__row").join(known, "__id").distinct()
+    rows = materialize(rows, "toxicity-labelled")
+    drawn = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("__id", "__row"), "__id", "__row").limit(n) for t, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
+    total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    sample = materialize(drawn[0].unionByName(drawn[1]), "toxicity-drawn")  # TOXIC_SAMPLE + CLEAN_SAMPLE thin rows at most
+    drawn = texts.join(F.broadcast(sample), ["__id", "__row"]).groupBy("__id", "__row").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = materialize(drawn.select("text", "toxic").repartition(16), "toxicity-sample")
 
     def toxic_features(batches):
         restorer = Restorer(model.value)
@@ -228,9 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
     seen_toxic, seen = total.get(1, 0), sum(total.values())
     if not toxic or not clean:
         return {}, seen_toxic / seen if seen else 0.0
-    least = 3 if toxic < 60 else 4 if toxic < 300 else 6  # so that chance alone gives hardly any feature
-    often = rows.where("toxic = 1").select(text).mapInArrow(toxic_features, "f string").groupBy("f").count().where(F.col("count") >= least)
-    names = sorted(r[0] for r in often.select("f").collect())
+    counts = materialize(rows.where("toxic = 1").select("text").mapInArrow(toxic_features, "f string").groupBy("f").count(), "toxicity-features")
+    # a feature without a bearing has only toxic texts, k of them, with a chance of (share of toxic rows) ** k
+    least = max(2, math.ceil(math.log(max(counts.count(), 1) / CHANCE) / math.log((toxic + clean) / toxic)))
+    names = sorted(r[0] for r in counts.where(F.col("count") >= least).select("f").collect())
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def listed(batches):
@@ -253,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
 
     in_clean = np.zeros(len(names))
     texts: list[np.ndarray] = []
-    for r in rows.select(text, F.col("toxic").cast("int")).mapInArrow(listed, "toxic int, at binary, n binary").collect():
+    for r in rows.select("text", F.col("toxic").cast("int")).mapInArrow(listed, "toxic int, at binary, n binary").collect():
         at = np.frombuffer(r["at"], np.int32)
         if r["toxic"]:
             texts.append(at)
@@ -271,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, key: str = "doc_id", text: st
         for i in at[precise[at]].tolist():
             having.setdefault(i, []).append(d)
 
-    @lru_cache(None)
+    @lru_cache(1 << 20)
     def alike(a: int, b: int) -> bool:
         """Whether the texts share more than half of their (frequent enough) features."""
         both = len(np.intersect1d(texts[a], texts[b], assume_unique=True))
