@@ -39,12 +39,12 @@ from .components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-FRAGMENT_BYTES = 4 << 20
+FRAGMENT_BYTES = 2 << 20
 #: Partitions of fragments at most; beyond it a task handles several fragments, one after the other.
 PARTITIONS = 100_000
 #: n-grams that a packing task holds at once, and bytes of text cut into n-grams at once.
-HELD = 1_500_000
-SLICE = 2 << 20
+HELD = 750_000
+SLICE = 1 << 20
 CUTS = 4  # fragments in which a pair's overlap is counted
 #: Min-hashes of a class, those of them whose buckets the first round uses, and rows of a bucket that are put in order together.
 MIN_HASHES, FIRST, ORDERED = 8, 6, 512
