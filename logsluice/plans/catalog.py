@@ -17,7 +17,7 @@ from ..operators import query as Q
 from ..operators import shield as S
 from ..operators import templates as T
 from ..sources import files
-from ..sources.testdata import REFERENCE, WITH_EVENTS, WITH_LINES, log_events, log_lines, raw_logs
+from ..sources.testdata import REFERENCE, WITH_EVENTS, WITH_LINES, WITH_MIXED, log_events, log_lines, raw_logs
 
 CFG = L.PipelineConfig(reference=REFERENCE)
 HASHED = N.PiiConfig(mode="DETERMINISTIC_HASH", key="test-pii-key", kinds=("ip", "email", "username", "host"))
@@ -241,6 +241,52 @@ def q_trace(spark, sf_dir):
     return L.trace(raw_logs(spark, sf_dir), CFG)
 
 
+# Lines of the other kinds, with what each has to become by its own definition: the SQL reads no line.
+_MIXED_SQL = f"""{WITH_MIXED}, x AS (SELECT l.event_id, event_id % 12 AS kind, username, source_ip, ts, CASE WHEN event_id % 12 = 8 THEN 'INVALID' WHEN event_id % 12 = 10 AND event_id > (SELECT min(event_id) FROM log_events WHERE event_id % 12 = 10) THEN 'DUPLICATE'
+    WHEN event_id % 12 = 9 THEN 'QUARANTINED' WHEN event_id % 12 = 1 AND event_id % 5 = 0 THEN 'INVALID' ELSE 'PROCESSED' END AS disposition FROM mixed_lines l JOIN log_events USING (event_id)),
+y AS (SELECT event_id, disposition, CASE kind WHEN 0 THEN 'syslog' WHEN 1 THEN 'nginx' WHEN 2 THEN 'firewall' WHEN 3 THEN 'json' WHEN 10 THEN 'raw' WHEN 11 THEN 'raw' ELSE 'linux_auth' END AS parser,
+    CASE kind WHEN 1 THEN 'http_request' WHEN 2 THEN 'connection_denied' WHEN 3 THEN 'authentication_failure' WHEN 4 THEN 'authentication_failure' WHEN 5 THEN 'privilege_escalation' WHEN 6 THEN 'authentication_failure'
+        WHEN 7 THEN 'session_opened' ELSE 'generic' END AS event_type, CASE WHEN kind = 5 THEN 'root' WHEN kind IN (1, 3, 4, 6, 7) THEN username END AS username, CASE WHEN kind IN (1, 2, 3, 4, 6) THEN source_ip END AS source_ip,
+    CASE kind WHEN 1 THEN 'medium' WHEN 2 THEN 'medium' WHEN 0 THEN 'critical' WHEN 5 THEN 'medium' END AS severity, CASE kind WHEN 1 THEN 'request' WHEN 2 THEN 'deny' WHEN 3 THEN 'login' WHEN 4 THEN 'login' WHEN 5 THEN 'sudo' WHEN 6 THEN 'login' WHEN 7 THEN 'login' END AS action FROM x)"""
+
+
+@query(f"{_MIXED_SQL} SELECT event_id, disposition, CASE WHEN disposition = 'PROCESSED' THEN parser END AS parser, CASE WHEN disposition = 'PROCESSED' THEN event_type END AS event_type, CASE WHEN disposition = 'PROCESSED' THEN username END AS username, CASE WHEN disposition = 'PROCESSED' THEN source_ip END AS source_ip, CASE WHEN disposition = 'PROCESSED' THEN severity END AS severity, CASE WHEN disposition = 'PROCESSED' THEN action END AS action FROM y")
+def q_mixed_lines(spark, sf_dir):
+    done = L.processed(raw_logs(spark, sf_dir, mixed=True), CFG)
+    names = ["parser", "event_type", "username", "source_ip", "severity", "action"]
+    return done.select(F.col("line_number").alias("event_id"), "disposition", *[F.when(F.col("disposition") == "PROCESSED", F.col(n)).alias(n) for n in names])
+
+
+@query(f"""{_MIXED_SQL} SELECT 'job-1' AS job_id, count(*) AS total_records, count(*) FILTER (disposition = 'PROCESSED') AS processed_records, count(*) FILTER (disposition = 'INVALID') AS invalid_records,
+    count(*) FILTER (disposition = 'DUPLICATE') AS duplicate_records, count(*) FILTER (disposition = 'QUARANTINED') AS quarantined_records FROM y""")
+def q_mixed_summary(spark, sf_dir):
+    return L.job_summary(L.processed(raw_logs(spark, sf_dir, mixed=True), CFG))
+
+
+@query(f"""{_MIXED_SQL}, c AS (SELECT count(*) AS total, count(*) FILTER (disposition = 'PROCESSED') AS processed, count(*) FILTER (disposition = 'INVALID') AS invalid, count(*) FILTER (disposition = 'DUPLICATE') AS duplicate,
+    count(*) FILTER (disposition = 'QUARANTINED') AS quarantined FROM y)
+SELECT unnest(['total', 'processed', 'invalid', 'duplicate', 'quarantined', 'events', 'protected', 'sources', 'success_rate']) AS card,
+    unnest([total, processed, invalid, duplicate, quarantined, processed, 0, 1, round_even(100.0 * processed / total, 1)]::DOUBLE[]) AS value FROM c""")
+def q_mixed_cards(spark, sf_dir):
+    return X.overview(L.processed(raw_logs(spark, sf_dir, mixed=True), CFG))
+
+
+@query(f"""{_MIXED_SQL}, e AS (SELECT 'by_parser' AS chart, parser AS label FROM y WHERE disposition = 'PROCESSED' UNION ALL SELECT 'by_event_type', event_type FROM y WHERE disposition = 'PROCESSED'
+    UNION ALL SELECT 'by_severity', severity FROM y WHERE disposition = 'PROCESSED' AND severity IS NOT NULL UNION ALL SELECT 'by_source', 'mixed' FROM y WHERE disposition = 'PROCESSED' UNION ALL SELECT 'outcomes', lower(disposition) FROM y
+    UNION ALL SELECT 'pii', 'not protected' FROM y WHERE disposition = 'PROCESSED') SELECT chart, label, count(*) AS value FROM e GROUP BY ALL""")
+def q_charts(spark, sf_dir):
+    return X.charts(L.processed(raw_logs(spark, sf_dir, mixed=True), CFG))
+
+
+@query(f"""{_MIXED_SQL}, c AS (SELECT count(*) AS total, count(*) FILTER (disposition = 'PROCESSED') AS p, count(*) FILTER (disposition IN ('INVALID', 'DUPLICATE')) AS d, count(*) FILTER (disposition = 'PROCESSED' AND parser <> 'raw') AS ok FROM y),
+a AS (SELECT count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS new, count(*) FILTER (event_id % 3 > 1) AS linked FROM events WHERE event_id < 500)
+SELECT CAST(turn AS INTEGER) AS turn, node, records, status FROM (SELECT unnest(range(11)) AS turn, unnest(['sources', 'ingestion', 'detection', 'parsing', 'cleaning', 'pii', 'normalization', 'validation', 'correlation', 'risk', 'alert']) AS node,
+    unnest([2, total, total, p, d, 0, p, ok, linked, n, new]::BIGINT[]) AS records, unnest(['ok', 'ok', 'warn', 'ok', 'warn', 'warn', 'ok', 'ok', 'ok', 'warn', 'critical']) AS status FROM c, a)""")
+def q_pipeline_story(spark, sf_dir):
+    alerts = _read(spark, sf_dir, "events").where("event_id < 500").select(F.when(F.col("event_id") % 2 == 0, "NEW").otherwise("RESOLVED").alias("status"), F.lit(70).alias("risk_score"), (F.col("event_id") % 3).alias("events"))
+    return X.pipeline_story(L.processed(raw_logs(spark, sf_dir, mixed=True), CFG), alerts, 2).drop("label")
+
+
 # --- search, facets, series -----------------------------------------------------------------------------------------------------
 
 _KEEP = ["event_id", "source_ip", "host", "username", "event_type"]

