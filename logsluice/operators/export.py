@@ -67,6 +67,7 @@ def explain(events: DataFrame, key: str = "event_id") -> DataFrame:
     """(key, summary): a sentence about each event from its columns alone."""
     c = lambda n: _col(events, n)
     bit = lambda head, n, tail="": F.concat(F.lit(head), c(n), F.lit(tail))
+    # The words of the sentence.
     text = F.concat_ws(
         " ", F.coalesce(F.concat(F.lit("This is a "), F.translate(c("event_type"), "_", " ")), F.lit("This log line was normalized")), bit("from the ", "source", " source"), bit("concerning host ", "host"),
         bit("for account ", "username"), bit("originating from ", "source_ip"), F.concat(F.lit("- action "), c("action"), F.lit(", outcome "), c("status")), bit("(HTTP ", "response_code", ")"),

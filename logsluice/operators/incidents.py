@@ -290,6 +290,7 @@ def recommend(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     act = lambda name, target, p=None, q=None: F.struct(F.lit(name).alias("action"), target.alias("target"), (p if p is not None else F.lit(None)).cast("int").alias("port"), (q if q is not None else none).alias("protocol"))
     who = F.coalesce(user, ip)
+    # The actions and the labels of each category.
     steps = {
         "BRUTE_FORCE": F.array(act("BLOCK_SOURCE", ip, F.coalesce(port, F.lit(22)), protocol), act("MONITOR_SOURCE", ip), act("INCREASE_MONITORING", F.lit("authentication"))),
         "PORT_SCAN": F.array(act("BLOCK_SOURCE", ip, port, protocol), act("INCREASE_MONITORING", F.lit("network")), act("COLLECT_EVIDENCE", ip)),

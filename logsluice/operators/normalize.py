@@ -9,41 +9,42 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CONTROL, IPV4, empty_to_null, hmac_of, hmac_sha256, lookup, parse_timestamp, to_int, valid_ip, valid_port
 
-# Names that fields go by (alias: canonical name).
-ALIASES: dict[str, str] = {
-    alias: name
-    for name, aliases in {
-        "timestamp": "timestamp time ts date datetime @timestamp eventtime event_time logtime timecreated",
-        "host": "host hostname device devname machine server dvc computer source_host computername workstation workstationname",
-        "source": "source log_source sourcetype",
-        "username": "user username user_name account uid userid user_id login usr accountname samaccountname targetusername subjectusername target_user",
-        "email": "email mail email_address user_email emailaddress",
-        "source_ip": "src_ip srcip source_ip sourceip source_address client_ip clientip remote_ip remote_addr remoteip src ip ipaddress sourceaddress c_ip cip sourcenetworkaddress callingstationid",
-        "destination_ip": "dst_ip dstip destination_ip destip dest_ip dest_addr dst server_ip target_ip destinationaddress s_ip",
-        "source_port": "src_port srcport source_port sport spt client_port ipport",
-        "destination_port": "dst_port dstport destination_port dport dpt server_port port",
-        "protocol": "protocol proto ip_proto transport",
-        "event_type": "event event_type eventtype event_name eventname type category activity",
-        "action": "action act operation verb",
-        "status": "status result outcome disposition",
-        "severity": "severity level lvl loglevel priority log_level",
-        "process": "process proc program cmd logger module component",
-        "service": "application app service svc facility",
-        "url": "url uri path request_uri requesturl request cs_uri_stem",
-        "http_method": "http_method method verb_http cs_method request_method",
-        "response_code": "response_code status_code statuscode http_status sc_status resp_code",
-        "message": "message msg text description detail log raw_message body",
-    }.items()
-    for alias in aliases.split()
-}
-SEVERITIES = {
-    alias: level
-    for level, aliases in {
-        "critical": "0 1 2 emerg emergency panic alert crit critical fatal", "high": "3 err error severe high", "medium": "4 warn warning medium",
-        "low": "5 notice low", "info": "6 7 info informational information debug trace verbose fine",
-    }.items()
-    for alias in aliases.split()
+# The names that each canonical field goes by.
+FIELD_NAMES: dict[str, list[str]] = {
+    "timestamp": ["timestamp", "time", "ts", "date", "datetime", "@timestamp", "eventtime", "event_time", "logtime", "timecreated"],
+    "host": ["host", "hostname", "device", "devname", "machine", "server", "dvc", "computer", "source_host", "computername", "workstation", "workstationname"],
+    "source": ["source", "log_source", "sourcetype"],
+    "username": ["user", "username", "user_name", "account", "uid", "userid", "user_id", "login", "usr", "accountname", "samaccountname", "targetusername",
+        "subjectusername", "target_user"],
+    "email": ["email", "mail", "email_address", "user_email", "emailaddress"],
+    "source_ip": ["src_ip", "srcip", "source_ip", "sourceip", "source_address", "client_ip", "clientip", "remote_ip", "remote_addr", "remoteip", "src", "ip",
+        "ipaddress", "sourceaddress", "c_ip", "cip", "sourcenetworkaddress", "callingstationid"],
+    "destination_ip": ["dst_ip", "dstip", "destination_ip", "destip", "dest_ip", "dest_addr", "dst", "server_ip", "target_ip", "destinationaddress", "s_ip"],
+    "source_port": ["src_port", "srcport", "source_port", "sport", "spt", "client_port", "ipport"],
+    "destination_port": ["dst_port", "dstport", "destination_port", "dport", "dpt", "server_port", "port"],
+    "protocol": ["protocol", "proto", "ip_proto", "transport"],
+    "event_type": ["event", "event_type", "eventtype", "event_name", "eventname", "type", "category", "activity"],
+    "action": ["action", "act", "operation", "verb"],
+    "status": ["status", "result", "outcome", "disposition"],
+    "severity": ["severity", "level", "lvl", "loglevel", "priority", "log_level"],
+    "process": ["process", "proc", "program", "cmd", "logger", "module", "component"],
+    "service": ["application", "app", "service", "svc", "facility"],
+    "url": ["url", "uri", "path", "request_uri", "requesturl", "request", "cs_uri_stem"],
+    "http_method": ["http_method", "method", "verb_http", "cs_method", "request_method"],
+    "response_code": ["response_code", "status_code", "statuscode", "http_status", "sc_status", "resp_code"],
+    "message": ["message", "msg", "text", "description", "detail", "log", "raw_message", "body"],
 }
+ALIASES = {alias: name for name, aliases in FIELD_NAMES.items() for alias in aliases}
+# The names that each severity goes by.
+LEVEL_NAMES: dict[str, list[str]] = {
+    "critical": ["0", "1", "2", "emerg", "emergency", "panic", "alert", "crit", "critical", "fatal"],
+    "high": ["3", "err", "error", "severe", "high"],
+    "medium": ["4", "warn", "warning", "medium"],
+    "low": ["5", "notice", "low"],
+    "info": ["6", "7", "info", "informational", "information", "debug", "trace", "verbose", "fine"],
+}
+SEVERITIES = {alias: level for level, aliases in LEVEL_NAMES.items() for alias in aliases}
+# Event types by other names, and what an event type says of action, status and severity.
 EVENT_TYPES = {
     "auth_failure": "authentication_failure", "authfail": "authentication_failure", "login_failed": "authentication_failure",
     "failed_login": "authentication_failure", "auth_success": "authentication_success", "login_success": "authentication_success",
