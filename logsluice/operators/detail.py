@@ -46,10 +46,15 @@ def verdicts_of(members: DataFrame, events: DataFrame, security: DataFrame) -> D
 
 
 def busiest_target(members: DataFrame, events: DataFrame) -> DataFrame:
-    """Per hit, the destination port that its events name most (the smaller on ties)."""
-    ports = members.join(events.select("event_id", "destination_port"), "event_id").where("destination_port IS NOT NULL")
-    n = ports.groupBy("kind", "entity", "destination_port").agg(F.count("*").alias("n"))
-    return n.groupBy("kind", "entity").agg(F.max(F.struct("n", (-F.col("destination_port")).alias("p"))).alias("best")).select("kind", "entity", (-F.col("best.p")).alias("port"))
+    """Per hit, the destination port and the protocol that its events name most (the smaller on ties), each counted by itself."""
+    known = [c for c in ("destination_port", "protocol") if c in events.columns]
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in known])).alias("x")
+    rows = members.join(events.select("event_id", *known), "event_id").select("kind", "entity", named).where("x.value IS NOT NULL")
+    n = rows.groupBy("kind", "entity", "x.field", "x.value").agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("n"), F.when(F.col("field") == "destination_port", F.col("value").cast("long")).alias("port"), "value")
+    best = n.groupBy("kind", "entity", "field").agg(F.min(order).alias("best"))
+    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("best.value")))
+    return best.groupBy("kind", "entity").agg(pick("destination_port").cast("int").alias("port"), pick("protocol").alias("protocol"))
 
 
 def listed(rows: DataFrame, order: str, limit: int = 200, descending: bool = True, **equal) -> DataFrame:

@@ -101,3 +101,10 @@ def timeseries(events: DataFrame, unit: str = "hour") -> DataFrame:
 
 def distinct_values(events: DataFrame, name: str, top: int = 200) -> DataFrame:
     return events.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct().orderBy("value").limit(top)
+
+
+def streamed(events: DataFrame, what: str = "all") -> DataFrame:
+    """The events that a live view shows: all, those of high or critical severity ("severe"), or those about authentication ("auth")."""
+    if what == "severe":
+        return events.where(F.col("severity").isin("high", "critical"))
+    return events.where(F.col("event_type").contains("auth")) if what == "auth" else events

@@ -825,12 +825,21 @@ def q_alerts_of_event(spark, sf_dir):
     return B.alerts_of(members, events).select("event_id", F.array_join("rules", ",").alias("rules"))
 
 
-@query(f"""{WITH_EVENTS}, p AS (SELECT source_ip AS entity, destination_port, count(*) AS n FROM log_events WHERE destination_port IS NOT NULL GROUP BY ALL)
-SELECT entity, destination_port AS port FROM p QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, destination_port) = 1""")
+@query(f"""{WITH_EVENTS}, e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'udp' WHEN event_id % 7 > 0 THEN 'tcp' END AS protocol FROM log_events),
+p AS (SELECT source_ip AS entity, destination_port, count(*) AS n FROM e WHERE destination_port IS NOT NULL GROUP BY ALL), q AS (SELECT source_ip AS entity, protocol, count(*) AS n FROM e WHERE protocol IS NOT NULL GROUP BY ALL),
+p1 AS (SELECT entity, destination_port AS port FROM p QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, destination_port) = 1), q1 AS (SELECT entity, protocol FROM q QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, protocol) = 1)
+SELECT coalesce(p1.entity, q1.entity) AS entity, port, protocol FROM p1 FULL JOIN q1 ON p1.entity = q1.entity""")
 def q_busiest_target(spark, sf_dir):
-    events = log_events(spark, sf_dir)
+    events = log_events(spark, sf_dir).withColumn("protocol", F.when(F.col("event_id") % 3 == 0, "udp").when(F.col("event_id") % 7 > 0, "tcp"))
     members = events.select(F.lit("source_ip").alias("kind"), F.col("source_ip").alias("entity"), "event_id")
-    return B.busiest_target(members, events).select("entity", "port")
+    return B.busiest_target(members, events).select("entity", "port", "protocol")
+
+
+@query(f"{WITH_EVENTS} SELECT event_id, 'severe' AS view FROM log_events WHERE severity IN ('high', 'critical') UNION ALL SELECT event_id, 'auth' FROM log_events WHERE event_type LIKE '%auth%'")
+def q_streamed(spark, sf_dir):
+    events = log_events(spark, sf_dir)
+    shown = lambda v: Q.streamed(events, v).select("event_id", F.lit(v).alias("view"))
+    return shown("severe").unionByName(shown("auth"))
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id, user_id LIMIT 100")
