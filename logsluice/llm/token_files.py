@@ -39,7 +39,7 @@ END_ID = 2
 BLOCK = 1 << 16
 FILE_IDS = 1 << 25
 TASK_BYTES = 6 << 20
-CACHE = 500_000
+CACHE = 800_000
 SLICE = 4 << 20
 _MAGIC = b"TOKPLN01"
 #: Letters, then ASCII punctuation but apostrophes: two words for the tokenizer.
