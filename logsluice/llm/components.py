@@ -15,22 +15,29 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("w", F.bitwise_not("u")).join(least, "w").select("u", "v", "m")
 
 
+def _signature(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: (u, v) longs. (node, component) for every node that is not the least of its component.
 
-    Each round attaches neighbours to the least node around; after O(log^2 n) rounds only stars are left. The
+    Each round attaches neighbours to the least node around; after O(log^2 n) rounds only stars are left, which a round does not change. The
     edges of a round are stored, so a round depends on nothing but its file."""
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    seen = None
+    seen = _signature(e)
     for _ in range(rounds):
+        if not seen[0]:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _with_least(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         old, e = e, materialize(small.distinct(), "cc-edges")
         release(old)
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
-    raise RuntimeError(f"no stars after {rounds} rounds")
+        before, seen = seen, _signature(e)
+        if seen == before:
+            break
+    else:
+        raise RuntimeError(f"no stars after {rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

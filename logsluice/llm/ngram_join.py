@@ -51,7 +51,7 @@ MIN_HASHES, FIRST, ORDERED = 8, 6, 512
 #: Classes before it that a class is compared with in a round.
 NEIGHBOURS = 6
 #: Contraction rounds at most. What they leave, step 4 finds.
-ROUNDS = 4
+ROUNDS = 3
 WORDS_OF_BITS = 8  # 64-bit words of a set's parity bitmap
 
 _U = np.uint64

@@ -419,3 +419,21 @@ def test_passages_of_repeated_rows_count_once(spark):
     got = substring_dedup.substring_dedup(spark.createDataFrame([(1, one), (2, two), (2, two), (2, two)], schema)).collect()
     assert len(got) == 4 and all(r == plain[r["doc_id"]] for r in got)
     assert plain[2]["n_passages"] == 1 and plain[2]["removed_chars"] > 0 == plain[1]["removed_chars"]
+
+
+def test_components_against_union_find(spark):
+    from logsluice.llm import components
+
+    rng = random.Random(40)
+    for n, m in ((1, 0), (2, 1), (60, 45), (200, 190), (40, 39)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if (n, m) != (40, 39) else [(i, i + 1) for i in range(39)]  # the last is a path
+        least = list(range(n))
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                if least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+        got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == [(i, c) for i, c in enumerate(least) if i != c]
