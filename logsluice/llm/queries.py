@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pii, substring_dedup, token_files, topk, toxicity, warc
+from . import clustering, exact_dedup, lattice, mixing, neighbours, ngram_join, pii, substring_dedup, token_files, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -93,6 +93,43 @@ def op10_lattice_pieces(spark, sf_dir):
     return lattice.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op11_annulus_clusters(spark, sf_dir):
+    return clustering.clustered(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    """Rounds one after the other: a distance of every vector to every centroid, the least of them, the floor of the means."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT v.r, min({{'d': CAST({apart} AS BIGINT), 'j': c.j}}) AS m FROM v, c{i} c GROUP BY v.r)")
+        if i < rounds:
+            steps.append(
+                f"m{i} AS (SELECT j, list(CAST(f AS BIGINT) ORDER BY i) AS c FROM (SELECT a{i}.m.j AS j, g.i AS i, (sum(v.x[g.i]) - ((sum(v.x[g.i]) % count(*)) + count(*)) % count(*)) // count(*) AS f "
+                f"FROM a{i} JOIN v USING (r), range(1, 65) g(i) GROUP BY 1, 2) GROUP BY j)"
+            )
+            steps.append(f"c{i + 1} AS (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m USING (j))")
+    return f"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS j, x AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 16)
+), {", ".join(steps)}
+SELECT v.vec_id, a.m.j AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.j = a.m.j
+"""
+
+
+def op12_cross_polytope(spark, sf_dir):
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries():
     return {
         "op1_warc": op1_warc,
@@ -105,8 +142,11 @@ def queries():
         "op8_mix_sources": op8_mix_sources,
         "op9_token_files": op9_token_files,
         "op10_lattice_pieces": op10_lattice_pieces,
+        "op11_annulus_clusters": op11_annulus_clusters,
+        "op12_cross_polytope": op12_cross_polytope,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op11_annulus_clusters": _op11_sql()}
