@@ -6,30 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
+
 EXTENSIONS = ("log", "txt", "syslog", "json", "jsonl", "ndjson", "csv")
-#: Bytes of a JSON document that is read whole; files that are read by lines may be of any size.
-MOST_BYTES = 50 << 20
 #: Characters of a line that are kept.
 MOST_CHARS = 65_536
 #: Where lines end besides CR and LF: at vertical tab, form feed, the separators FS to RS, NEL and the Unicode line and paragraph separators.
 RARE_ENDS = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def _known(path: str = "path") -> Column:
+def known(path: str = "path") -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin(*EXTENSIONS)
 
 
-def accepted(files: DataFrame) -> DataFrame:
-    """Files (path, length) with a known extension that are neither empty nor too large to be read whole."""
-    return files.where(_known() & F.col("length").between(1, MOST_BYTES))
-
-
-def rejected(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """Files that the readers leave out: file, bytes, reason. whole: as read_json reads them."""
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Files that the readers leave out: file, bytes, reason."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
-    reason = F.when(~_known("file"), "unknown extension").when(F.col("bytes") == 0, "empty")
-    reason = reason.when(F.col("bytes") > MOST_BYTES, "too large") if whole else reason
+    reason = F.when(~known("file"), "unknown extension").when(F.col("bytes") == 0, "empty")
     return files.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
@@ -37,7 +30,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     """Files and what they are: file, bytes, category (the folder that holds it), extension, accepted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     parts = F.split("path", "/")
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.element_at(parts, -2).alias("category"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("extension"), (_known() & (F.col("length") > 0)).alias("accepted"))
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.element_at(parts, -2).alias("category"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("extension"), (known() & (F.col("length") > 0)).alias("accepted"))
 
 
 def decoded(c: str = "content"):
@@ -48,10 +41,12 @@ def decoded(c: str = "content"):
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files line by line, numbered within each file; lines are cut at MOST_CHARS. Spark splits large files, so no task holds one: lines are
-    numbered by their place in a split and the number of lines in the splits before it. A file is Latin-1 if any of its bytes are no UTF-8."""
+    stored as they are read, once, and numbered by their place in a split and the number of lines in the splits before it. A file is Latin-1 if any of
+    its bytes are no UTF-8."""
     found = spark.read.text(path)
     meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
-    rows = found.select("value", *meta, F.monotonically_increasing_id().alias("at")).where(_known("file_path"))
+    rows = found.select(F.col("value").cast("binary").alias("value"), *meta, F.monotonically_increasing_id().alias("at")).where(known("file_path"))
+    rows = stored(rows, "text-lines").withColumn("value", F.col("value").cast("string"))
     more = F.size(F.split("value", RARE_ENDS)) - 1
     splits = rows.groupBy("file_path", "file_block_start").agg(
         F.count("*").alias("n"), F.min("at").alias("first_at"), F.sum(more).alias("more"), F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"))
@@ -69,21 +64,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("file_path").alias("file"), F.col("line_number").cast("long").alias("line_number"), F.left("value", F.lit(MOST_CHARS)).alias("content"), (F.trim("value") == "").alias("is_blank"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files: the elements of an array, or of the list under events, records, logs or data, or the whole object; other files by line. A document is one
-    row while it is cut and MOST_BYTES at most (rejected lists larger ones); records are not cut. Files of one record per line can be of any
-    size with read_lines."""
-    files = accepted(spark.read.format("binaryFile").load(path)).select(F.col("path").alias("file"), decoded().alias("text"))
-    array = F.from_json("text", "array<string>")
-    lists = F.coalesce(*[F.from_json(F.get_json_object("text", f"$.{k}"), "array<string>") for k in ("events", "records", "logs", "data")])
-    single = ~F.col("text").rlike(r"\}\s*[\r\n]\s*\{")  # objects below each other without a comma are one record per line
-    whole = F.when(single & F.try_parse_json("text").isNotNull(), F.array(F.trim("text")))
-    by_line = F.filter(F.split("text", LINE_ENDS), lambda x: x != "")
-    items = F.when(F.trim("text").startswith("["), F.coalesce(array, by_line)).otherwise(F.coalesce(F.when(single, lists), whole, by_line))
-    rows = files.select("file", F.posexplode(items).alias("n", "content"))
-    return rows.select("file", (F.col("n") + 1).cast("long").alias("line_number"), "content", (F.trim("content") == "").alias("is_blank"))
-
-
 def logfmt(df: DataFrame) -> DataFrame:
     """Each row as key=value text: trimmed, empty cells left out, quoted where a value holds a space or an equals sign."""
     cell = lambda c: F.trim(F.col(f"`{c}`").cast("string"))

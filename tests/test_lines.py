@@ -8,7 +8,7 @@ from logsluice.operators import packs as K
 from logsluice.operators import parsers as P
 from logsluice.operators import pipeline as L
 from logsluice.operators import shield as S
-from logsluice.sources import files
+from logsluice.sources import files, json_index
 
 LINES = {
     "sshd": "Mar  4 06:07:08 app-03 sshd[811]: Failed password for kim from 192.0.2.50 port 40001 ssh2",
@@ -100,7 +100,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "j/x.json").write_text('{"events": [{"a": 1}, {"a": 2}]}')
     (tmp_path / "j/y.json").write_text('[{"b": 1}]')
     (tmp_path / "j/z.ndjson").write_text('{"c": 1}\n{"c": 2}\n')
-    assert sorted(r["content"] for r in files.read_json(spark, str(tmp_path / "j")).collect()) == ['{"a":1}', '{"a":2}', '{"b":1}', '{"c": 1}', '{"c": 2}']
+    assert sorted(r["content"] for r in json_index.read_json(spark, str(tmp_path / "j")).collect()) == ['{"a":1}', '{"a":2}', '{"b":1}', '{"c": 1}', '{"c": 2}']
     (tmp_path / "t.csv").write_text("a, b\n1, x y\n2,\n")
     assert sorted(r["content"] for r in files.read_csv(spark, str(tmp_path / "t.csv")).collect()) == ['a=1 b="x y"', "a=2"]
     with pytest.raises(ValueError, match="NOT_CONFIGURED"):
