@@ -65,7 +65,11 @@ def anchor_masks(tok: DataFrame) -> DataFrame:
 def matched(df: DataFrame, line: str = "content", key: str = "event_id", source: str = "source") -> DataFrame:
     """Lines with n_tokens, literals (null at variables), variables, their kinds, separators and trailing, and shape: a 64-bit digest of the literals.
     Stored, as masks and templates are taken from the same lines."""
-    tok = stored(tokenised(df.select(F.col(key).alias("id"), F.col(line).alias("line"), F.col(source).alias("source")), "line"), "template-lines")
+    return masked(stored(tokenised(df.select(F.col(key).alias("id"), F.col(line).alias("line"), F.col(source).alias("source")), "line"), "template-lines"))
+
+
+def masked(tok: DataFrame) -> DataFrame:
+    """Tokenised lines (id, line, source and what tokenised adds) split at the literals that these lines have in common."""
     out = tok.join(anchor_masks(tok), "n_tokens")
     literals = F.zip_with("tokens", "mask", lambda t, m: F.when(m, t))
     variables = F.transform(F.filter(F.arrays_zip("tokens", "mask"), lambda x: ~x["mask"]), lambda x: x["tokens"])
