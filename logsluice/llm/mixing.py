@@ -17,7 +17,7 @@ an empty result. Reruns agree whatever the partitioning, as the order is total u
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,16 +113,31 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies. Rows that share an id are told apart
-    by nothing but their place, so they take the ids' copies together: each row of the id gets the
-    largest number of any of them."""
-    copies = (
-        mix(docs, key, **settings)
-        .where("copies > 0")
-        .groupBy("doc_id")
-        .agg(F.max("copies").alias("__copies"))
-        .withColumnRenamed("doc_id", "__id")
-    )
-    found = docs.join(copies, F.col(key).eqNullSafe(F.col("__id")))
-    return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies. Rows that share id, source and size stand next to each other in the mix's order; their copies
+    are dealt out evenly, and where these do not divide, the first rows by place in a stored table get one more."""
+    size = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
+    taken = mix(docs, key, text, source, **settings).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    taken = materialize(taken.where("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("n").alias("__n"), F.col("copies").alias("__c")), "mix-taken")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__i")) & F.col(f"`{source}`").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
+    columns = [f"`{c}`" for c in docs.columns]
+    copies = F.floor(F.col("__c") / F.col("__n")).cast("int")
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("__t", times.cast("int")).where("__t > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__t")))).select(*columns)
+
+    uneven = taken.where("__c % __n <> 0")
+    out = repeated(docs.join(taken.where("__c % __n = 0"), same), copies)
+    if uneven.isEmpty():
+        return out
+    rows = materialize(docs.join(uneven, same).withColumn("__u", F.monotonically_increasing_id()), "mix-uneven")
+    by = ["__i", "__s", "__z"]
+    placed = rows.select(*by, "__u", "__n", "__c").repartitionByRange(pieces(rows, 64 << 20), *by, "__u").sortWithinPartitions(*by, "__u")
+    placed = materialize(placed.withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__at", 33)), "mix-places")
+    runs = placed.groupBy(*by, "__p").agg(F.min("__at").alias("__first"), F.count("*").alias("__m"))
+    before = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0))).alias("r")
+    p = placed.alias("p")
+    nth = p.join(runs, F.expr("p.__i <=> r.__i AND p.__s <=> r.__s AND p.__z = r.__z AND p.__p = r.__p"))
+    nth = nth.select(F.col("p.__u"), (F.col("r.__before") + F.col("p.__at") - F.col("r.__first")).alias("__nth"))
+    return out.unionByName(repeated(rows.join(nth, "__u"), copies + (F.col("__nth") < F.col("__c") % F.col("__n")).cast("int")))

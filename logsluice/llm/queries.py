@@ -60,15 +60,14 @@ def op3_top_k(spark, sf_dir):
 
 OP3_SQL = """
 WITH v AS (
-    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(max(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0 AND len(q.e) = len(c.e) GROUP BY q.vec_id, c.vec_id
+    SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r AND q.vec_id % 100 = 0 AND len(q.e) = len(c.e)
 ), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS INTEGER) AS rank, vec_id, score
     FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10

@@ -71,21 +71,27 @@ def test_gate_loses_nothing(monkeypatch):
 
 
 def test_block_top_k():
+    """One block and several, with thresholds that they share: every row counts, ids repeat, scores tie."""
     rng = np.random.default_rng(1)
-    for trial in range(40):
+    for trial in range(80):
         d, n, m = (int(rng.integers(1, x)) for x in (70, 300, 12))
         big = 10 ** int(rng.integers(0, 10))
-        c, q = rng.integers(-big, big + 1, (d, n)).astype(float), rng.integers(-big, big + 1, (d, m)).astype(float)
-        ids, names = rng.choice(500, n).astype(np.int64), rng.permutation(500)[:m].astype(np.int64)
-        want = []
-        for j in range(m):
-            best = {}
-            for i in range(n):
-                if ids[i] != names[j]:
-                    s = sum(int(x) * int(y) for x, y in zip(q[:, j], c[:, i], strict=True))
-                    best[int(ids[i])] = max(s, best.get(int(ids[i]), s))
-            want += [(int(names[j]), i, s) for i, s in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:10]]
-        assert sorted(zip(*topk.block_top_k(names, q, ids, c, 10, {}), strict=True)) == sorted(want), trial
+        c = rng.integers(-big, big + 1, (d, n)).astype(float)
+        if trial % 3 == 0:
+            c[:, n // 2 :] = c[:, : n - n // 2]  # equal vectors
+        ids, rows, asked = rng.integers(0, 200, n).astype(np.int64), np.arange(n), rng.integers(0, n, m)
+        asked = np.unique(asked)
+        want, got = [], []
+        for j in asked.tolist():
+            scores = sorted((-sum(int(x) * int(y) for x, y in zip(c[:, j], c[:, i], strict=True)), int(ids[i])) for i in range(n) if i != j)
+            want += [(j, i, -s) for s, i in scores[:10]]
+        known: dict = {}
+        for part in np.array_split(rows, 1 + trial % 4):
+            got += zip(*topk.block_top_k(asked, c[:, asked], part, ids[part], c[:, part], 10, known), strict=True)
+        best: dict = {}
+        for j, _, i, s in got:
+            best.setdefault(j, []).append((-s, i))
+        assert sorted((j, i, -s) for j, found in best.items() for s, i in sorted(found)[:10]) == sorted(want), trial
 
 
 def test_components_of_near_copies(spark):
@@ -409,6 +415,34 @@ def test_mix_against_plain_systematic_sampling(spark):
     assert shown(map(tuple, again)) == shown(map(tuple, got))
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_mixed_rows_come_near_the_targets(spark, shared):
+    """Rows that share an id, or have none, are counted each by itself."""
+    if shared:
+        rng = random.Random(8)
+        rows = [(rng.choice([None, *range(40)]), rng.choice(["a", "b", "b", None]), rng.choice([1, 9, 30, 31])) for _ in range(700)] + [(None, "b", 5)] * 301
+    else:
+        rows = [(1, "a", 100), (1, "b", 100), (2, "a", 50), (3, "b", 50), (None, "a", 50), (None, "b", 9)]
+    docs = spark.createDataFrame([(d, " ".join(["w"] * n), s, n, i) for i, (d, s, n) in enumerate(rows)], "doc_id long, text string, source string, n_words long, copies int")
+    plan = mixing.mix(docs).collect()
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    words, want, times = {}, {}, {}
+    for r in plan:
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    for r in got:
+        words[r["source"]] = words.get(r["source"], 0) + r["n_words"]
+        times[r["copies"]] = times.get(r["copies"], 0) + 1
+    assert words == {s: n for s, n in want.items() if n}
+    assert max(times.values()) <= 2
+    groups: dict = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(row, []).append(times.get(i, 0))
+    assert all(max(g) - min(g) <= 1 for g in groups.values())
+    assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, got))
+
+
 def test_passages_of_repeated_rows_count_once(spark):
     rng = random.Random(17)
     text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))

@@ -116,8 +116,10 @@ def test_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, None]), (3, None), (4, [nan, 1.0]), (5, []), (6, [0.5, 0.5]), (7, [1.0]), (None, [9.0, 9.0]), (100, [-1.0, 0.0])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")).orderBy("query_id", "rank").collect()]
-    s = 1024 * 512 + 512 * 512
-    assert got == [(0, 1, 1, s), (0, 2, 6, s), (0, 3, 100, -(1024**2)), (100, 1, 1, -1024 * 512), (100, 2, 6, -1024 * 512), (100, 3, 0, -(1024**2))]
+    s = 1024 * 512 + 512 * 512  # both rows of id 1 are candidates
+    assert got == [(0, 1, 1, s), (0, 2, 1, s), (0, 3, 6, s), (0, 4, 100, -(1024**2)), (100, 1, 1, -1024 * 512), (100, 2, 1, -1024 * 512), (100, 3, 6, -1024 * 512), (100, 4, 0, -(1024**2))]
+    twice = [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (0, [2.0])], "vec_id long, embedding array<float>")).collect()]
+    assert sorted(twice) == sorted([(0, 1, 0, 2 * 1024**2), (0, 2, 0, 1024**2)] * 2 + [(0, 1, 0, 2 * 1024**2), (0, 2, 0, 2 * 1024**2)])
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
