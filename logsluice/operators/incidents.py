@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.store import cut
+from ..functions.store import cut, stored
 from . import detect
 from .detect import DENIED, FAILED, PASSED
 
@@ -31,12 +31,26 @@ def band_of(score: Column) -> Column:
     return out.otherwise("info")
 
 
+#: Entities up to which events are matched to them by a broadcast.
+MOST_NAMED = 100_000
+
+
+def _of_named(rows: DataFrame, spots: DataFrame, own: list[str]) -> DataFrame:
+    """rows (kind, entity, ...) of entities that spots have, once per window of the entity. Entities are few beside events; where they are not, both sides are dealt out
+    by a salt too, so that a frequent entity spreads."""
+    named = stored(spots.select("kind", "entity", *own).distinct(), "named")
+    if named.count() <= MOST_NAMED:
+        return rows.join(F.broadcast(named), ["kind", "entity"])
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(16)).cast("int")).join(named, ["kind", "entity", "salt"]).drop("salt")
+
+
 def around(entities: DataFrame, events: DataFrame, window: int | str, keep: list[str]) -> DataFrame:
     """Events (their columns `keep` and t, in microseconds) within `window` seconds of each entity's center: one number for all, or the column
     of entities with each one's own (of few distinct values, such as the rules' windows). With kind, entity, center and such a window.
 
-    The range join is an equi-join on entity and stretch of time (its own and both neighbours), so frequent entities spread. Stretches are as
-    long as the window, so events are dealt out once per distinct window. An address matches source or destination."""
+    Only events of the entities are dealt out, by an equi-join on entity and stretch of time (its own and both neighbours), so that frequent entities
+    spread. Stretches are as long as the entity's window. An address matches source or destination."""
     own = [window] if isinstance(window, str) else []
     width = (F.col(window) if own else F.lit(window)).cast("long") * 1_000_000
     t = F.unix_micros(F.col("timestamp").cast("timestamp"))
@@ -47,8 +61,9 @@ def around(entities: DataFrame, events: DataFrame, window: int | str, keep: list
     c = F.unix_micros(F.col("center").cast("timestamp"))
     spots = entities.where("center IS NOT NULL").select("kind", "entity", "center", *own, c.alias("c")).distinct()
     if own:
-        rows = rows.crossJoin(F.broadcast(spots.where(F.col(window).isNotNull()).select(window).distinct()))
-    rows = rows.withColumn("b", F.floor(F.col("t") / width))
+        spots = spots.where(F.col(window).isNotNull())
+    spots = stored(spots, "spots")
+    rows = _of_named(rows, spots, own).withColumn("b", F.floor(F.col("t") / width))
     at = F.floor(F.col("c") / width)
     spots = spots.withColumn("b", F.explode(F.sequence(at - 1, at + 1)))
     return spots.join(rows, ["kind", "entity", *own, "b"]).where(F.abs(F.col("t") - F.col("c")) <= width)

@@ -128,3 +128,86 @@ def test_a_run_lost_between_templates_and_matches(spark, tmp_path, monkeypatch):
             store.run(df, 1)
     assert store.run(df, 1)
     assert [(r["template_key"], r["occurrences"]) for r in store.templates.read().collect()] == [("TPL-0001", 20)] and store.matches.read().count() == 20
+
+
+def _events(spark, n, rng):
+    rows = []
+    for i in range(n):
+        rows.append((i, None if i % 97 == 0 else rng.randrange(0, 4000), rng.choice(["10.0.0.1", "10.0.0.1", "10.0.0.2", "10.9.0.3", None]), f"host-{i % 5}", f"user{i % 211}" if i % 13 else None, rng.choice(["Disk İs full", "ΣΑΣ ok", "login % _ failed", None, "x"]), rng.randrange(100)))
+    base = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    df = spark.createDataFrame(rows, "event_id long, s long, source_ip string, host string, username string, message string, source_port int")
+    return df.withColumn("timestamp", F.timestamp_micros(F.unix_micros(base) + F.col("s") * 1_000_000)).drop("s").withColumn("source", F.lit("a")), rows
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    from logsluice.operators import query as Q
+    from logsluice.operators import text_index as X
+
+    events, _ = _events(spark, 3000, random.Random(4))
+    rare = events.withColumn("message", F.when(F.col("event_id").isin(17, 2900), "a needle here").otherwise(F.col("message")))
+    monkeypatch.setattr(X, "BLOCK_ROWS", 32)
+    path = f"file://{tmp_path}/index"
+    X.write(rare, path, 6)
+    for text in ("NEEDLE", "needle h", "user77", "0.0.2", "% _", "is full", "σας", "st-3", "x", "ab", "not there at all", "zzz", "a needle herehost"):
+        for q in (Q.EventQuery(text=text), Q.EventQuery(text=text, equal={"host": "host-2"}, since="2026-01-01 00:10:00")):
+            want = sorted(r["event_id"] for r in Q.search(rare, q).collect())
+            assert sorted(r["event_id"] for r in X.search(spark, path, q).collect()) == want, (text, q)
+    few, every = X.scanned(spark, path, Q.EventQuery(text="needle"))
+    print("rows scanned", few, "of", every)
+    assert every == 3000 and few <= 2 * 32 and Q.search(rare, Q.EventQuery(text="needle")).count() == 2
+    monkeypatch.setattr(X, "MOST_SHELVES", 0)
+    assert X.search(spark, path, Q.EventQuery(text="needle")).count() == 2
+
+
+def test_sketches_against_a_direct_pass(spark):
+    from logsluice.operators import rollups as R
+
+    rng = random.Random(5)
+    events, rows = _events(spark, 4000, rng)
+    minutes = R.sketched(events, ["host", "source"], ["username"], ["source_port"])
+    hours = R.merged(minutes, ["source"], "hour")
+    direct = R.sketched(events, ["source"], ["username"], ["source_port"], "hour")
+    shown = lambda df: sorted((str(r["bucket"]), r["n"], r["c_source_port"], r["u"], r["p"]) for r in df.withColumn("u", F.hll_sketch_estimate("d_username")).withColumn("p", R.percentile("source_port", 0.5)).collect())
+    for (b, n, c, u, p), (b2, n2, c2, u2, _) in zip(shown(hours), shown(direct), strict=True):
+        mine = [r for r in rows if r[1] is not None and str(r[1] // 3600) == b[11:13].lstrip("0") + ("0" if b[11:13] == "00" else "")]
+        assert (b, n, c, u) == (b2, n2, c2, u2) and n == len(mine)
+        ports = sorted(r[6] for r in mine)
+        assert abs(u - len({r[4] for r in mine if r[4]})) <= 4 * 1.04 / 64 * u + 1
+        low, high = sum(x < p for x in ports) / n, sum(x <= p for x in ports) / n
+        assert low - 2 * R.ERROR <= 0.5 <= high + 2 * R.ERROR
+    total = R.merged(minutes, [], None).withColumn("p", R.percentile("source_port", 0.95)).first()
+    assert total["n"] == sum(r[1] is not None for r in rows) and 90 <= total["p"] <= 98
+    none = R.merged(R.sketched(events.where("false"), ["source"], ["username"], ["source_port"]), ["source"], "hour")
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 3, 25])
+def test_nearest_events_against_all_pairs(spark, top):
+    from logsluice.operators import detail as B
+
+    events, rows = _events(spark, 700, random.Random(top))
+    crowded = events.withColumn("timestamp", F.when(F.col("event_id") % 3 == 0, F.lit("2026-01-01 00:20:00").cast("timestamp")).otherwise(F.col("timestamp")))
+    asked = crowded.where("event_id % 5 < 2")
+    at = {r["event_id"]: (r["source_ip"], r["t"]) for r in crowded.select("event_id", "source_ip", F.unix_micros("timestamp").alias("t")).collect()}
+    want = []
+    for i in (i for i in at if i % 5 < 2):
+        ip, t = at[i]
+        if ip is not None and t is not None:
+            near = sorted((abs(u - t), j) for j, (jp, u) in at.items() if jp == ip and u is not None and j != i and abs(u - t) <= 300_000_000)
+            want += [(i, j, gap, n) for n, (gap, j) in enumerate(near[:top], 1)]
+    got = sorted(tuple(r) for r in B.related(crowded, asked, 300, top).select("of", "event_id", "gap", "nth").collect())
+    assert got == sorted(want) and got
+
+
+def test_correlation_takes_events_of_named_entities(spark, monkeypatch):
+    from logsluice.operators import incidents as I
+
+    events, rows = _events(spark, 400, random.Random(3))
+    spots = spark.createDataFrame([("source_ip", "10.0.0.1", 1000, 60), ("username", "user7", 2000, 900), ("host", "host-3", 1500, 60), ("host", "nowhere", 10, 60)], "kind string, entity string, s long, w int")
+    spots = spots.withColumn("center", F.timestamp_micros(F.unix_micros(F.lit("2026-01-01 00:00:00").cast("timestamp")) + F.col("s") * 1_000_000)).drop("s")
+    name = {"source_ip": 2, "username": 4, "host": 3}
+    want = sorted((k, e, r[0]) for k, e, c, w in (("source_ip", "10.0.0.1", 1000, 60), ("username", "user7", 2000, 900), ("host", "host-3", 1500, 60)) for r in rows if r[1] is not None and r[name[k]] == e and abs(r[1] - c) <= w)
+    for most in (100, 0):
+        monkeypatch.setattr(I, "MOST_NAMED", most)
+        got = sorted((r["kind"], r["entity"], r["event_id"]) for r in I.around(spots, events, "w", ["event_id"]).collect())
+        assert got == want and got
