@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .times import liberal
+
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV6 = (
     r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4})"
@@ -93,8 +95,8 @@ def hmac_of(key: str, message: str) -> str:
 
 
 def parse_timestamp(c: Column, reference: str) -> Column:
-    """A timestamp from the accepted spellings: epoch seconds or milliseconds, ISO 8601, BSD syslog (no year: the year of
-    `reference`, or the year before where that lies more than two days after it), access log, HAProxy and PostgreSQL."""
+    """A timestamp from the usual spellings: epoch seconds or milliseconds, ISO 8601, BSD syslog (no year: the year of
+    `reference`, or the year before where that lies more than two days after it), access log and HAProxy; other texts are read by times.liberal."""
     s = F.regexp_replace(F.trim(c), r"\s+", " ")
     now = F.lit(reference).cast("timestamp")
     year = F.year(now).cast("string")
@@ -106,4 +108,4 @@ def parse_timestamp(c: Column, reference: str) -> Column:
     bsd = F.when(bsd > now + F.expr("INTERVAL 2 DAYS"), F.add_months(bsd, -12).cast("timestamp") + (bsd - F.date_trunc("DAY", bsd))).otherwise(bsd)
     access = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8} [+-][0-9]{4}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss xx")))
     haproxy = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8}\.[0-9]{3}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss.SSS")))
-    return F.coalesce(epoch, milli, iso, bsd, access, haproxy)
+    return F.coalesce(epoch, milli, iso, bsd, access, haproxy, liberal(c, reference))
