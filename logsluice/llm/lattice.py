@@ -32,10 +32,10 @@ from .common import small_batches
 
 SPACE = "▁"
 #: Nodes of the tree before it is started anew, characters of text drawn at once, and ids sent on at once.
-NODES = 400_000
+NODES = 150_000
 #: Characters of a part from which its weights are kept as logarithms.
 LONG = 40
-SLICE = 1 << 20
+SLICE = 1 << 18
 OUT_IDS = 1 << 18
 
 _segmenters: dict[tuple, Segmenter] = {}
@@ -286,6 +286,7 @@ def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0
                     rows, ids_of, size = [], [], 0
             if rows:
                 yield out(batch.column(0).slice(at, len(rows)), rows, ids_of)
+            pa.default_memory_pool().release_unused()  # workers live on between stages
 
     def out(ids, rows, ids_of) -> pa.RecordBatch:
         cols = zip(*rows, strict=True)
