@@ -170,3 +170,31 @@ def q_evidence(spark, sf_dir):
     text = lambda c: F.array_join(c, ",").alias(c)
     nearest = F.array_join(F.transform("nearest", lambda x: x["event_id"].cast("string")), ",").alias("nearest")
     return B.evidence(alerts, events, security, 3600).select("dedup_key", "events", nearest, F.element_at("nearest", -1)["gap"].alias("farthest"), "port", "protocol", text("usernames"), text("hosts"), text("verdicts"))
+
+
+# --- what stages said -----------------------------------------------------------------------------------------------------------------
+
+#: Some lines of the other kinds with a fault for each stage: an address and a port that are none, a number that is none.
+_FAULTS = [("event_id % 24 = 2", "srcip=", "srcip=999."), ("event_id % 24 = 14", "dstport=22", "dstport=ssh"), ("event_id % 24 = 3", '"n":', '"statuscode":"x","n":')]
+
+
+@query(f"""{catalog._MIXED_SQL}, w AS (SELECT event_id, kind, disposition, source_ip FROM x WHERE disposition NOT IN ('DUPLICATE') AND kind <> 8)
+SELECT event_id, 'security_shield' AS stage, 'error' AS status, 'WEAPONIZED_LOG: log4shell, template_injection' AS message FROM w WHERE kind = 9
+UNION ALL SELECT event_id, 'format_detection', 'warn', 'low-confidence format detection' FROM w WHERE kind IN (10, 11)
+UNION ALL SELECT event_id, 'parsing', 'warn', 'no structured parser matched; raw fallback used' FROM w WHERE kind IN (10, 11)
+UNION ALL SELECT event_id, 'cleaning', 'warn', 'source_ip: ''999.' || source_ip || ''' is not a valid IP address' FROM w WHERE event_id % 24 = 2
+UNION ALL SELECT event_id, 'cleaning', 'warn', 'destination_port: ''ssh'' is not a valid port' FROM w WHERE event_id % 24 = 14
+UNION ALL SELECT event_id, 'normalization', 'warn', 'response_code: ''x'' is not an integer, dropped' FROM w WHERE event_id % 24 = 3
+UNION ALL SELECT event_id, 'validation', 'error', 'schema validation failed: response_code: 999 is above 599' FROM w WHERE kind = 1 AND event_id % 5 = 0""")
+def q_stage_errors(spark, sf_dir):
+    """What each stage said about lines that fail in it."""
+    from ..operators import pipeline as L
+    from ..operators import stages as S
+    from ..sources.testdata import raw_logs
+
+    lines = raw_logs(spark, sf_dir, mixed=True)
+    text = F.col("content")
+    for where, old, new in _FAULTS:
+        text = F.when(F.expr(where.replace("event_id", "line_number")), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+    done = S.reported(L.processed(lines.withColumn("content", text), catalog.CFG))
+    return S.problems(done, "line_number").withColumnRenamed("line_number", "event_id")
