@@ -455,9 +455,11 @@ def test_passages_of_repeated_rows_count_once(spark):
     assert plain[2]["n_passages"] == 1 and plain[2]["removed_chars"] > 0 == plain[1]["removed_chars"]
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("fits", [1 << 18, 3])
+def test_components_against_union_find(spark, monkeypatch, fits):
     from logsluice.llm import components
 
+    monkeypatch.setattr(components, "EDGES", fits)
     rng = random.Random(40)
     for n, m in ((1, 0), (2, 1), (60, 45), (200, 190), (40, 39)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if (n, m) != (40, 39) else [(i, i + 1) for i in range(39)]  # the last is a path
