@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .times import liberal
+from .times import let, liberal
 
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV6 = (
@@ -74,6 +74,30 @@ def valid_ip(c: Column) -> Column:
     return F.coalesce(c.rlike(f"^(?:{IPV4}|{IPV6})$"), F.lit(False))
 
 
+def canonical_ip(c: Column) -> Column:
+    """A valid address in its one spelling: IPv6 in lower case, without leading zeros, its first longest run of two zero groups or more as ::."""
+
+    def six(x: Column) -> Column:
+        halves = F.split(F.lower(x), "::")
+        groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        return let(F.struct(groups(0).alias("a"), groups(1).alias("b")), whole)
+
+    def whole(h: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(h["a"]) - F.size(h["b"]), F.lit(0)))
+        return let(F.transform(F.concat(h["a"], zeros, h["b"]), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), shortened)
+
+    def shortened(g: Column) -> Column:
+        marks = F.array_join(F.transform(g, lambda x: F.when(x == "0", "0").otherwise("x")), "")
+        out = F.array_join(g, ":")
+        for n in range(2, 9):  # the longest run is tried last and stands
+            at = F.instr(marks, "0" * n)
+            cut = F.concat(F.array_join(F.slice(g, F.lit(1), F.greatest(at - 1, F.lit(0))), ":"), F.lit("::"), F.array_join(F.slice(g, at + n, F.lit(8)), ":"))
+            out = F.when(at > 0, cut).otherwise(out)
+        return out
+
+    return F.when(c.contains(":"), let(F.trim(c), six)).otherwise(F.trim(c))
+
+
 def valid_port(c: Column) -> Column:
     return F.coalesce(to_int(c).between(0, 65535), F.lit(False))
 
@@ -97,15 +121,18 @@ def hmac_of(key: str, message: str) -> str:
 def parse_timestamp(c: Column, reference: str) -> Column:
     """A timestamp from the usual spellings: epoch seconds or milliseconds, ISO 8601, BSD syslog (no year: the year of
     `reference`, or the year before where that lies more than two days after it), access log and HAProxy; other texts are read by times.liberal."""
-    s = F.regexp_replace(F.trim(c), r"\s+", " ")
     now = F.lit(reference).cast("timestamp")
-    year = F.year(now).cast("string")
-    epoch = F.when(s.rlike(r"^[0-9]{10}(\.[0-9]*)?$"), F.timestamp_micros((F.regexp_extract(s, r"^[0-9.]+", 0).cast("double") * 1_000_000).cast("long")))
-    milli = F.when(s.rlike(r"^[0-9]{13}$"), F.timestamp_millis(F.when(s.rlike(r"^[0-9]{13}$"), s).cast("long")))
-    iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?)?( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"),
-                 F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, ",", "."), r" ?(UTC|Z)$", "Z"), r" ?([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")))
-    bsd = F.when(s.rlike(r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.try_to_timestamp(F.concat(year, F.lit(" "), s), F.lit("yyyy MMM d HH:mm:ss")))
-    bsd = F.when(bsd > now + F.expr("INTERVAL 2 DAYS"), F.add_months(bsd, -12).cast("timestamp") + (bsd - F.date_trunc("DAY", bsd))).otherwise(bsd)
-    access = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8} [+-][0-9]{4}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss xx")))
-    haproxy = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8}\.[0-9]{3}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss.SSS")))
-    return F.coalesce(epoch, milli, iso, bsd, access, haproxy, liberal(c, reference))
+    year = reference[:4]
+
+    def usual(s: Column) -> Column:
+        epoch = F.when(s.rlike(r"^[0-9]{10}(\.[0-9]*)?$"), F.timestamp_micros((F.regexp_extract(s, r"^[0-9.]+", 0).cast("double") * 1_000_000).cast("long")))
+        milli = F.when(s.rlike(r"^[0-9]{13}$"), F.timestamp_millis(F.when(s.rlike(r"^[0-9]{13}$"), s).cast("long")))
+        iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?)?( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"),
+                     F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, ",", "."), r" ?(UTC|Z)$", "Z"), r" ?([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")))
+        bsd = let(F.when(s.rlike(r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.try_to_timestamp(F.concat(F.lit(f"{year} "), s), F.lit("yyyy MMM d HH:mm:ss"))),
+                  lambda t: F.when(t > now + F.expr("INTERVAL 2 DAYS"), F.add_months(t, -12).cast("timestamp") + (t - F.date_trunc("DAY", t))).otherwise(t))
+        access = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8} [+-][0-9]{4}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss xx")))
+        haproxy = F.when(s.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9:]{8}\.[0-9]{3}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss.SSS")))
+        return F.coalesce(epoch, milli, iso, bsd, access, haproxy, liberal(s, reference))
+
+    return let(F.regexp_replace(F.trim(c), r"\s+", " "), usual)

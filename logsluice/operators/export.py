@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .query import timeseries
+from .query import EventQuery, page, search, timeseries
 
 ECS_VERSION = "1.12.0"
 FEATURES = [
@@ -45,6 +45,17 @@ def envelope(events: DataFrame, key: str = "event_id", exported_at: str = "1970-
     return events.agg(F.count("*").alias("total")).select(F.lit("1.0").alias("schema_version"), F.lit(exported_at).alias("exported_at"), "total")
 
 
+def envelope_page(events: DataFrame, q: EventQuery, key: str = "event_id", exported_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """One row: the envelope of a page of matches (query.page, whose limit is bounded) as a JSON text with its documents in order, and the number of all matches."""
+    shown = page(events, q, key)
+    order = F.col("timestamp").desc_nulls_last() if q.descending else F.col("timestamp").asc_nulls_last()
+    nth = shown.select(key, F.row_number().over(W.orderBy(order, key)).alias("nth"))  # of one page
+    rows = ecs(shown, key).join(nth, key).agg(F.sort_array(F.collect_list(F.struct("nth", "document"))).alias("rows"))
+    total = search(events, q).agg(F.count("*").alias("total"))
+    head = F.concat(F.lit(f'{{"schema_version":"1.0","exported_at":"{exported_at}","total":'), F.col("total").cast("string"), F.lit(',"events":['))
+    return rows.crossJoin(total).select("total", F.concat(head, F.array_join(F.transform("rows", lambda r: r["document"]), ","), F.lit("]}")).alias("envelope"))  # one row each
+
+
 def features(events: DataFrame, key: str = "event_id") -> DataFrame:
     """(key, the fourteen features, feature_vector). Only alarm words count as severities: low, medium and high are 1, critical is 4."""
     c = lambda n, k="string": _col(events, n, k)

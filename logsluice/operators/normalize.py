@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CONTROL, IPV4, empty_to_null, hmac_of, hmac_sha256, lookup, parse_timestamp, to_int, valid_ip, valid_port
+from ..functions.columns import CONTROL, IPV4, canonical_ip, empty_to_null, hmac_of, hmac_sha256, lookup, parse_timestamp, to_int, valid_ip, valid_port
+from ..functions.store import settled
+from ..functions.times import let
 
 # The names that each canonical field goes by.
 FIELD_NAMES: dict[str, list[str]] = {
@@ -75,25 +77,35 @@ URL = r"\bhttps?://[^\s\"'<>]+"
 REQUEST_ID = r"\b(?:request|req|trace|correlation|session)[_-]?id[=:\s\"]+([A-Za-z0-9\-]{6,})"
 
 
+#: What makes a value change when it is cleaned: control characters, white space that is not one space, space or a quote at an end.
+_UNTIDY = r"[\x00-\x1f\x7f]|\s\s|[^\S ]|^[\s\"']|\s$"
+
+
 def cleaned_text(v: Column) -> Column:
     """Control characters out, white space collapsed, a pair of quotes around it off; null when nothing is left."""
-    v = F.trim(F.regexp_replace(F.regexp_replace(v, CONTROL, ""), r"\s+", " "))
-    v = F.when((F.length(v) >= 2) & v.rlike(r"^(?:\".*\"|'.*')$"), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
-    return empty_to_null(v)
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, CONTROL, ""), r"\s+", " "))
+    unquoted = lambda x: F.when((F.length(x) >= 2) & x.rlike(r"^(?:\".*\"|'.*')$"), x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
+    return empty_to_null(F.when(v.rlike(_UNTIDY), let(let(v, bare), unquoted)).otherwise(v))
 
 
 def clean_fields(fields: Column, reference: str) -> Column:
-    """Cleans a field map; values that their field cannot hold move to <field>_raw."""
+    """Cleans a field map; values that their field cannot hold move to <field>_raw, addresses are written in their one spelling."""
+    checked = {"t": TIME_FIELDS, "i": IP_FIELDS, "p": PORT_FIELDS, "c": CODE_FIELDS}
 
-    def bad(k: Column, v: Column) -> Column:
-        low = F.lower(k)
-        return (
-            (low.isin(*TIME_FIELDS) & parse_timestamp(v, reference).isNull()) | (low.isin(*IP_FIELDS) & ~valid_ip(v))
-            | (low.isin(*PORT_FIELDS) & ~valid_port(v)) | (low.isin(*CODE_FIELDS) & to_int(v).isNull())
-        )
+    def kind(k: Column) -> Column:
+        low, out = F.lower(k), F.lit(None).cast("string")
+        for name, keys in checked.items():
+            out = F.when(low.isin(*keys), name).otherwise(out)
+        return F.when(low.isin(*[k for keys in checked.values() for k in keys]), out)
 
-    tidy = F.map_filter(F.transform_values(fields, lambda k, v: cleaned_text(v)), lambda k, v: v.isNotNull())
-    return F.map_from_entries(F.transform(F.map_entries(tidy), lambda e: F.struct(F.when(bad(e["key"], e["value"]), F.concat(e["key"], F.lit("_raw"))).otherwise(e["key"]).alias("key"), e["value"].alias("value"))))
+    def bad(kind: Column, v: Column) -> Column:
+        return F.when(kind == "t", parse_timestamp(v, reference).isNull()).when(kind == "i", ~valid_ip(v)).when(kind == "p", ~valid_port(v)).when(kind == "c", to_int(v).isNull())
+
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), cleaned_text(e["value"]).alias("value"), kind(e["key"]).alias("kind")))
+    entries = F.filter(entries, lambda e: e["value"].isNotNull())
+    named = lambda e: F.when(F.coalesce(bad(e["kind"], e["value"]), F.lit(False)), F.concat(e["key"], F.lit("_raw"))).otherwise(e["key"])
+    shown = lambda e: F.when((e["kind"] == "i") & e["value"].contains(":"), F.when(valid_ip(e["value"]), canonical_ip(e["value"])).otherwise(e["value"])).otherwise(e["value"])
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(named(e).alias("key"), shown(e).alias("value"))))
 
 
 def extracted(df: DataFrame, line: str = "content") -> DataFrame:
@@ -165,6 +177,23 @@ def protect(df: DataFrame, cfg: PiiConfig) -> DataFrame:
     return df.withColumns({"pii_mode": F.lit(cfg.mode), "pii_protected": changed}).withColumns(done)
 
 
+def preview(df: DataFrame, cfgs: dict[str, PiiConfig]) -> DataFrame:
+    """What settings would make of the identifiers of rows, one row per row and identifier that is there: the columns that are no identifiers, field, value, and
+    a column for each named configuration. Nothing is stored."""
+    known = [c for c in KIND_OF if c in df.columns]
+    rest = [c for c in df.columns if c not in known]
+    shown = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), *[protected_value(F.col(c), KIND_OF[c], cfg).alias(name) for name, cfg in cfgs.items()]) for c in known]
+    rows = df.select(*rest, F.explode(F.array(*shown)).alias("x")).select(*rest, "x.*")
+    return rows.where("value IS NOT NULL")
+
+
+def protected_value(v: Column, kind: str, cfg: PiiConfig) -> Column:
+    """A value as protect writes it under a configuration."""
+    if cfg.mode == "OFF" or kind not in cfg.kinds:
+        return v
+    return pseudonym(v, kind, cfg) if cfg.mode == "DETERMINISTIC_HASH" else masked(v, kind)
+
+
 def severity_of(v: Column) -> Column:
     return lookup(F.lower(F.trim(v)), SEVERITIES)
 
@@ -179,23 +208,28 @@ def normalize(df: DataFrame, reference: str) -> DataFrame:
     entries = F.map_entries("fields")
     hidden = lambda k: F.lower(k).startswith("_") | F.lower(k).startswith("kv_")
     named = F.transform(F.filter(entries, lambda e: ~hidden(e["key"])), lambda e: F.struct(lookup(F.lower(e["key"]), ALIASES).alias("name"), e["key"].alias("key"), e["value"].alias("value")))
-    df = df.withColumn("__named", named)
-    last = lambda name: F.try_element_at(F.filter("__named", lambda e: e["name"] == name), F.lit(-1))["value"]
-    raw = {c: last(c) for c in (*TEXTS, *NUMBERS, "timestamp", "event_type", "severity", "message")}
-    event = F.coalesce(event_type_of(raw["event_type"]), event_type_of(F.col("parsed_event_type")))
+    # each raw value is a column of its own before anything is made of it, found by its place in the reversed names
+    df = settled(df.withColumn("__named", F.reverse(named)))
+    df = settled(df.withColumns({"__names": F.transform("__named", lambda e: F.coalesce(e["name"], F.lit(""))), "__values": F.transform("__named", lambda e: e["value"])}))
+    at = lambda name: F.array_position("__names", F.lit(name)).cast("int")
+    first = {c: F.get("__values", at(c) - 1) for c in (*TEXTS, *NUMBERS, "timestamp", "event_type", "severity", "message")}
+    df = settled(df.withColumns({f"__raw_{c}": v for c, v in first.items()}).drop("__names", "__values"))
+    raw = {c: F.col(f"__raw_{c}") for c in first}
+    df = settled(df.withColumn("__event", F.coalesce(event_type_of(raw["event_type"]), event_type_of(F.col("parsed_event_type")))))
+    event = F.col("__event")
     cols = {c: raw[c] for c in TEXTS} | {c: to_int(raw[c]) for c in NUMBERS}
     cols["protocol"] = F.lower(raw["protocol"])
     cols["action"], cols["status"] = F.coalesce(raw["action"], lookup(event, ACTION_OF)), F.coalesce(raw["status"], lookup(event, STATUS_OF))
     cols["severity"] = F.coalesce(severity_of(raw["severity"]), lookup(event, SEVERITY_OF))
     cols |= {"timestamp": parse_timestamp(raw["timestamp"], reference), "event_type": event, "message": F.coalesce(raw["message"], F.lit(""))}
-    rest = F.filter("__named", lambda e: e["name"].isNull() | (e["name"] == "source"))
+    rest = F.filter(F.reverse("__named"), lambda e: e["name"].isNull() | (e["name"] == "source"))
     rest = F.transform(rest, lambda e: F.struct(e["key"], e["value"]))
     kept = F.transform(F.filter(entries, lambda e: hidden(e["key"]) & ~e["key"].isin("_rule", "_syslog_severity_num")), lambda e: F.struct(F.regexp_replace(e["key"], "^_+", "").alias("key"), e["value"]))
     dropped = F.array(*[F.struct(F.lit(f"{c}_raw").alias("key"), F.when(to_int(raw[c]).isNull(), raw[c]).alias("value")) for c in NUMBERS])
     extra = F.concat(rest, kept, F.filter(dropped, lambda e: e["value"].isNotNull()))
     keys = F.transform(extra, lambda e: e["key"])
     cols["extra"] = F.map_from_entries(F.filter(extra, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
-    return df.withColumns(cols).drop("__named")
+    return settled(df.withColumns(cols)).drop("__named", "__event", *[f"__raw_{c}" for c in raw])
 
 
 def validated(df: DataFrame) -> DataFrame:

@@ -79,6 +79,18 @@ def facet(events: DataFrame, name: str, top: int = 20) -> DataFrame:
     return events.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
 
 
+def top_with_total(events: DataFrame, name: str, top: int = 5) -> DataFrame:
+    """The most frequent values of a column (turn from 1), and as turn 0 a row without a value that counts all events and all values."""
+    values = events.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    best = values.orderBy(F.desc("n"), "value").limit(top)
+    from pyspark.sql import Window as W
+
+    best = best.withColumn("turn", F.row_number().over(W.orderBy(F.desc("n"), "value")))  # `top` rows
+    none = F.lit(None).cast("string")
+    total = events.agg(F.count("*").alias("n"), F.count_distinct(name).alias("values")).select(F.lit(0).alias("turn"), none.alias("value"), "n", "values")
+    return total.unionByName(best.select("turn", "value", "n", F.lit(None).cast("long").alias("values")))
+
+
 def facets(events: DataFrame, names: list[str], top: int = 20) -> DataFrame:
     """The most frequent values of several columns from one aggregation (grouping sets)."""
     from pyspark.sql import Window as W

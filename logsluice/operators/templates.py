@@ -173,6 +173,16 @@ def in_scope(lines: DataFrame, job: str | None = None, source: str | None = None
     return lines if source is None else lines.where(F.col("source") == source)
 
 
+def reports(lines: DataFrame, scopes: list[dict], line: str = "content", key: str = "event_id") -> DataFrame:
+    """The accounting of several scopes, each mined by itself: job and source as in_scope takes them, and accounting's columns. A scope without lines is a row of zeros."""
+    out = None
+    for scope in scopes:
+        job, source = (F.lit(scope.get(n)).cast("string").alias(n) for n in ("job", "source"))
+        one = accounting(in_scope(lines, **scope), line, key).select(job, source, "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def saved_templates(old: DataFrame, new: DataFrame) -> DataFrame:
     """The template store after a run: templates by signature. A known signature keeps its key and first line, and takes the rest from the run, so a rerun
     over the same lines changes nothing; new ones get the keys that follow the largest known."""

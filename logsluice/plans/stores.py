@@ -198,3 +198,55 @@ def q_stage_errors(spark, sf_dir):
         text = F.when(F.expr(where.replace("event_id", "line_number")), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
     done = S.reported(L.processed(lines.withColumn("content", text), catalog.CFG))
     return S.problems(done, "line_number").withColumnRenamed("line_number", "event_id")
+
+
+# --- spellings, totals, reports, previews ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, '2001:db8:' || CASE WHEN event_id % 65536 = 0 THEN ':' ELSE ':' || lower(printf('%x', event_id % 65536)) END AS one, CASE WHEN user_id = 0 THEN '::' ELSE lower(printf('%x', user_id)) || '::1:0:0:' || lower(printf('%x', event_id % 7 + 1)) END AS two,
+    '10.0.0.' || event_id % 200 AS three FROM events""")
+def q_canonical_ip(spark, sf_dir):
+    """Addresses in several spellings, each in its one spelling."""
+    from ..functions.columns import canonical_ip
+
+    e = _read(spark, sf_dir, "events")
+    low = F.hex(F.col("event_id") % 65536)
+    one = F.concat(F.lit("2001:0DB8:0:00:000:0000:0:"), F.lpad(low, 4, "0"))
+    two = F.when(F.col("user_id") == 0, "0:0:0:0::0").otherwise(F.concat(F.hex("user_id"), F.lit(":0:0:0:1:0:0:"), F.hex(F.col("event_id") % 7 + 1)))
+    return e.select("event_id", canonical_ip(one).alias("one"), canonical_ip(two).alias("two"), canonical_ip(F.concat(F.lit(" 10.0.0."), (F.col("event_id") % 200).cast("string"))).alias("three"))
+
+
+@query(f"""{WITH_EVENTS}, v AS (SELECT host AS value, count(*) AS n FROM log_events GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS turn FROM v)
+SELECT 0 AS turn, NULL AS value, count(*) AS n, count(DISTINCT host) AS "values" FROM log_events UNION ALL SELECT CAST(turn AS INTEGER), value, n, NULL FROM t WHERE turn <= 3""")
+def q_top_sources(spark, sf_dir):
+    return Q.top_with_total(log_events(spark, sf_dir), "host", 3)
+
+
+@query(f"""{WITH_LINES}, s AS (SELECT unnest(['linux', 'firewall', 'nowhere']) AS source), r AS (SELECT s.source, count(event_id) AS records, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS original_bytes FROM s LEFT JOIN log_lines USING (source) GROUP BY 1),
+t AS ({_STORE.replace("@@", "source = 'linux'")} SELECT 'linux' AS source, count(*) AS templates FROM tk UNION ALL SELECT * FROM ({_STORE.replace("@@", "source = 'firewall'")} SELECT 'firewall', count(*) FROM tk))
+SELECT CAST(NULL AS VARCHAR) AS job, source, records, original_bytes, records AS reconstructable, coalesce(templates, 0) AS templates, CASE WHEN records > 0 THEN 100.0::DOUBLE ELSE 0.0 END AS reconstruction_rate, true AS lossless FROM r LEFT JOIN t USING (source)""")
+def q_scope_reports(spark, sf_dir):
+    from ..operators import templates as T
+
+    done = T.reports(log_lines(spark, sf_dir), [{"source": s} for s in ("linux", "firewall", "nowhere")])
+    return done.select("job", "source", "records", "original_bytes", "reconstructable", "templates", "reconstruction_rate", "lossless")
+
+
+@query(f"""{WITH_EVENTS}, p AS (SELECT event_id FROM log_events WHERE host = 'host-1' ORDER BY ts DESC, event_id LIMIT 40)
+SELECT (SELECT count(*) FROM log_events WHERE host = 'host-1') AS total, '1.0' AS schema_version, 40 AS listed, (SELECT string_agg(event_id, ',') FROM (SELECT event_id FROM log_events WHERE host = 'host-1' ORDER BY ts DESC, event_id LIMIT 40)) AS ids""")
+def q_envelope_page(spark, sf_dir):
+    from ..operators import export as E
+
+    done = E.envelope_page(log_events(spark, sf_dir), Q.EventQuery(equal={"host": "host-1"}, limit=40))
+    parsed = F.from_json("envelope", "schema_version string, total long, events array<struct<event:struct<id:string>>>")
+    ids = F.transform("e.events", lambda x: x["event"]["id"])
+    return done.withColumn("e", parsed).select(F.col("e.total").alias("total"), "e.schema_version", F.size(ids).alias("listed"), F.array_join(ids, ",").alias("ids"))
+
+
+@query(f"""{WITH_EVENTS} SELECT event_id, field, value, value AS kept, CASE field WHEN 'source_ip' THEN split_part(value, '.', 1) || '.' || split_part(value, '.', 2) || '.x.x' ELSE left(value, 1) || '***' END AS masked
+FROM (SELECT event_id, unnest(['source_ip', 'username']) AS field, unnest([source_ip, username]) AS value FROM log_events)""")
+def q_privacy_preview(spark, sf_dir):
+    from ..operators import normalize as N
+
+    cfgs = {"kept": N.PiiConfig(), "masked": N.PiiConfig(mode="MASK")}
+    return N.preview(log_events(spark, sf_dir).select("event_id", "source_ip", "username"), cfgs)
