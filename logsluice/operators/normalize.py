@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CONTROL, IPV4, canonical_ip, empty_to_null, hmac_of, hmac_sha256, lookup, parse_timestamp, to_int, valid_ip, valid_port
+from ..functions.columns import CONTROL, IPV4, canonical_ip, empty_to_null, hmac_of, hmac_sha256, lookup, to_int, valid_ip, valid_port
 from ..functions.store import settled
-from ..functions.times import let
+from ..functions.times import let, parse_timestamp, timestamp_sql
 
 # The names that each canonical field goes by.
 FIELD_NAMES: dict[str, list[str]] = {
@@ -88,24 +88,22 @@ def cleaned_text(v: Column) -> Column:
     return empty_to_null(F.when(v.rlike(_UNTIDY), let(let(v, bare), unquoted)).otherwise(v))
 
 
-def clean_fields(fields: Column, reference: str) -> Column:
-    """Cleans a field map; values that their field cannot hold move to <field>_raw, addresses are written in their one spelling."""
+def cleaned(df: DataFrame, reference: str) -> DataFrame:
+    """df with its map `fields` cleaned; values that their field cannot hold move to <field>_raw, addresses are written in their one spelling."""
     checked = {"t": TIME_FIELDS, "i": IP_FIELDS, "p": PORT_FIELDS, "c": CODE_FIELDS}
+    kinds = {k: kind for kind, keys in checked.items() for k in keys}
+    entry = lambda e: F.struct(e["key"].alias("key"), cleaned_text(e["value"]).alias("value"), lookup(F.lower(e["key"]), kinds).alias("kind"))
+    tidy = F.filter(F.transform(F.map_entries("fields"), entry), lambda e: e["value"].isNotNull())
+    df = settled(df.withColumn("__tidy", tidy))
+    late = F.expr(f"transform(__tidy, e -> e.kind = 't' AND ({timestamp_sql('e.value', reference)}) IS NULL)")
 
-    def kind(k: Column) -> Column:
-        low, out = F.lower(k), F.lit(None).cast("string")
-        for name, keys in checked.items():
-            out = F.when(low.isin(*keys), name).otherwise(out)
-        return F.when(low.isin(*[k for keys in checked.values() for k in keys]), out)
+    def last(e: Column, late: Column) -> Column:
+        v, kind = e["value"], e["kind"]
+        bad = F.when(kind == "i", ~valid_ip(v)).when(kind == "p", ~valid_port(v)).when(kind == "c", to_int(v).isNull()).otherwise(late)
+        shown = F.when((kind == "i") & v.contains(":") & valid_ip(v), canonical_ip(v)).otherwise(v)
+        return F.struct(F.when(F.coalesce(bad, F.lit(False)), F.concat(e["key"], F.lit("_raw"))).otherwise(e["key"]).alias("key"), shown.alias("value"))
 
-    def bad(kind: Column, v: Column) -> Column:
-        return F.when(kind == "t", parse_timestamp(v, reference).isNull()).when(kind == "i", ~valid_ip(v)).when(kind == "p", ~valid_port(v)).when(kind == "c", to_int(v).isNull())
-
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), cleaned_text(e["value"]).alias("value"), kind(e["key"]).alias("kind")))
-    entries = F.filter(entries, lambda e: e["value"].isNotNull())
-    named = lambda e: F.when(F.coalesce(bad(e["kind"], e["value"]), F.lit(False)), F.concat(e["key"], F.lit("_raw"))).otherwise(e["key"])
-    shown = lambda e: F.when((e["kind"] == "i") & e["value"].contains(":"), F.when(valid_ip(e["value"]), canonical_ip(e["value"])).otherwise(e["value"])).otherwise(e["value"])
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(named(e).alias("key"), shown(e).alias("value"))))
+    return settled(df.withColumn("fields", F.map_from_entries(F.zip_with("__tidy", late, last)))).drop("__tidy")
 
 
 def extracted(df: DataFrame, line: str = "content") -> DataFrame:
@@ -221,7 +219,7 @@ def normalize(df: DataFrame, reference: str) -> DataFrame:
     cols["protocol"] = F.lower(raw["protocol"])
     cols["action"], cols["status"] = F.coalesce(raw["action"], lookup(event, ACTION_OF)), F.coalesce(raw["status"], lookup(event, STATUS_OF))
     cols["severity"] = F.coalesce(severity_of(raw["severity"]), lookup(event, SEVERITY_OF))
-    cols |= {"timestamp": parse_timestamp(raw["timestamp"], reference), "event_type": event, "message": F.coalesce(raw["message"], F.lit(""))}
+    cols |= {"timestamp": parse_timestamp("__raw_timestamp", reference), "event_type": event, "message": F.coalesce(raw["message"], F.lit(""))}
     rest = F.filter(F.reverse("__named"), lambda e: e["name"].isNull() | (e["name"] == "source"))
     rest = F.transform(rest, lambda e: F.struct(e["key"], e["value"]))
     kept = F.transform(F.filter(entries, lambda e: hidden(e["key"]) & ~e["key"].isin("_rule", "_syslog_severity_num")), lambda e: F.struct(F.regexp_replace(e["key"], "^_+", "").alias("key"), e["value"]))

@@ -50,7 +50,7 @@ def processed(raw: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFra
     df = duplicates(raw).withColumn("raw_log_id", F.left(F.sha2(F.concat_ws("|", "job_id", F.col("line_number").cast("string"), "content_hash"), 256), F.lit(32)))
     df = shield.screen(df, "content", cfg.quarantine_injection)
     df = P.parse(P.detect(df, "content", cfg.parsers, cfg.hint), "content", cfg.parsers)
-    df = settled(df.drop("candidates").withColumn("fields", N.clean_fields(F.col("fields"), cfg.reference)))
+    df = N.cleaned(df.drop("candidates"), cfg.reference)
     df = settled(N.normalize(settled(N.extracted(df)), cfg.reference))
     df = N.validated(N.protect(df, cfg.pii))
     blank = F.trim(F.coalesce(F.col("content"), F.lit(""))) == ""

@@ -175,8 +175,8 @@ SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ip END AS source_ip, CASE WHEN
 def q_clean_fields(spark, sf_dir):
     ip = F.when(F.col("event_id") % 7 == 0, "999.1.1.1").otherwise(F.col("source_ip"))
     raw = F.create_map(F.lit("source_ip"), F.concat(F.lit(" "), ip), F.lit("source_port"), (F.col("source_port") * 2).cast("string"), F.lit("note"), F.lit(' "a   b" '), F.lit("none"), F.lit("  "))
-    df = log_events(spark, sf_dir).select("event_id", N.clean_fields(raw, REFERENCE).alias("f"))
-    return df.select("event_id", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("source_ip", "source_ip_raw", "source_port", "source_port_raw", "note")])
+    df = N.cleaned(log_events(spark, sf_dir).select("event_id", raw.alias("fields")), REFERENCE)
+    return df.select("event_id", *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("source_ip", "source_ip_raw", "source_port", "source_port_raw", "note")])
 
 
 @query(f"""SELECT doc_id, nullif(regexp_extract(text, '{N.EMAIL}'), '') AS email, regexp_extract_all(text, '{N.ADDRESS}')[1] AS source_ip, regexp_extract_all(text, '{N.ADDRESS}')[2] AS destination_ip,

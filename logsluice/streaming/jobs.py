@@ -26,7 +26,7 @@ def normalised(raw: DataFrame, reference: str) -> DataFrame:
     """The stateless stages: screened, parsed and normalised lines that are not quarantined."""
     df = shield.screen(raw).where("NOT quarantine")
     df = P.parse(P.detect(df))
-    return N.normalize(N.extracted(df.withColumn("fields", N.clean_fields(F.col("fields"), reference))), reference)
+    return N.normalize(N.extracted(N.cleaned(df, reference)), reference)
 
 
 def without_duplicates(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:

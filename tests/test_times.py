@@ -29,12 +29,12 @@ SPELLINGS = {
 
 
 def _shown(spark, texts, f):
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", f(F.col("s")).alias("t"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", F.expr(f("s")).alias("t"))
     return [None if r["t"] is None else (datetime(1970, 1, 1) + timedelta(microseconds=r["t"])) for r in rows.select("i", F.unix_micros("t").alias("t")).orderBy("i").collect()]
 
 
 def test_spellings(spark):
-    got = dict(zip(SPELLINGS, _shown(spark, SPELLINGS, lambda c: columns.parse_timestamp(c, REFERENCE)), strict=True))
+    got = dict(zip(SPELLINGS, _shown(spark, SPELLINGS, lambda c: times.timestamp_sql(c, REFERENCE)), strict=True))
     assert len(SPELLINGS) > 60 and {k: v for k, v in got.items() if v != (SPELLINGS[k] and datetime.fromisoformat(SPELLINGS[k]))} == {}
 
 
@@ -66,7 +66,7 @@ def test_random_spellings_against_a_public_parser(spark):
             want.append(t.astimezone(UTC).replace(tzinfo=None))
         except (ValueError, OverflowError):
             want.append(None)
-    got = _shown(spark, texts, lambda c: times.liberal(c, REFERENCE))
+    got = _shown(spark, texts, lambda c: times.liberal_sql(f"regexp_replace(trim({c}), ' +', ' ')", REFERENCE))
     wrong = [(s, str(g), str(w)) for s, g, w in zip(texts, got, want, strict=True) if g != w]
     assert not wrong, (len(wrong), wrong[:20])
 
