@@ -32,10 +32,10 @@ from .common import small_batches
 
 SPACE = "▁"
 #: Nodes of the tree before it is started anew, characters of text drawn at once, and ids sent on at once.
-NODES = 150_000
+NODES = 300_000
 #: Characters of a part from which its weights are kept as logarithms.
 LONG = 40
-SLICE = 1 << 18
+SLICE = 1 << 19
 OUT_IDS = 1 << 18
 
 _segmenters: dict[tuple, Segmenter] = {}
