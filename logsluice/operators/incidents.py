@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.store import cut, stored
@@ -166,9 +165,6 @@ def _turn(kind: str) -> Column:
     return turn
 
 
-#: Reasons that an alert's text holds; further hits of the incident are left to the table of hits.
-REASONS = 50
-
 # Titles by rule, and what to do by entity.
 TITLE = {
     "RULE_1": "Multiple failed logins", "RULE_2": "Possible brute-force activity", "RULE_3": "Credential spraying across hosts",
@@ -196,7 +192,7 @@ def incident_hits(hits: DataFrame, members: DataFrame) -> DataFrame:
 
 def alerts(hits: DataFrame, events: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One alert per incident: its first worst rule, earliest center, what happened around it within three of its longest windows, risk and the
-    worse of the rule's and the risk's severity. Incidents of a source alone are not correlated: what their hits count stands for it.
+    worse of the rule's and the risk's severity. The reason says what every hit of the incident says. Incidents of a source alone are not correlated: what their hits count stands for it.
 
     members: detect.hit_events. Failed logins are the most that a hit counts, else those around; accounts are those of the hits' events."""
     hits = cut(hits)
@@ -210,8 +206,7 @@ def alerts(hits: DataFrame, events: DataFrame, members: DataFrame | None = None)
         F.sort_array(F.collect_set("rule_key")).alias("rules"), F.max(rule == "RULE_6").alias("success_after_failures"),
         F.max(F.when(rule.isin("RULE_1", "RULE_2", "RULE_3"), col("n_events"))).alias("most_failed"), F.min(verdict)["v"].alias("shield_verdict"), F.count("*").alias("n_hits"),
     )
-    nth = F.row_number().over(W.partitionBy(*group).orderBy("rule_key", "turn"))
-    texts = named.withColumn("nth", nth).where(col("nth") <= REASONS).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("nth", "reason"))).alias("t"))
+    texts = named.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rule_key", "turn", "reason"))).alias("t"))
     texts = texts.select(*group, F.array_join("t.reason", " ").alias("reason"))
     roots = named.select("kind", "entity", "rule_key", *group).distinct()
     told = members.join(roots, ["kind", "entity", "rule_key"]).groupBy(*group).agg(

@@ -105,6 +105,15 @@ def test_alerts_over_their_own_windows(spark):
     assert {r["entity"]: tuple(r)[1:] for r in I.alerts(hits, events, members).select("entity", "events", "sources", "hosts", "users", "failed", "passed", "denied").collect()} == want
 
 
+def test_alerts_say_all_reasons(spark):
+    rows = [(i, float(i), "a", "h", f"u{i:03}", D.FAILED, "linux", "low") for i in range(130)]
+    events = _events(spark, rows)
+    hits = [("RULE_1", "low", "source_ip", "a", None, 130, 3600, "all")] + [("RULE_2", "low", "source_ip", "a", f"h{i:03}", 1, 3600, f"host {i:03}") for i in range(120)]
+    hits = spark.createDataFrame(hits, "rule_key string, severity string, kind string, entity string, host string, n_events int, window_seconds int, reason string")
+    alert = I.alerts(hits.withColumn("center", F.lit("2026-01-01 00:01:00").cast("timestamp")), events).first()
+    assert alert["reason"] == " ".join(["all"] + [f"host {i:03}" for i in range(120)])
+
+
 def test_templates(spark):
     lines = [(i, "s", f"User {u} logged in from 192.0.2.{i}") for i, u in enumerate(("kim", "lee", "ana"), 1)]
     r = T.mine(spark.createDataFrame(lines, "event_id long, source string, content string")).first()
