@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from logsluice.functions.columns import lookup
 from logsluice.operators import normalize as N
 from logsluice.operators import packs as K
 from logsluice.operators import parsers as P
@@ -149,3 +150,28 @@ def test_pack_versions(spark):
     parsers = K.registry(good)
     row = P.parse(P.detect(spark.createDataFrame([("demo db-1",)], "content string"), parsers=parsers), parsers=parsers).first()
     assert (row["parser"], row["parser_version"], row["fields"]["host"]) == ("demo", "1.10.0", "db-1")
+
+
+def test_copies_do_not_share_a_task(spark):
+    lines = spark.range(4000).select(F.lit("j").alias("job_id"), F.col("id").alias("line_number"), F.lit("the same line").alias("content"))
+    rows = L.duplicates(lines).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few lines would be put together again
+    at = {r["task"]: r["count"] for r in rows.groupBy("task").count().collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(at) > 1 and max(at.values()) < 3000
+    assert rows.where("NOT duplicate").select("line_number").collect() == [(0,)]
+
+
+def test_only_times_are_read_as_times(spark):
+    """A field of no known kind must not reach the liberal reading of times: AND would evaluate it after a null."""
+    df = spark.createDataFrame([({"note": "5 Jan 2024 10:00", "time": "no time", "date": "2024-01-05"},)], "fields map<string,string>")
+    done = N.cleaned(df, "2024-12-31 00:00:00")
+    assert done.first()["fields"] == {"note": "5 Jan 2024 10:00", "time_raw": "no time", "date": "2024-01-05"}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "kind = t) THEN" in plan and "kind = t) AND" not in plan
+
+
+def test_lookup_by_length(spark):
+    table = {"a": "1", "bb": "2", "cc": "3", "dddd": "4"}
+    df = spark.createDataFrame([(x,) for x in ("a", "bb", "cc", "dddd", "", "b", "ddd", "eeeee", None)], "k string")
+    assert [r[0] for r in df.select(lookup(F.col("k"), table)).collect()] == ["1", "2", "3", "4", None, None, None, None, None]
