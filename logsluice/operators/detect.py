@@ -43,16 +43,25 @@ RULE = {r.key: r for r in RULES}
 
 
 def busiest_window(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Per key: peak, the most events within any closed span of `seconds`, and center, the middle of the first such span."""
+    """Per key: peak, the most events within any closed span of `seconds`, and center, the middle of the first such span.
+
+    An event counts from its time on and no more once a span has passed, so the number at a time is a running sum: its work grows with the events, where a
+    sliding frame looks at all events of a span for each of them."""
     width = seconds * 1_000_000
     t = F.unix_micros(F.col("timestamp").cast("timestamp"))
     rows = events.where("timestamp IS NOT NULL").select(*keys, t.alias("t")).withColumn("b", F.floor(F.col("t") / width))
     # each stretch of one window's length also sees the stretch before it
     both = rows.select(*keys, "t", F.explode(F.array(F.struct(F.col("b").alias("b"), F.lit(True).alias("own")), F.struct((F.col("b") + 1).alias("b"), F.lit(False).alias("own")))).alias("x"))
-    span = W.partitionBy(*keys, "b").orderBy("t").rangeBetween(-width, 0)
-    counted = both.select(*keys, "t", "x.b", "x.own").select(*keys, "t", "own", F.count("*").over(span).alias("n"), F.min("t").over(span).alias("low"))
-    best = F.max(F.struct(F.col("n").alias("n"), (-F.col("t")).alias("late"), F.col("low").alias("low"))).alias("best")
-    return counted.where("own").groupBy(*keys).agg(best).select(*keys, F.col("best.n").alias("peak"), F.timestamp_micros(F.floor((F.col("best.low") - F.col("best.late")) / 2)).alias("center"))
+    steps = F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("d"), F.col("x.own").alias("own")), F.struct((F.col("t") + width + 1).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("own")))).alias("s")
+    so_far = W.partitionBy(*keys, "b").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    counted = both.select(*keys, "x.b", steps).select(*keys, "b", "s.t", "s.d", "s.own").select(*keys, "t", "own", F.sum("d").over(so_far).alias("n"))
+    best = counted.where("own").groupBy(*keys).agg(F.max(F.struct(F.col("n").alias("n"), (-F.col("t")).alias("late"))).alias("best"))
+    best = best.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("best.n").alias("peak"), (-F.col("best.late")).alias("last"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = rows.join(best, same).where(F.col("t").between(F.col("last") - width, F.col("last"))).groupBy(*keys, "peak", "last").agg(F.min("t").alias("low"))
+    return inside.select(*keys, "peak", F.timestamp_micros(F.floor((F.col("low") + F.col("last")) / 2)).alias("center"))
 
 
 def _hit(df: DataFrame, rule: Rule, kind: str, entity: str, reason: Column, severity=None, **cols) -> DataFrame:

@@ -42,6 +42,15 @@ def test_windows_against_two_pointers(spark):
         assert got[ip] == best
 
 
+def test_windows_take_running_sums(spark):
+    rows = [(i, float(s), k, "h", "u", D.FAILED, "linux", None) for i, (k, s) in enumerate([("a", 0), ("a", 60), ("a", 60), ("a", 121), ("a", 181), ("b", 5), ("a", 59.5)])]
+    found = D.busiest_window(_events(spark, rows), ["source_ip"], 60)
+    got = {r["source_ip"]: (r["peak"], r["c"]) for r in found.withColumn("c", F.unix_micros("center") % 86_400_000_000).collect()}
+    assert got == {"a": (4, 30_000_000), "b": (1, 5_000_000)}
+    # a frame that slides looks at all rows of a span for each of its rows
+    assert "RangeFrame, -" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_failures_then_success(spark):
     rows = [(i, float(i), "a", "h", f"u{i}", D.FAILED, "linux", None) for i in range(4)] + [(9, 9.0, "a", "h", "u0", D.PASSED, "linux", None), (10, 10.0, "b", "h", "u1", D.PASSED, "linux", None)]
     got = D.failed_then_passed(_events(spark, rows)).collect()
