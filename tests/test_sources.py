@@ -164,3 +164,13 @@ def test_one_large_array_is_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [json.loads(r["content"]) for r in got] == values and [r["line_number"] for r in got] == list(range(1, len(values) + 1))
+
+
+def test_larger_tables_have_more_tasks(spark, tmp_path, monkeypatch):
+    from logsluice.sources import testdata
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(testdata, "TASK_LINES", 50)
+    n = spark.read.parquet(str(tmp_path / "events.parquet")).count()
+    lines = testdata.log_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == -(-n // 50) and lines.count() == n
