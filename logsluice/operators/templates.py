@@ -70,7 +70,10 @@ def matched(df: DataFrame, line: str = "content", key: str = "event_id", source:
 
 def masked(tok: DataFrame) -> DataFrame:
     """Tokenised lines (id, line, source and what tokenised adds) split at the literals that these lines have in common."""
-    out = tok.join(anchor_masks(tok), "n_tokens")
+    # masks come out of their sum in parts by n_tokens, by which a join would read all lines of a length in one task; by an expression both sides are
+    # dealt out for the join, which adaptive execution then splits or broadcasts
+    masks = anchor_masks(tok).select((-F.col("n_tokens")).alias("minus"), "mask")
+    out = tok.join(masks, F.col("n_tokens") == -F.col("minus")).drop("minus")
     literals = F.zip_with("tokens", "mask", lambda t, m: F.when(m, t))
     variables = F.transform(F.filter(F.arrays_zip("tokens", "mask"), lambda x: ~x["mask"]), lambda x: x["tokens"])
     out = settled(out.select("id", "line", "source", "n_tokens", "separators", "trailing", literals.alias("literals"), variables.alias("variables")))

@@ -43,3 +43,18 @@ def test_record_pipeline_copies_lines_seldom(spark):
     assert done._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     # however small the rows are
     assert done.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_of_one_length_are_dealt_out(spark):
+    """Masks are dealt out for their join, so that adaptive execution may split the lines of a length, which are all lines of a source."""
+    from logsluice.operators import templates as T
+
+    lines = spark.createDataFrame([(i, f"user {i} logged in", "s") for i in range(20)], "id long, line string, source string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = T.masked(T.tokenised(lines, "line"))
+        assert "hashpartitioning(-minus" in done._jdf.queryExecution().executedPlan().toString().replace("(- ", "(-")
+        assert {tuple(r["variables"]) for r in done.collect()} == {(str(i),) for i in range(20)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
