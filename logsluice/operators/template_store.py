@@ -104,7 +104,7 @@ class TemplateStore:
             old = self.templates.read()
             matches = self.matches.read() if self.matches.exists() else self.spark.createDataFrame([], lines.select(self.key).schema)
             templates, packed = mine_more(lines, old, matches, line, self.key, source)
-        packed = stored(packed, "store-packed")
+        # both rest on stored tables and on files that later versions of the store leave as they are; upsert stores its batch itself
         self.templates.upsert(templates, "runs", number, {"occurrences": "sum", "template_key": "old"})
         self.matches.upsert(packed.select(self.key, "source", "template_key", "signature", "variables", "own_separators", "own_trailing", "line_bytes", "payload_bytes"), "runs", number)
         return True

@@ -97,3 +97,20 @@ def test_counts_work_out_no_times(spark):
     assert "no injection indicators" not in plan and "field_confidence" not in plan
     assert sorted(r["disposition"] for r in done.collect()) == sorted(r["disposition"] for r in L.processed(raw).collect())
     assert done.columns == list(L.COUNTED)
+
+
+def test_store_writes_matches_once_before_their_buckets(spark, tmp_path, monkeypatch):
+    """A run leaves it to the keyed table to store what it takes, and stores the columns that it keeps."""
+    from logsluice.functions import keyed
+    from logsluice.operators import template_store as TS
+
+    written = []
+    for module in (TS, keyed):
+        monkeypatch.setattr(module, "stored", lambda df, name, plain=module.stored: written.append((name, df.columns)) or plain(df, name))
+    store = TS.TemplateStore(spark, f"file://{tmp_path}/store", buckets=2)
+    frame = lambda of: spark.createDataFrame([(i, f"user {i} logged in", "s") for i in of], "event_id long, content string, source string")
+    assert store.run(frame(range(8)), 0) and store.run(frame(range(12)), 1)
+    assert not [n for n, columns in written if "payload_bytes" in columns and n != "batch"]
+    assert [set(columns) & {"line", "literals"} for n, columns in written if "payload_bytes" in columns] == [set(), set()]
+    assert [tuple(r) for r in store.templates.read().select("pattern", "occurrences").collect()] == [("user <*> logged in", 12)]
+    assert {r["event_id"]: tuple(r["variables"]) for r in store.payloads().collect()} == {i: (str(i),) for i in range(12)}
