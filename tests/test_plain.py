@@ -131,6 +131,17 @@ def test_lines_are_matched_only_where_a_column_rests_on_it(spark):
     assert "Join" in L.processed(raw, columns=("line_number", "disposition"))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hashes_are_joined_by_shuffles_and_made_once_per_side(spark):
+    """Hashes of all lines went to the driver as a broadcast where the planner took their table for small; and one side was hashed again to filter nulls, of which there are none."""
+    raw = _raw(spark, "words", "words", "other")
+    done = L.duplicates(raw)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and "isnotnull(reverse" not in plan
+    assert sorted((r["line_number"], r["duplicate"]) for r in done.collect()) == [(0, False), (1, True), (2, False)]
+    nameless = raw.withColumn("job_id", F.lit(None).cast("string"))
+    assert sorted((r["line_number"], r["duplicate"]) for r in L.duplicates(nameless).collect()) == [(0, False), (1, True), (2, False)]
+
+
 def test_a_parser_is_sure_where_its_score_is_one(spark):
     from logsluice.operators import parsers as P
 
